@@ -42,7 +42,7 @@ _CTES = {
         f"summary_{grain}": f"""
         SELECT {day} AS event_date, asset_id, platform, brand, content_type,
                x1_user_type, gracenote_id,
-               max(coalesce(duration_secs, 0)) AS total_duration, max(air_date) AS air_date,
+               max(coalesce(duration_secs, 0)) AS total_duration, air_date,
                count(*) AS content_starts,
                count(*) FILTER (pct > 25) AS pct25_viewed,
                count(*) FILTER (pct > 50) AS pct50_viewed,
@@ -53,7 +53,7 @@ _CTES = {
                count(DISTINCT device_id) AS unique_devices
         FROM plays
         GROUP BY {day}, asset_id, platform, brand, content_type, x1_user_type,
-                 gracenote_id"""
+                 gracenote_id, air_date"""
         for grain, day in (
             ("daily", "event_date"),
             ("weekly", "CAST(date_trunc('week', event_date) AS DATE)"),
@@ -492,7 +492,7 @@ _QUERIES = {
                              episode_name)) AS asset_id,
                platform, brand, content_type, x1_user_type,
                nullif(gracenote_id, 'N/A') AS gracenote_id,
-               max(duration_secs) AS total_duration, max(airdate) AS air_date,
+               max(duration_secs) AS total_duration, airdate AS air_date,
                count(*) AS content_starts,
                CAST(sum(pct25_viewed) AS BIGINT) AS pct25_viewed,
                CAST(sum(pct50_viewed) AS BIGINT) AS pct50_viewed,
@@ -503,7 +503,7 @@ _QUERIES = {
                count(DISTINCT device_id) AS unique_devices
         FROM merged_events
         GROUP BY eventdate, platform, brand, content_type, x1_user_type, gracenote_id,
-                 series_title, season_number, episode_number, episode_name""",
+                 series_title, season_number, episode_number, episode_name, airdate""",
     "unique_devices_by_grain": " UNION ALL ".join(
         f"""SELECT '{grain}' AS grain, {day} AS event_date, brand, content_type,
                    count(DISTINCT device_id) AS unique_devices

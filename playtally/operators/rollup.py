@@ -21,6 +21,9 @@ SUMMARY_KEYS = [
     "content_type",
     "x1_user_type",
     "gracenote_id",
+    # An attribute of the asset rather than a dimension. It is a key because a
+    # text in an aggregation buffer makes Spark sort where it could hash.
+    "air_date",
 ]
 
 ADDITIVE_METRICS = [
@@ -52,7 +55,6 @@ def plays_from_viewing(viewing: DataFrame) -> DataFrame:
     return viewing.select(
         *SUMMARY_KEYS,
         "device_id",
-        "air_date",
         F.coalesce("duration_secs", F.lit(0)).cast("long").alias("total_duration"),
         F.lit(1).cast("long").alias("content_starts"),
         *[flag.cast("long").alias(name) for name, flag in flags.items()],
@@ -75,8 +77,8 @@ def plays_from_events(merged_events: DataFrame) -> DataFrame:
         "content_type",
         "x1_user_type",
         na_to_null(F.col("gracenote_id")).alias("gracenote_id"),
-        "device_id",
         F.col("airdate").alias("air_date"),
+        "device_id",
         F.col("duration_secs").alias("total_duration"),
         F.lit(1).cast("long").alias("content_starts"),
         *[
@@ -137,7 +139,6 @@ def _devices(approximate: bool) -> Column:
 def _measures() -> list[Column]:
     return [
         F.max("total_duration").alias("total_duration"),
-        F.max("air_date").alias("air_date"),
         *[F.sum(name).alias(name) for name in ADDITIVE_METRICS],
     ]
 

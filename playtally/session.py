@@ -14,6 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # A union that zips equally partitioned inputs fails when adaptive execution
+    # re-partitions one of them ("Can't zip RDDs with unequal numbers of
+    # partitions"), and it would leave a hot key's rows in one task.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
