@@ -95,6 +95,22 @@ def vod_performance_page_after(t: Tables) -> DataFrame:
     return paging.page_after(table, [("brand", "asc"), ("event_date", "desc")], after, 100)
 
 
+@query
+def vod_performance_count(t: Tables) -> DataFrame:
+    table = reports.performance(t.summary("daily"), t.assets, ReportParams(*YEAR_1998))
+    return paging.row_count(table)
+
+
+@query
+def vod_performance_of_brand_ids(t: Tables) -> DataFrame:
+    """Export of brands given by id, as a request names them."""
+    viewed = t.brands.withColumn("name", F.replace(F.col("name"), F.lit(" "), F.lit("#")))
+    return reports.export(
+        reports.VOD_PERFORMANCE, t.summary("daily"), t.assets, ReportParams(*YEAR_1998),
+        entitled=entitlements.brand_names(viewed, [3, 8, 48, 60]),
+    )
+
+
 @query
 def vod_performance_chart(t: Tables) -> DataFrame:
     params = ReportParams(*YEAR_1998, brands=["Brand#1", "Brand#7", "Brand#20"])
@@ -174,14 +190,14 @@ def live_unique_monthly_entitled(t: Tables) -> DataFrame:
 @query
 def merged_events_live(t: Tables) -> DataFrame:
     return conform.conform(
-        t.raw_events, t.live_assets, conform.LIVE, star_schema.AS_OF, t.excluded
+        t.raw_events, {conform.LIVE: t.live_assets}, star_schema.AS_OF, t.excluded
     )
 
 
 @query
 def merged_events_ondemand(t: Tables) -> DataFrame:
     return conform.conform(
-        t.raw_events, t.ondemand_assets, conform.ONDEMAND, star_schema.AS_OF
+        t.raw_events, {conform.ONDEMAND: t.ondemand_assets}, star_schema.AS_OF
     )
 
 
@@ -280,11 +296,7 @@ def rollup_conformed_events(t: Tables) -> DataFrame:
 
 @query
 def unique_devices_by_grain(t: Tables) -> DataFrame:
-    def at(grain: str) -> DataFrame:
-        counted = rollup.unique_devices(t.plays, grain, ["brand", "content_type"])
-        return counted.select(F.lit(grain).alias("grain"), "*")
-
-    return at("daily").unionByName(at("weekly")).unionByName(at("monthly"))
+    return rollup.unique_devices(t.plays, ["brand", "content_type"])
 
 
 @query
@@ -537,6 +549,32 @@ def membership_sync(t: Tables) -> DataFrame:
     return membership.apply_changes(t.users_brands, changes, "user_id", "brand_id")
 
 
+@query
+def membership_sync_groups_brands(t: Tables) -> DataFrame:
+    """Brands of groups: copies are not touched."""
+    number = F.col("brand_id")
+    desired = t.groups_brands.where(number % 5 != 0).unionByName(
+        t.brands.where(number % 10 == 0).select((number % 25).alias("group_id"), "brand_id")
+    )
+    changes = membership.membership_changes(t.groups_brands, desired, "group_id", "brand_id")
+    return membership.apply_changes(t.groups_brands, changes, "group_id", "brand_id")
+
+
+@query
+def membership_sync_groups_users(t: Tables) -> DataFrame:
+    """Users of groups: leaving a group is leaving its copies."""
+    # Groups that are five apart and have one content type are copies.
+    groups = t.groups.withColumn(
+        "name", F.concat(F.lit("G"), (F.col("group_id") % 10).cast("string"))
+    )
+    current = t.users_groups.select("group_id", "user_id")
+    desired = current.where((F.col("user_id") + F.col("group_id")) % 4 != 0)
+    changes = membership.membership_changes(
+        current, desired, "group_id", "user_id", groups, duplicates_of="group_id"
+    )
+    return membership.apply_changes(current, changes, "group_id", "user_id")
+
+
 @query
 def membership_clear(t: Tables) -> DataFrame:
     owners = t.users.where(F.col("is_active") == False)  # noqa: E712

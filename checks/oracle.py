@@ -406,6 +406,11 @@ _QUERIES = {
         ORDER BY brand NULLS LAST, event_date DESC NULLS FIRST,
                  {', '.join(f'{c} ASC NULLS LAST' for c in _TIES.split(', '))}
         LIMIT 100""",
+    "vod_performance_count": f"""SELECT count(*) AS rows FROM ({_performance()})""",
+    "vod_performance_of_brand_ids": _export(
+        "daily", "OnDemand", _PERFORMANCE, hidden="",
+        where="AND a.brand IN ('Brand#3', 'Brand#8', 'Brand#20')",
+    ),
     "vod_performance_chart": f"""
         SELECT CASE WHEN lower(e.x1_user_type) = 'introtv' THEN 'NOWTV' ELSE 'TVE' END
                     AS product,
@@ -679,6 +684,16 @@ _QUERIES = {
         (SELECT user_id, brand_id FROM users_brands
          UNION SELECT user_id, brand_id FROM added)
         EXCEPT SELECT user_id, brand_id FROM expanded""",
+    "membership_sync_groups_brands": """
+        SELECT group_id, brand_id FROM groups_brands WHERE brand_id % 5 <> 0
+        UNION
+        SELECT brand_id % 25, brand_id FROM brands WHERE brand_id % 10 = 0""",
+    "membership_sync_groups_users": """
+        SELECT group_id, user_id FROM users_groups
+        EXCEPT
+        SELECT g.group_id, r.user_id FROM users_groups r
+        JOIN groups_ g ON g.group_id % 10 = r.group_id % 10
+        WHERE (r.user_id + r.group_id) % 4 = 0""",
     "membership_clear": """
         SELECT ub.user_id, ub.brand_id
         FROM users_brands ub JOIN brands b USING (brand_id) JOIN users u USING (user_id)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from playtally.functions import (
     platform_bucket,
     zero_if_blank,
 )
+from playtally.operators.stacking import stack
 
 # Days of events and days of arrival keys that are looked back
 # on, counted from the day before the run and from the run day itself.
@@ -66,30 +68,47 @@ def excluded_devices(filtered_devices: DataFrame) -> DataFrame:
 
 def conform(
     raw_events: DataFrame,
-    assets: DataFrame,
-    branch: Branch,
+    assets: dict[Branch, DataFrame],
     as_of: dt.date,
-    excluded: DataFrame | None = None,
+    excluded_live: DataFrame | None = None,
 ) -> DataFrame:
-    """Conformed events of one branch.
+    """Conformed events of the branches in ``assets``, 21 columns.
 
-    ``excluded`` holds (device_id, program_id) pairs to leave out. Filters and
-    projection come first; the last step alone needs whole rows in a shuffle.
+    ``excluded_live`` holds (device_id, program_id) pairs to leave out of live
+    viewing. All branches share one scan of the raw events, one join and one
+    de-duplication, which is exact because branches differ in content type.
+    Filters and projection come first; the last step alone moves whole rows.
     """
+    branches = list(assets)
+    entity = F.col("entity_type")
+    asset_key = _by_branch(branches, lambda b: F.col(b.asset_key).cast("string"))
     events = raw_events.where(
-        (F.col("entity_type") == branch.entity_type) & recent(as_of)
-    ).withColumn(branch.asset_key, F.col(branch.asset_key).cast("string"))
-    if excluded is not None:
+        entity.isin([b.entity_type for b in branches]) & recent(as_of)
+    ).withColumn("asset_key", asset_key)
+    if excluded_live is not None:
+        pairs = excluded_live.select(
+            F.lit(LIVE.entity_type).alias("entity_type"),
+            "device_id",
+            F.col("program_id").alias("asset_key"),
+        )
+        keys = ["entity_type", "device_id", "asset_key"]
         events = events.withColumn("device_id", F.col("device_id").cast("string"))
-        events = events.join(excluded, ["device_id", "program_id"], "left_anti")
-    # The entity type is the branch's on both sides, so it is a filter on each
-    # and only the asset key is left to join on.
-    known_assets = assets.where(
-        (F.col("entity_type") == branch.entity_type) & F.col("last_update").isNotNull()
-    ).select(F.col(branch.asset_key).cast("string"), "tms_episode_id")
+        events = events.join(pairs, keys, "left_anti")
+    known_assets = stack(
+        [
+            frame.where(
+                (entity == branch.entity_type) & F.col("last_update").isNotNull()
+            ).select(
+                "entity_type",
+                F.col(branch.asset_key).cast("string").alias("asset_key"),
+                "tms_episode_id",
+            )
+            for branch, frame in assets.items()
+        ]
+    )
     return (
-        events.join(known_assets, branch.asset_key)
-        .select(*_conformed_columns(branch))
+        events.join(known_assets, ["entity_type", "asset_key"])
+        .select(*_conformed_columns(branches))
         .distinct()
     )
 
@@ -101,22 +120,36 @@ def merge_events(
     filtered_devices: DataFrame,
     as_of: dt.date,
 ) -> DataFrame:
-    """Conformed events of both branches, 21 columns."""
-    live = conform(
-        raw_events, live_assets, LIVE, as_of, excluded_devices(filtered_devices)
+    """Conformed events of live and on-demand playback."""
+    return conform(
+        raw_events,
+        {LIVE: live_assets, ONDEMAND: ondemand_assets},
+        as_of,
+        excluded_devices(filtered_devices),
     )
-    ondemand = conform(raw_events, ondemand_assets, ONDEMAND, as_of)
-    return live.unionByName(ondemand)
 
 
-def _conformed_columns(branch: Branch) -> list[Column]:
+def _by_branch(branches: list[Branch], value: Callable[[Branch], Column]) -> Column:
+    """The value of the branch that an event belongs to."""
+    *others, last = branches
+    result = value(last)
+    for branch in others:
+        result = F.when(F.col("entity_type") == branch.entity_type, value(branch)).otherwise(
+            result
+        )
+    return result
+
+
+def _conformed_columns(branches: list[Branch]) -> list[Column]:
+    content_type = _by_branch(branches, lambda b: F.lit(b.content_type))
+    brand = _by_branch(branches, lambda b: F.col(b.brand_column))
     flags = completion_flags(F.col("duration_secs"), F.col("viewed_secs"))
     return [
-        F.lit(branch.content_type).alias("content_type"),
+        content_type.alias("content_type"),
         event_day(F.col("event_timestamp")).alias("eventdate"),
         F.col("event_datekey"),
         platform_bucket(F.col("platform")).alias("platform"),
-        blank_to_na(F.col(branch.brand_column)).alias("brand"),
+        blank_to_na(brand).alias("brand"),
         blank_to_na(F.col("series_name")).alias("series_title"),
         blank_to_na(F.col("season_number")).alias("season_number"),
         blank_to_na(F.col("episode_number")).alias("episode_number"),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from playtally.operators.stacking import stack
+
 # Children per document row. A parent with more is continued on further rows.
 CHILDREN_PER_ROW = 10_000
 
@@ -101,11 +101,6 @@ def nest(
     )
 
 
-def stack(frames: list[DataFrame]) -> DataFrame:
-    """Union by name; a column that a frame lacks is null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
 def as_json(df: DataFrame) -> DataFrame:
     """Write every struct and array as JSON text, nulls included."""
     return df.select(

@@ -52,6 +52,11 @@ def page_after(
     return ordered(df, keys).limit(size)
 
 
+def row_count(df: DataFrame) -> DataFrame:
+    """Number of rows of all pages."""
+    return df.agg(F.count(F.lit(1)).alias("rows"))
+
+
 def first_row(df: DataFrame, key: str) -> DataFrame:
     """Row with the lowest key."""
     return df.orderBy(F.col(key).asc_nulls_last()).limit(1)

@@ -8,10 +8,15 @@ three grains are derived without reading the plays again.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playtally.functions import completion_flags, na_to_null, period_start
+from playtally.functions.metrics import COMPLETION_SHARES
+from playtally.functions.time import GRAINS
+from playtally.operators.stacking import stack
 
 SUMMARY_KEYS = [
     "event_date",
@@ -83,7 +88,7 @@ def plays_from_events(merged_events: DataFrame) -> DataFrame:
         F.lit(1).cast("long").alias("content_starts"),
         *[
             F.col(f"pct{share}_viewed").cast("long").alias(f"pct{share}_viewed")
-            for share in (25, 50, 75, 95, 100)
+            for share in COMPLETION_SHARES
         ],
         F.col("viewed_secs").alias("total_seconds_viewed"),
     )
@@ -117,12 +122,23 @@ def roll_up_device_days(
     return _summarise(_on_period(device_days, grain), _devices(approximate))
 
 
-def unique_devices(plays: DataFrame, grain: str, by: list[str]) -> DataFrame:
-    """De-duplicated devices per period and ``by``."""
-    return (
-        _on_period(plays, grain)
-        .groupBy("event_date", *by)
-        .agg(F.countDistinct("device_id").alias("unique_devices"))
+def unique_devices(
+    plays: DataFrame, by: list[str], grains: Sequence[str] = tuple(GRAINS)
+) -> DataFrame:
+    """De-duplicated devices per grain, period and ``by``.
+
+    All grains count the same device days, so Spark computes those once and
+    reuses the exchange.
+    """
+    days = plays.select("event_date", *by, "device_id").distinct()
+    return stack(
+        [
+            _on_period(days, grain)
+            .groupBy("event_date", *by)
+            .agg(F.countDistinct("device_id").alias("unique_devices"))
+            .select(F.lit(grain).alias("grain"), "event_date", *by, "unique_devices")
+            for grain in grains
+        ]
     )
 
 

@@ -12,7 +12,8 @@ from playtally.functions import (
     natural_key,
 )
 from playtally.functions.labels import DEFAULT_PRODUCT, SECOND_PRODUCT_ON_SCREEN
-from playtally.operators.nest import CHILDREN_PER_ROW, child, nest, stack
+from playtally.operators.nest import CHILDREN_PER_ROW, child, nest
+from playtally.operators.stacking import stack
 from playtally.plans.entitlements import canonical_brands
 
 

@@ -17,6 +17,7 @@ from playtally.functions import (
     yes_no,
 )
 from playtally.operators.paging import first_row, ordered, page
+from playtally.operators.stacking import stack
 
 # Fixed value: rows of a page of users.
 USERS_PAGE_SIZE = 3
@@ -335,10 +336,7 @@ def _link_counts(
         df.select(F.col("user_id").alias(key), F.lit(kind).alias("kind"))
         for df, kind in zip(links, kinds, strict=True)
     ]
-    union = tagged[0]
-    for df in tagged[1:]:
-        union = union.unionByName(df)
-    return union.groupBy(key).agg(
+    return stack(tagged).groupBy(key).agg(
         *[
             F.count_if(F.col("kind") == kind).alias(f"{side}_count_{kind}")
             for kind in kinds

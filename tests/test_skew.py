@@ -64,7 +64,7 @@ def test_hot_program_is_split(spark):
         [("d0", "0", True, 4), ("d3", "0", True, 4)], schema("live_filtered_devices")
     )
     live = conform.conform(
-        raw, assets, conform.LIVE, AS_OF, conform.excluded_devices(filtered)
+        raw, {conform.LIVE: assets}, AS_OF, conform.excluded_devices(filtered)
     )
     assert "skew=true" in final_plan_of(live)
     dropped = raw.where("program_id = '0' AND device_id IN ('d0', 'd3')").count()
