@@ -374,11 +374,28 @@ def user_search_either(t: Tables) -> DataFrame:
 
 @query
 def users_where(t: Tables) -> DataFrame:
-    return entitlements.users_where(
+    return entitlements.rows_where(
         t.users, [("email", "ilike", "%@b%"), ("is_active", "=", True), ("user_id", ">=", 100)]
     )
 
 
+@query
+def brands_by_name(t: Tables) -> DataFrame:
+    return entitlements.rows_where(t.brands, [("name", "in", ["Brand 3", "Brand 30", "None"])])
+
+
+@query
+def legacy_user_by_email(t: Tables) -> DataFrame:
+    return entitlements.rows_where(t.legacy_users, [("email", "=", "u9@building.example")]).unionByName(
+        entitlements.rows_where(t.legacy_users, [("name", "=", "Customer#000000010")])
+    )
+
+
+@query
+def roles_in_order(t: Tables) -> DataFrame:
+    return entitlements.roles_in_order(t.roles, by="label")
+
+
 @query
 def users_page(t: Tables) -> DataFrame:
     return entitlements.users_page(t.users, number=3)

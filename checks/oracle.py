@@ -590,6 +590,12 @@ _QUERIES = {
         SELECT * FROM users WHERE name ILIKE '%99%' OR email ILIKE '%@MACHINERY%'""",
     "users_where": """
         SELECT * FROM users WHERE email ILIKE '%@b%' AND is_active AND user_id >= 100""",
+    "brands_by_name": "SELECT * FROM brands WHERE name IN ('Brand 3', 'Brand 30', 'None')",
+    "legacy_user_by_email": """
+        SELECT * FROM legacy_users WHERE email = 'u9@building.example'
+        UNION ALL
+        SELECT * FROM legacy_users WHERE name = 'Customer#000000010'""",
+    "roles_in_order": "SELECT * FROM roles",
     "users_page": "SELECT * FROM users ORDER BY user_id LIMIT 3 OFFSET 6",
     "user_by_email": """
         SELECT * FROM users

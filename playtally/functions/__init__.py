@@ -18,6 +18,7 @@ from playtally.functions.predicates import (
     contains,
     contains_any,
     in_list,
+    like,
     matches,
     same_text,
 )
@@ -46,6 +47,7 @@ __all__ = [
     "id_list",
     "in_list",
     "key_of_day_text",
+    "like",
     "local_day",
     "local_day_start",
     "matches",

@@ -41,45 +41,46 @@ def nest(
     parent with more than ``limit`` links gets ``parts`` rows, numbered by
     ``part``, each with all head values and its share of the children: no row
     and no task ever holds an unbounded group, and no child is left out. Links
-    are freed of copies, counted and placed while they are two ids wide, before
-    their members join.
+    of all kinds are freed of copies, counted and placed together while they
+    are two ids wide, before their members join.
     """
-    children = [
-        (id_column, links.select(key, id_column).distinct(), members)
-        for id_column, links, members in children
-    ]
+    link_id = ["nest_source", "nest_id"]
+    links = stack(
+        [
+            frame.select(key, *_source(number, id_column))
+            for number, (id_column, frame, _) in enumerate(children)
+        ]
+    ).distinct()
+    members = stack(
+        [
+            frame.select(*_source(number, id_column), *_kinds(frame, id_column))
+            for number, (id_column, _, frame) in enumerate(children)
+        ]
+    )
+    kinds = [name for name in members.columns if name not in link_id]
     parts = (
-        stack([links.select(key) for _, links, _ in children])
-        .groupBy(key)
+        links.groupBy(key)
         .agg(F.count(F.lit(1)).alias("n_links"))
         .where(F.col("n_links") > limit)
         .select(key, F.ceil(F.col("n_links") / limit).cast("int").alias("parts"))
     )
     one = F.coalesce("parts", F.lit(1))
-
     heads_in_all_parts = (
         stack(list(heads.values()))
         .join(parts, key, "left")
         .withColumn("parts", one)
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )
-    placed = [
+    placed = (
         links.join(parts, key, "left")
-        .select(key, id_column, F.pmod(F.xxhash64(id_column), one).cast("int").alias("part"))
-        .join(members, id_column)
-        .drop(id_column)
-        for id_column, links, members in children
-    ]
-    kinds = [
-        name
-        for id_column, _, members in children
-        for name in members.columns
-        if name != id_column
-    ]
+        .select(key, *link_id, F.pmod(F.xxhash64(*link_id), one).cast("int").alias("part"))
+        .join(members, link_id)
+        .drop(*link_id)
+    )
     # Spread by part as well: the join above gathered a parent's rows by key, and
     # grouping alone would be content with that.
     return (
-        stack([heads_in_all_parts, *placed])
+        stack([heads_in_all_parts, placed])
         .repartition(key, "part")
         .groupBy(key, "part")
         .agg(
@@ -101,6 +102,18 @@ def nest(
     )
 
 
+def _source(number: int, id_column: str) -> list[Column]:
+    """Identity of a member among the members of all sources."""
+    return [
+        F.lit(number).alias("nest_source"),
+        F.col(id_column).cast("string").alias("nest_id"),
+    ]
+
+
+def _kinds(members: DataFrame, id_column: str) -> list[str]:
+    return [name for name in members.columns if name != id_column]
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """Write every struct and array as JSON text, nulls included."""
     return df.select(

@@ -71,13 +71,14 @@ def sort_key(order_by: str) -> tuple[str, str]:
 def days_from_text(start: str, end: str) -> tuple[dt.date, dt.date]:
     """First and last day of a request in ISO text.
 
-    An end that is not the last second of a day is exclusive: the last day is
-    the one before.
+    A start at the first and an end at the last second of a day name that day,
+    whatever their offset. Other moments are taken in UTC, and such an end is
+    exclusive: the last day is the one before.
     """
-    last = _utc(end).date()
-    if "T23:59:59" not in end:
-        last -= dt.timedelta(days=1)
-    return _utc(start).date(), last
+    first = _named_day(start) if "T00:00:00" in start else _utc_day(start)
+    if "T23:59:59" in end:
+        return first, _named_day(end)
+    return first, _utc_day(end) - dt.timedelta(days=1)
 
 
 def days_from_epoch_ms(
@@ -101,6 +102,10 @@ def export_product(product: str | None) -> str | None:
     return product
 
 
-def _utc(text: str) -> dt.datetime:
+def _named_day(text: str) -> dt.date:
+    return dt.date.fromisoformat(text.partition("T")[0])
+
+
+def _utc_day(text: str) -> dt.date:
     moment = dt.datetime.fromisoformat(text)
-    return moment.astimezone(dt.UTC) if moment.tzinfo else moment
+    return (moment.astimezone(dt.UTC) if moment.tzinfo else moment).date()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from playtally.functions import (
     all_of,
+    contains,
     contains_any,
     in_list,
     natural_key,
@@ -264,8 +265,8 @@ def find_users(
     is what the user search does; ``'both'`` needs both parts to match and
     ``'either'`` one of them.
     """
-    by_name = F.col("name").ilike(f"%{name}%")
-    by_email = F.col("email").ilike(f"%{email}%")
+    by_name = contains(F.col("name"), name)
+    by_email = contains(F.col("email"), email)
     tests = {
         "name": by_name & F.col("email").isNotNull(),
         "both": by_name & by_email,
@@ -274,9 +275,9 @@ def find_users(
     return users.where(tests[mode])
 
 
-def users_where(users: DataFrame, predicates: Iterable[tuple[str, str, object]]) -> DataFrame:
-    """Users that pass every ``(column, operator, value)`` test."""
-    return users.where(all_of(predicates))
+def rows_where(df: DataFrame, predicates: Iterable[tuple[str, str, object]]) -> DataFrame:
+    """Rows of any table that pass every ``(column, operator, value)`` test."""
+    return df.where(all_of(predicates))
 
 
 def users_page(users: DataFrame, number: int = 1, size: int = USERS_PAGE_SIZE) -> DataFrame:

@@ -116,6 +116,13 @@ def test_predicates(column):
     # Wildcards in the text are not escaped.
     assert column(texts, "string", lambda x: fn.contains(x, "d_a")) == [True, True, None]
     assert column(texts, "string", lambda x: fn.matches(x, "DRAMA")) == [False, True, None]
+    # A backslash makes the next character literal, also at the end of the text.
+    assert column(["50%", "50x", "ab"], "string", lambda x: fn.contains(x, "0\\%")) == [
+        True, False, False
+    ]
+    assert column(["ab", "a\\b"], "string", lambda x: fn.contains(x, "a\\b")) == [True, False]
+    assert column(["ab", "a\\b"], "string", lambda x: fn.contains(x, "a\\\\b")) == [False, True]
+    assert column(["a%", "ab"], "string", lambda x: fn.contains(x, "a\\")) == [True, False]
     assert column(texts, "string", lambda x: fn.in_list(x, [])) == [False, False, False]
     assert column(["a%b", "axb"], "string", lambda x: fn.same_text(x, "A%B")) == [True, False]
     any_of = lambda x: fn.contains_any(x, ["%50%", "%zz%"])
@@ -139,5 +146,7 @@ def test_all_of(spark):
     df = spark.createDataFrame([(1, "Ann"), (2, "Bob"), (3, "Anna")], "id int, name string")
     kept = df.where(fn.all_of([("name", "ILIKE", "an%"), ("id", ">", 1)])).collect()
     assert [r.id for r in kept] == [3]
+    assert [r.id for r in df.where(fn.all_of([("name", "in", ["Bob"])])).collect()] == [2]
+    assert df.where(fn.all_of([])).count() == 3
     with pytest.raises(ValueError):
         fn.all_of([("id", "; drop", 1)])

@@ -11,6 +11,9 @@ def test_text_range_end_is_exclusive_unless_last_second():
     assert params.days_from_text("2023-05-01T00:00:00", "2023-05-26T23:59:59") == (
         first, dt.date(2023, 5, 26)
     )
+    assert params.days_from_text("2023-05-01T00:00:00+09:00", "2023-05-26T23:59:59-05:00") == (
+        first, dt.date(2023, 5, 26)
+    )
     assert params.days_from_text("2023-05-01T22:00:00-05:00", "2023-05-03T00:00:00Z") == (
         dt.date(2023, 5, 2), dt.date(2023, 5, 2)
     )
