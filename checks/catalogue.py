@@ -299,6 +299,21 @@ def unique_devices_by_grain(t: Tables) -> DataFrame:
     return rollup.unique_devices(t.plays, ["brand", "content_type"])
 
 
+@query
+def unique_devices_by_sketch(t: Tables) -> DataFrame:
+    """Whether the merged daily sketches come near the exact count of the month."""
+    by = ["brand", "content_type"]
+    exact = rollup.unique_devices(t.plays, by, ["monthly"])
+    close = rollup.devices_from_sketches(
+        rollup.device_sketches(t.plays, by), "monthly", by
+    ).withColumnRenamed("unique_devices", "estimate")
+    error = F.abs(F.col("estimate") - F.col("unique_devices"))
+    return exact.join(close, ["event_date", *by]).select(
+        "event_date", *by, "unique_devices",
+        (error <= F.greatest(F.lit(1.0), F.col("unique_devices") * 0.05)).alias("is_close"),
+    )
+
+
 @query
 def product_backfill(t: Tables) -> DataFrame:
     days = dt.date(1998, 5, 1), dt.date(1998, 7, 31)

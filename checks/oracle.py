@@ -409,7 +409,8 @@ _QUERIES = {
     "vod_performance_count": f"""SELECT count(*) AS rows FROM ({_performance()})""",
     "vod_performance_of_brand_ids": _export(
         "daily", "OnDemand", _PERFORMANCE, hidden="",
-        where="AND a.brand IN ('Brand#3', 'Brand#8', 'Brand#20')",
+        where="AND a.brand IN (SELECT replace(name, ' ', '#') FROM brands"
+              " WHERE brand_id IN (3, 8, 48, 60))",
     ),
     "vod_performance_chart": f"""
         SELECT CASE WHEN lower(e.x1_user_type) = 'introtv' THEN 'NOWTV' ELSE 'TVE' END
@@ -519,6 +520,10 @@ _QUERIES = {
             ("monthly", "CAST(date_trunc('month', event_date) AS DATE)"),
         )
     ),
+    "unique_devices_by_sketch": """
+        SELECT CAST(date_trunc('month', event_date) AS DATE) AS event_date, brand,
+               content_type, count(DISTINCT device_id) AS unique_devices, true AS is_close
+        FROM viewing GROUP BY 1, 2, 3""",
     "product_backfill": """
         SELECT * REPLACE (
             CASE WHEN event_date BETWEEN DATE '1998-05-01' AND DATE '1998-07-31'

@@ -86,6 +86,25 @@ def test_approximate_devices_are_close(spark):
     assert abs(close - exact) < 0.08 * exact
 
 
+def test_sketches_of_days_merge(spark):
+    """Half of the devices come back on the second day."""
+    first, second = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    plays = spark.range(20_000).select(
+        F.lit(first).alias("event_date"), F.lit("B").alias("brand"),
+        F.col("id").cast("string").alias("device_id"),
+    ).unionByName(
+        spark.range(10_000, 30_000).select(
+            F.lit(second).alias("event_date"), F.lit("B").alias("brand"),
+            F.col("id").cast("string").alias("device_id"),
+        )
+    )
+    sketches = rollup.device_sketches(plays, ["brand"])
+    assert sketches.count() == 2
+    [week] = rollup.devices_from_sketches(sketches, "weekly", ["brand"]).collect()
+    assert week.event_date == first
+    assert abs(week.unique_devices - 30_000) < 0.05 * 30_000
+
+
 def test_weekly_devices_lie_between_the_days(plays):
     week = F.trunc("event_date", "WEEK")
     keys = [k for k in rollup.SUMMARY_KEYS if k != "event_date"]
