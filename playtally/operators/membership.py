@@ -32,23 +32,10 @@ def membership_diff(
     keep their links. Both link sets are stacked and grouped by pair, which
     takes one shuffle and collapses copies of a link before it.
     """
-    if scope is not None:
-        owners = scope.select(left).distinct()
-        current = current.join(owners, left, "left_semi")
-        desired = desired.join(owners, left, "left_semi")
-    stacked = _flag(current, left, right, False).unionByName(
-        _flag(desired, left, right, True)
-    )
-    return (
-        stacked.groupBy(left, right)
-        .agg(
-            F.bool_or(~F.col("wanted")).alias("is_current"),
-            F.bool_or("wanted").alias("is_wanted"),
-        )
-        .where(F.col("is_current") != F.col("is_wanted"))
-        .select(
-            F.when(F.col("is_wanted"), INSERT).otherwise(DELETE).alias("action"), left, right
-        )
+    states = _states(current, desired, left, right, scope)
+    changed = states.where(F.col("is_current") != F.col("is_wanted"))
+    return changed.select(
+        F.when(F.col("is_wanted"), INSERT).otherwise(DELETE).alias("action"), left, right
     )
 
 
@@ -97,32 +84,25 @@ def membership_changes(
 ) -> DataFrame:
     """Net changes of a sync: (action, left, right).
 
-    With a ``dimension`` deletes reach its duplicates. Deletes run after
-    inserts, so a new link to a duplicate of a removed member is not kept.
+    With a ``dimension``, whose ids are unique, deletes reach its duplicates.
+    Deletes run after inserts, so a new link to a duplicate of a removed member
+    is not kept. Links and deletes meet on the owner and the name of the
+    member; that takes the states of all links once, and two more shuffles.
     """
-    diff = membership_diff(current, desired, left, right, scope)
     if dimension is None:
-        return diff
-    inserts = diff.where(F.col("action") == INSERT).select(left, right)
-    links = current.select(left, right).unionByName(inserts)
-    gone = expand_deletes(links, diff, dimension, left, right, duplicates_of)
-    # A removed link whose member is missing from the dimension still goes.
-    removed = diff.where(F.col("action") == DELETE).select(left, right)
-    tags = (
-        _mark(current, left, right, "is_current")
-        .unionByName(_mark(inserts, left, right, "is_new"), allowMissingColumns=True)
-        .unionByName(_mark(gone, left, right, "is_gone"), allowMissingColumns=True)
-        .unionByName(_mark(removed, left, right, "is_gone"), allowMissingColumns=True)
-    )
-    state = tags.groupBy(left, right).agg(
-        *[
-            F.coalesce(F.bool_or(name), F.lit(False)).alias(name)
-            for name in ("is_current", "is_new", "is_gone")
-        ]
-    )
-    delete = F.col("is_current") & F.col("is_gone")
-    insert = F.col("is_new") & ~F.col("is_gone")
-    return state.where(delete | insert).select(
+        return membership_diff(current, desired, left, right, scope)
+    side = duplicates_of or right
+    keys = [left if side == right else right, "name", "content_type"]
+    names = dimension.select(side, "name", "content_type")
+    states = _states(current, desired, left, right, scope).join(names, side, "left")
+    is_removed = F.col("is_current") & ~F.col("is_wanted")
+    removed = states.where(is_removed).select(*keys).distinct()
+    marked = states.join(removed.withColumn("copy_removed", F.lit(True)), keys, "left")
+    # A removed link whose member is missing from the dimension has no copies.
+    is_gone = is_removed | F.coalesce("copy_removed", F.lit(False))
+    delete = F.col("is_current") & is_gone
+    insert = ~F.col("is_current") & ~is_gone
+    return marked.where(delete | insert).select(
         F.when(insert, INSERT).otherwise(DELETE).alias("action"), left, right
     )
 
@@ -167,9 +147,18 @@ def upsert_single(links: DataFrame, changes: DataFrame, left: str) -> DataFrame:
     return kept.unionByName(changes.select(*links.columns).distinct())
 
 
-def _flag(df: DataFrame, left: str, right: str, wanted: bool) -> DataFrame:
-    return df.select(left, right, F.lit(wanted).alias("wanted"))
-
-
-def _mark(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
-    return df.select(left, right, F.lit(True).alias(name))
+def _states(
+    current: DataFrame, desired: DataFrame, left: str, right: str, scope: DataFrame | None
+) -> DataFrame:
+    """Every current or wanted link once, with both flags."""
+    if scope is not None:
+        owners = scope.select(left).distinct()
+        current = current.join(owners, left, "left_semi")
+        desired = desired.join(owners, left, "left_semi")
+    stacked = current.select(left, right, F.lit(False).alias("wanted")).unionByName(
+        desired.select(left, right, F.lit(True).alias("wanted"))
+    )
+    return stacked.groupBy(left, right).agg(
+        F.bool_or(~F.col("wanted")).alias("is_current"),
+        F.bool_or("wanted").alias("is_wanted"),
+    )
