@@ -291,7 +291,8 @@ def rollup_daily_from_device_days(t: Tables) -> DataFrame:
 
 @query
 def rollup_conformed_events(t: Tables) -> DataFrame:
-    return rollup.roll_up(rollup.plays_from_events(t.merged_events), "daily")
+    # The twin has no such hash: it groups by what is hashed.
+    return rollup.roll_up(rollup.plays_from_events(t.merged_events), "daily").drop("asset_id")
 
 
 @query
@@ -401,8 +402,10 @@ def brands_by_name(t: Tables) -> DataFrame:
 
 @query
 def legacy_user_by_email(t: Tables) -> DataFrame:
-    return entitlements.rows_where(t.legacy_users, [("email", "=", "u9@building.example")]).unionByName(
-        entitlements.rows_where(t.legacy_users, [("name", "=", "Customer#000000010")])
+    by_email = [("email", "=", "u9@building.example")]
+    by_name = [("name", "=", "Customer#000000010")]
+    return entitlements.rows_where(t.legacy_users, by_email).unionByName(
+        entitlements.rows_where(t.legacy_users, by_name)
     )
 
 

@@ -493,10 +493,7 @@ _QUERIES = {
     "rollup_monthly": "SELECT * FROM summary_monthly",
     "rollup_daily_from_device_days": "SELECT * FROM summary_daily",
     "rollup_conformed_events": """
-        SELECT eventdate AS event_date,
-               md5(concat_ws(chr(31), brand, series_title, season_number, episode_number,
-                             episode_name)) AS asset_id,
-               platform, brand, content_type, x1_user_type,
+        SELECT eventdate AS event_date, platform, brand, content_type, x1_user_type,
                nullif(gracenote_id, 'N/A') AS gracenote_id,
                max(duration_secs) AS total_duration, airdate AS air_date,
                count(*) AS content_starts,

@@ -15,8 +15,8 @@ def t(spark):
 
     return {
         "users": frame("users", [
-            (1, "Ann", "ann@cbs.example", True, "x"), (2, "Bob", "bob@x.example", None, None),
-            (3, None, None, False, None), (4, "Ann", "ann@cbs.example", True, None),
+            (1, "Ann", "ann@acme.example", True, "x"), (2, "Bob", "bob@x.example", None, None),
+            (3, None, None, False, None), (4, "Ann", "ann@acme.example", True, None),
         ]),
         "groups": frame("groups", [(10, "G10", "Live"), (11, "G2", "OnDemand"), (12, "G1", "Live")]),
         "brands": frame("brands", [
@@ -40,7 +40,7 @@ def _rows(df):
 def test_access_keeps_links_to_missing_rows_as_nulls(t):
     access = entitlements.access_by_email(
         t["users"], t["users_groups"], t["groups"], t["groups_brands"], t["brands"],
-        ["%cbs%", "%bob@%"],
+        ["%acme%", "%bob@%"],
     )
     found = {(r.user_id, r.group_id, r.brand_id) for r in access.collect()}
     assert found == {
@@ -70,7 +70,7 @@ def test_brands_by_group_counts(spark, t):
 
 def test_system_comparison_adds_up_shared_emails(spark, t):
     old = spark.createDataFrame(
-        [(100, "a", "ann@cbs.example", True), (101, "b", "ann@cbs.example", True),
+        [(100, "a", "ann@acme.example", True), (101, "b", "ann@acme.example", True),
          (102, "c", None, True)],
         schema("legacy_users"),
     )
@@ -109,8 +109,8 @@ def test_lookups(t):
     assert ids(entitlements.find_users(users)) == [1, 2, 4]
     assert ids(entitlements.find_users(users, "bob", "ann", mode="either")) == [1, 2, 4]
     assert ids(entitlements.find_users(users, "bob", "ann", mode="both")) == []
-    assert ids(entitlements.user_by_email(users, "ANN@cbs.EXAMPLE")) == [1]
-    assert ids(entitlements.user_by_email(users, "ann@cbs.example", is_active=False)) == []
+    assert ids(entitlements.user_by_email(users, "ANN@acme.EXAMPLE")) == [1]
+    assert ids(entitlements.user_by_email(users, "ann@acme.example", is_active=False)) == []
     assert ids(entitlements.users_page(users, 2)) == [4]
     assert [r.name for r in entitlements.brand_names(brands, [9, 7, 8]).collect()] == ["A", "A", "B"]
     assert entitlements.brand_names(brands, []).count() == 0
@@ -151,7 +151,8 @@ def test_large_documents_continue_on_further_rows(spark, t):
     n = 900
     users = spark.range(n).select(
         F.col("id").alias("user_id"), F.concat(F.lit("U"), F.col("id")).alias("name"),
-        F.lit("e").alias("email"), F.lit(True).alias("is_active"), F.lit(None).cast("string").alias("password"),
+        F.lit("e").alias("email"), F.lit(True).alias("is_active"),
+        F.lit(None).cast("string").alias("password"),
     )
     links = spark.range(n).select(
         F.col("id").alias("user_id"),
@@ -224,7 +225,7 @@ def test_option_lists(t):
     groups = documents.group_options(t["groups"], "live").collect()
     assert [r.label for r in groups] == ["G1", "G10"]
     labels = {r.value: r.label for r in documents.user_options(t["users"]).collect()}
-    assert labels[1] == "Ann (ann@cbs.example)"
+    assert labels[1] == "Ann (ann@acme.example)"
     assert labels[3] == " ()"
     with pytest.raises(ValueError):
         documents.brand_options(t["brands"], "all")

@@ -85,8 +85,9 @@ def test_group_side_duplicates(spark):
     groups = spark.createDataFrame(
         [(1, "G", "Live"), (2, "G", "Live"), (3, "H", "Live")], schema("groups")
     )
-    current = spark.createDataFrame([(1, 50), (2, 50), (3, 50), (2, 51)], "group_id bigint, user_id bigint")
-    desired = spark.createDataFrame([(2, 50), (3, 50), (2, 51)], "group_id bigint, user_id bigint")
+    columns = "group_id bigint, user_id bigint"
+    current = spark.createDataFrame([(1, 50), (2, 50), (3, 50), (2, 51)], columns)
+    desired = spark.createDataFrame([(2, 50), (3, 50), (2, 51)], columns)
     changes = membership.membership_changes(
         current, desired, "group_id", "user_id", groups, duplicates_of="group_id"
     )

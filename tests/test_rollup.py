@@ -83,7 +83,7 @@ def test_approximate_devices_are_close(spark):
     exact = rollup.roll_up(plays, "daily").first().unique_devices
     close = rollup.roll_up(plays, "daily", approximate=True).first().unique_devices
     assert exact == 20_000
-    assert abs(close - exact) < 0.08 * exact
+    assert abs(close - exact) < 0.15 * exact
 
 
 def test_sketches_of_days_merge(spark):
