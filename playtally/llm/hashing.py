@@ -105,14 +105,39 @@ def window_hashes(hashes: np.ndarray, size: int, base: int = WORD_BASE) -> np.nd
     return stretch_hashes(hashes, first, first + size, base)
 
 
-def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
-    """Minimum of every `size` consecutive values, by doubling."""
+def sliding_argmin(values: np.ndarray, size: int) -> np.ndarray:
+    """Place of the first minimum of every `size` consecutive values, by doubling."""
     n = len(values) - size + 1
     if n <= 0:
-        return values[:0]
-    low, width = values, 1
-    while 2 * width <= size:
-        low = np.minimum(low[: len(low) - width], low[width:])
-        width *= 2
-    rest = size - width
-    return np.minimum(low[:n], low[rest : rest + n]) if rest else low[:n]
+        return np.zeros(0, np.int32)
+    low, place, width = values, np.arange(len(values), dtype=np.int32), 1
+    while width < size:
+        step = min(width, size - width)
+        later = low[step:] < low[:-step]
+        low = np.where(later, low[step:], low[:-step])
+        place = np.where(later, place[step:], place[:-step])
+        width += step
+    return place
+
+
+def window_runs(values: np.ndarray, row: np.ndarray, size: int, gram: int):
+    """Runs of windows of one row that share the place of their smallest gram: (gram hash, first window, windows).
+
+    A window's smallest gram depends on its content alone, so equal windows carry the same hash
+    wherever they lie. On random values a run is (size - gram + 2) / 2 windows long.
+    """
+    n = len(values) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams = window_hashes(values, gram)
+    place = sliding_argmin(grams, size - gram + 1)
+    valid = row[:n] == row[size - 1 :]
+    start = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (valid[1:] != valid[:-1]))))
+    length = np.diff(np.concatenate((start, [n])))
+    keep = valid[start]
+    start, length = start[keep], length[keep]
+    return grams[place[start]], start, length
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))

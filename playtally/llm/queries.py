@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playtally.llm import decontaminate, line_dedup, near_dedup, packing, pseudonyms, quality_rules
+from playtally.llm import decontaminate, line_dedup, near_dedup, packing, pseudonyms, quality_rules, suffix_dedup, window_dedup
 from playtally.llm.oracle import ORACLE_SQL
 
 
@@ -28,6 +28,23 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(_table(spark, folder, "documents"), trusted).select("doc_id", "_quality.*")
 
 
+def op3_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = window_dedup.remove_repeats(_table(spark, folder, "documents"))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
+
+
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines and removed lines of every document, and the digest of the text that is left."""
     return line_dedup.dedup_lines(_table(spark, folder, "documents").select("doc_id", "text")).select(
@@ -76,6 +93,8 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_window_dedup": op3_window_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_near_dedup": op8_near_dedup,
