@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playtally.llm import decontaminate, line_dedup, near_dedup, packing, pseudonyms, quality_rules, suffix_dedup, window_dedup
+from playtally.llm import (
+    decontaminate,
+    language_id,
+    line_dedup,
+    near_dedup,
+    packing,
+    pseudonyms,
+    quality_classifier,
+    quality_rules,
+    suffix_dedup,
+    window_dedup,
+)
 from playtally.llm.oracle import ORACLE_SQL
 
 
@@ -34,6 +45,19 @@ def op3_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
 
 
+def _held_out(folds: int, remainder: int) -> Column:
+    """Whether a document belongs to the fold that is not learnt from; null ids never do."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), folds) == remainder, F.lit(False))
+
+
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = language_id.learn(docs.where(~_held_out(5, 0)))
+    return language_id.predict(docs, model).select(
+        "doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(_table(spark, folder, "documents"))
     return found.select(
@@ -74,6 +98,18 @@ def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, folder, "documents"))
 
 
+#: Score from which a document counts as good.
+GOOD = 0.7
+
+
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs.where(~_held_out(4, 2)), _table(spark, folder, "labels"))
+    return quality_classifier.score(docs, model).select(
+        "doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")
+    )
+
+
 #: The key of these queries; who uses the operator brings one.
 QUERY_KEY = b"registered query"
 
@@ -94,9 +130,11 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_window_dedup": op3_window_dedup,
+    "op4_language_id": op4_language_id,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_near_dedup": op8_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_pseudonyms": op10_pseudonyms,
 }
