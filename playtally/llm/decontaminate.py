@@ -218,7 +218,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("doc_id").alias("_judged_id"), F.xxhash64("text").alias("_judged_text")
     ).distinct()
     return docs.join(
-        judged,
+        judged.hint("merge"),
         (F.col("doc_id") == F.col("_judged_id")) & (F.xxhash64("text") == F.col("_judged_text")),
         "left_anti",
     )

@@ -145,7 +145,7 @@ def removed_lines(docs: DataFrame, min_words: int, id_column: str, text_column:
     same_document = lambda a, b: a["_doc"].eqNullSafe(b["_doc"]) & (a["_digest"] == b["_digest"])
     # Rows that repeat an id and its text are one document here.
     lines = (
-        texts.join(lists, same_document(texts, lists))
+        texts.join(lists.hint("merge"), same_document(texts, lists))
         .select(texts["_doc"], texts["_digest"], F.explode("numbers").alias("_line"), native.lines(F.col("_text")).alias("of"))
         .select(place.alias("first"), native.words(F.get("of", F.col("_line"))).alias("words"))
     )
@@ -203,7 +203,7 @@ def dedup_lines(
     """All columns of `docs`, the text without removed lines, and the counts _n_lines and _n_removed."""
     gone = removed_lines(docs, min_words, id_column, text_column)
     joined = docs.join(
-        gone,
+        gone.hint("merge"),
         docs[id_column].eqNullSafe(gone["_doc"]) & (F.xxhash64(docs[text_column]) == gone["_digest"]),
         "left",
     )

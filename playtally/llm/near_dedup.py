@@ -263,7 +263,7 @@ def near_duplicates(
     pairs = stored(candidates(heads).where("a <> b"))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(texts.join(wanted, "doc_id").mapInArrow(_sets(shingle), "doc_id long, set binary"))
+    sets = stored(texts.join(wanted.hint("merge"), "doc_id").mapInArrow(_sets(shingle), "doc_id long, set binary"))
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
     links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), PAIRS)
     # A class is a star around its head; a repeated id ties its classes together.
@@ -288,4 +288,4 @@ def drop_near_duplicates(docs: DataFrame, shingle: int, percent: int, id_column:
         .select(F.col("doc_id").alias("_gone"))
         .distinct()
     )
-    return docs.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(id_column) == F.col("_gone"), "left_anti")

@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int
         .agg(F.max("quality").cast("int").alias("label"))
     )
     share = min(1.0, sample / max(1, known.count()))
-    rows = docs.join(known, F.col("doc_id") == F.col("_id")).select(
+    rows = docs.join(known.hint("merge"), F.col("doc_id") == F.col("_id")).select(
         "text", "label", F.shiftrightunsigned(F.xxhash64("doc_id"), 32).alias("die")
     )
     found = stored(rows.mapInArrow(_count(buckets, share), _COUNTED))

@@ -341,7 +341,8 @@ def remove_repeats(
 
     def with_texts(lists: DataFrame, how: str = "inner") -> DataFrame:
         lists = lists.withColumnRenamed("doc_id", "_id")
-        return texts.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id")
+        # No broadcast: the lists grow with the corpus.
+        return texts.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id")
 
     blocks = with_texts(hits).mapInArrow(_sorted_runs(size, gram, parts), BLOCK)
     spans = blocks.groupBy("part").applyInArrow(_merge(size), "doc_id long, digest long, start long, end long")

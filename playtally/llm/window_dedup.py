@@ -194,7 +194,8 @@ def remove_repeats(
 
     def with_texts(lists: DataFrame, how: str = "inner") -> DataFrame:
         lists = lists.withColumnRenamed("doc_id", "_id")
-        return texts.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id")
+        # No broadcast: the lists grow with the corpus.
+        return texts.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id")
 
     runs = with_texts(hits).mapInArrow(_runs(size, gram), RUNS)
     first, later = first_and_rest(runs, ["h", "s1", "s2"])
