@@ -85,7 +85,7 @@ def log_ratios(
     listed = trusted.select(F.col(id_column).alias("_id")).where("_id is not null").distinct()
     texts = docs.select(F.col(id_column).alias("_doc"), F.col(text_column).alias("_text"))
     counted = (
-        texts.join(listed, F.col("_doc") == F.col("_id"), "left")
+        texts.join(listed.hint("merge"), F.col("_doc") == F.col("_id"), "left")
         .select(F.col("_id").isNotNull().alias("good"), native.words(F.col("_text")).alias("words"))
         .select("good", F.transform("words", lambda x: F.xxhash64(x)).alias("alone"))
         .select("good", F.explode(F.concat("alone", joined(F.col("alone"), 1))).alias("gram"))
