@@ -15,27 +15,31 @@ def components(links: DataFrame) -> DataFrame:
     smaller neighbours to the smallest (large star, small star). Links become stars after some
     logarithm of the longest path. A node's neighbours are only aggregated, so hubs do no harm.
     """
-    links = stored(_directed(links))
-    while True:
+    links, before = stored(_directed(links)), None
+    while (now := _print(links)) != before:
+        before = now
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = stored(_directed(large))
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        joined = large.join(low, "a")
-        small = joined.select("a", F.col("low").alias("b")).unionByName(
-            joined.select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = _directed(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")))
+        large = stored(large)
+        joined = large.join(large.groupBy("a").agg(F.min("b").alias("low")), "a")
+        links = stored(
+            _directed(
+                joined.select("a", F.col("low").alias("b")).unionByName(
+                    joined.select(F.col("b").alias("a"), F.col("low").alias("b"))
+                )
+            )
         )
-        small = stored(_directed(small))
-        changed = not small.exceptAll(links).isEmpty() or not links.exceptAll(small).isEmpty()
-        links = small
-        if not changed:
-            break
     members = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return members.unionByName(roots).distinct()
 
 
+def _print(links: DataFrame) -> tuple:
+    """Number and combined hash of the links; a round that changes nothing leaves both."""
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 def _directed(links: DataFrame) -> DataFrame:
     """Each link once, from the larger to the smaller node, without loops."""
     return links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -3,9 +3,10 @@
 The set of a document are its distinct shingles. Documents with equal sets form a class, and one of each
 class goes on. In each of several independent trees a document takes `BRANCHES` minwise tokens of the
 root and goes down the branch of each token's value. A node of at most `LEAF` documents is compared
-exhaustively. A larger node compares every member with the node's first and with its neighbour in the
-order of signatures, which is linear, and unless all members turn out to be near copies of the first,
-sends them on along further tokens. Two documents of similarity s share one value with probability s; at
+exhaustively. A larger node compares every member with one of them, which is linear, and unless all turn out
+to be near copies of it, sends them on along further tokens. Nodes that are still large after
+`DEEP` levels hold documents that agree in many tokens: their members, in the order of signatures, are cut
+into leaves, and the first of each leaf form a smaller node. Two documents of similarity s share one value with probability s; at
 0.85, `TREES` = 4 trees of 2 branches miss a pair in a small node with a chance of 0.15 ** 8.
 
 Comparing signatures only proposes pairs. A pair is linked if the full sets confirm it; links then become
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtally.llm import hashing
@@ -41,11 +42,13 @@ TOKENS = 96
 TREES = 4
 BRANCHES = 2
 LEAF = 48
-#: Levels with BRANCHES branches; below them a member follows one.
+#: Levels with BRANCHES branches; below them a member follows one, and from DEEP on nodes are cut in order.
 WIDE_LEVELS = 2
-#: Shares of equal tokens: below MAYBE no pair is proposed (four standard errors under the threshold),
-#: from SURELY on, documents count as near copies when pairs are chosen (three above).
-MAYBE, SURELY = 0.70, 0.95
+DEEP = 4
+#: Shares of equal tokens: below MAYBE no pair is proposed (over five standard errors under the threshold),
+#: from SURELY on, documents count as near copies when pairs are chosen (three above); a node closes
+#: if all its members reach CLOSE.
+MAYBE, SURELY, CLOSE = 0.66, 0.95, 0.87
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -92,7 +95,10 @@ def _sketch(size: int):
                     continue
                 tokens = np.empty(TOKENS, np.uint64)
                 for t in range(TOKENS):
-                    tokens[t] = (own * factor[t] + shift[t]).min()
+                    mixed = own * factor[t]
+                    mixed ^= mixed >> np.uint64(32)
+                    mixed *= shift[t]
+                    tokens[t] = mixed.min()
                 tokens = hashing.mix(tokens)
                 sig.append((tokens & np.uint64(255)).astype(np.uint8).tobytes())
                 roots.append(hashing.mix(tokens[chosen] ^ names).view(np.int64).tolist())
@@ -192,7 +198,8 @@ def candidates(sketches: DataFrame) -> DataFrame:
             .mapInArrow(_compare_leaves, PAIRS)
         )
         large = members.where(F.col("n") > LEAF)
-        first = large.groupBy("node").agg(F.min("doc_id").alias("first"))
+        chosen = F.struct(F.xxhash64("node", "doc_id"), "doc_id")
+        first = large.groupBy("node").agg(F.min(chosen)["doc_id"].alias("first"))
         heads = first.join(signatures.withColumnRenamed("sig", "first_sig"), F.col("first") == F.col("doc_id")).drop("doc_id")
         compared = stored(
             large.join(heads, "node")
@@ -204,14 +211,18 @@ def candidates(sketches: DataFrame) -> DataFrame:
         )
         found = small.unionByName(star).distinct()
         pairs = found if pairs is None else pairs.unionByName(found)
-        open_nodes = compared.groupBy("node").agg(F.min("share").alias("share")).where(F.col("share") < SURELY)
-        frontier = (
-            large.join(open_nodes.select("node"), "node", "left_semi")
-            .select("node", "doc_id", "sig")
-            .mapInArrow(_descend(level), "node long, doc_id long")
-            .distinct()
-        )
-        if level >= TOKENS or open_nodes.isEmpty():
+        open_nodes = compared.groupBy("node").agg(F.min("share").alias("share")).where(F.col("share") < CLOSE)
+        left = large.join(open_nodes.select("node"), "node", "left_semi").select("node", "doc_id", "sig")
+        if level < DEEP:
+            frontier = left.mapInArrow(_descend(level), "node long, doc_id long").distinct()
+        else:
+            ordered = Window.partitionBy("node").orderBy("sig", "doc_id")
+            placed = left.withColumn("place", F.row_number().over(ordered) - 1)
+            leaf = F.floor(F.col("place") / LEAF)
+            frontier = placed.select(F.xxhash64("node", leaf).alias("node"), "doc_id").unionByName(
+                placed.where(F.col("place") % LEAF == 0).select(F.xxhash64("node", F.lit("first")).alias("node"), "doc_id")
+            )
+        if open_nodes.isEmpty():
             return pairs.distinct()
 
 
