@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playtally.llm import native
+from playtally.llm.store import stored
 
 MIN_WORDS = 5
 #: Words of a block of the running hash.
@@ -134,13 +135,17 @@ def removed_lines(docs: DataFrame, min_words: int, id_column: str, text_column:
         F.xxhash64(F.lit(1), F.size("words"), "words").alias("k2"),
         _halves(F.col("words")).alias("halves"),
     )
-    alike = every.groupBy("k1", "k2").agg(
-        F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.min("halves").alias("halves")
+    alike = stored(
+        every.groupBy("k1", "k2").agg(
+            F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.min("halves").alias("halves")
+        )
     )
 
-    half = alike.select("first", F.explode(F.array_distinct("halves")).alias("half"))
+    # A line goes by its first hash here; another line with the same hash is one candidate more.
+    half = alike.select("k1", F.explode(F.array_distinct("halves")).alias("half"))
     shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    candidates = half.join(shared, "half", "left_semi").select("first.*").distinct()
+    able = half.join(shared, "half", "left_semi").select("k1").distinct()
+    candidates = alike.join(able, "k1", "left_semi").select("first.*")
     lists = candidates.groupBy("_doc", "_digest").agg(F.collect_list("_line").alias("numbers"))
     same_document = lambda a, b: a["_doc"].eqNullSafe(b["_doc"]) & (a["_digest"] == b["_digest"])
     # Rows that repeat an id and its text are one document here.
@@ -150,6 +155,8 @@ def removed_lines(docs: DataFrame, min_words: int, id_column: str, text_column:
         .select(place.alias("first"), native.words(F.get("of", F.col("_line"))).alias("words"))
     )
 
+    # Few, as a shared half is rare; read once from the texts.
+    lines = stored(lines)
     variants = lines.select("first", F.explode(_variants(F.col("words"))).alias("v")).select("first", "v.*")
     buckets = (
         variants.groupBy("key")
