@@ -86,7 +86,7 @@ _CTES = {
         SELECT CAST(p_partkey AS VARCHAR) AS asset_key,
                CASE WHEN p_partkey % 7 = 0 THEN '' ELSE 'EP' || p_partkey END AS tms_episode_id,
                CASE WHEN p_partkey % 11 <> 0 THEN '2024-01-01' END AS last_update
-        FROM part WHERE p_partkey < 100""",
+        FROM part""",
     "live_filtered_devices": """
         SELECT device_id, program_id, CAST(device_id AS BIGINT) % 2 = 0 AS time_diff,
                4 * (count(*) - 1) AS program_count
@@ -164,7 +164,7 @@ _CTES = {
         FROM supplier WHERE s_nationkey % 6 <> 0""",
     "users_brands": """
         SELECT DISTINCT o_custkey AS user_id, l_suppkey AS brand_id
-        FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1""",
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "roles": """
         SELECT row_number() OVER (ORDER BY name) AS role_id, name,
                upper(name[1]) || lower(name[2:]) AS label

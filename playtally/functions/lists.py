@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def id_list(text: Column) -> Column:
-    """Comma list -> array of the leading integer of each item, 0 if none.
+    """Comma list -> array of the leading 64-bit integer of each item, 0 if none or too large.
 
     ``"8919|8919,186"`` gives ``[8919, 186]`` and empty text gives ``[0]``.
     """
     def leading_integer(item: Column) -> Column:
         digits = F.regexp_extract(item, r"^\s*([+-]?\d+)", 1)
-        return F.coalesce(F.nullif(digits, F.lit("")).cast("int"), F.lit(0))
+        return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
 
     return F.transform(F.split(F.coalesce(text, F.lit("")), ","), leading_integer)
 

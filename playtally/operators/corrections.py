@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,18 +55,28 @@ def correct_table(
 ) -> None:
     """Correct a table on disk, rewriting only the days the corrections name.
 
-    The corrected days are complete below ``staging_path`` before the first
-    old file goes, so a run that is lost half-way can be repeated from there.
+    The corrected days are complete below ``staging_path`` before the first old
+    file goes. A repeated run that finds them complete only replaces the days, so
+    no correction is applied twice; otherwise it stages them anew. Use one staging
+    path for one set of corrections.
     """
     table = spark.read.parquet(path)
-    first = min(one.first_day for one in corrections)
-    last = max(one.last_day for one in corrections)
-    days = table.where(F.col(partition_column).between(first, last))
-    write_table(correct(days, corrections), staging_path, partition_column)
+    if not _is_complete(spark, staging_path):
+        named = [
+            F.col(partition_column).between(one.first_day, one.last_day) for one in corrections
+        ]
+        days = table.where(reduce(operator.or_, named, F.lit(False)))
+        write_table(correct(days, corrections), staging_path, partition_column, mode="overwrite")
     staged = spark.read.schema(table.schema).parquet(staging_path)
     write_table(staged, path, partition_column, mode="overwrite")
 
 
+def _is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder has been committed."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def upsert_rows(
     table: DataFrame,
     changes: DataFrame,

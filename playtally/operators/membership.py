@@ -16,7 +16,7 @@ def desired_links(requests: DataFrame, key: str, ids: str, member: str) -> DataF
 
 def requested_ids(*lists: Column) -> Column:
     """Several id arrays as one."""
-    return F.concat(*[F.coalesce(ids, F.array().cast("array<int>")) for ids in lists])
+    return F.concat(*[F.coalesce(ids, F.array().cast("array<bigint>")) for ids in lists])
 
 
 def membership_diff(
@@ -141,10 +141,18 @@ def apply_changes(
     )
 
 
-def upsert_single(links: DataFrame, changes: DataFrame, left: str) -> DataFrame:
-    """Bridge table in which each changed owner has just the new member."""
+def upsert_single(
+    links: DataFrame, changes: DataFrame, left: str, order: str | None = None
+) -> DataFrame:
+    """Bridge table in which each changed owner has just the new member.
+
+    Of several changes of one owner the last by ``order`` counts; of those that
+    tie, and where there is no order, the one with the greatest values.
+    """
+    own = F.struct(*([order] if order else []), *links.columns)
+    last = changes.groupBy(left).agg(F.max(own).alias("last"))
     kept = links.join(changes.select(left), left, "left_anti")
-    return kept.unionByName(changes.select(*links.columns).distinct())
+    return kept.unionByName(last.select(*[F.col("last")[c].alias(c) for c in links.columns]))
 
 
 def _states(

@@ -30,7 +30,7 @@ def export_name(first_day: dt.date, last_day: dt.date) -> str:
 def write_csv(df: DataFrame, path: str, headings: list[str] | None = None) -> None:
     """Write a report as RFC 4180 part files with a header in each.
 
-    Part files keep the order of a sorted frame. Nulls and empty texts are
+    Part files keep the order of a sorted frame, and texts keep their blanks. Nulls and empty texts are
     both written as an empty field, and a backslash before a quote is dropped.
     """
     plain = df.select(
@@ -47,5 +47,7 @@ def write_csv(df: DataFrame, path: str, headings: list[str] | None = None) -> No
         .option("quote", '"')
         .option("escape", '"')
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )

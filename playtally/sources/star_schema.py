@@ -135,7 +135,7 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def _event_assets(spark: SparkSession, folder: str, key: str, entity_type: str) -> DataFrame:
     number = F.col("p_partkey")
-    return table(spark, folder, "part").where(number < 100).select(
+    return table(spark, folder, "part").select(
         number.cast("string").alias(key),
         F.lit(entity_type).alias("entity_type"),
         F.when(number % 7 == 0, "")
@@ -231,7 +231,7 @@ def groups_brands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def users_brands(spark: SparkSession, folder: str) -> DataFrame:
-    line = table(spark, folder, "lineitem").where(F.col("l_linenumber") == 1).select(
+    line = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("brand_id")
     )
     order = table(spark, folder, "orders").select(
