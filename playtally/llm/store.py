@@ -20,8 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(frame: DataFrame) -> DataFrame:
-    """The same rows, written once as Parquet to the shared folder and read from there."""
+    """The same rows, written once as Parquet to the shared folder and read from there.
+
+    Spark removes the shuffle files of a finished job when the driver collects its plan as garbage. They
+    are not needed behind a cut, so the driver is asked to, and a chain of cuts holds the disk of one job.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)

@@ -337,7 +337,7 @@ def remove_repeats(
     grams = stored(texts.mapInArrow(_grams(size, gram), "h long, doc_id long"))
     parts = grams.count() // PARTITION_GRAMS + 1
     repeated = grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    hits = grams.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("grams"))
+    hits = stored(grams.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("grams")))
 
     def with_texts(lists: DataFrame, how: str = "inner") -> DataFrame:
         lists = lists.withColumnRenamed("doc_id", "_id")
@@ -345,7 +345,9 @@ def remove_repeats(
         return texts.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id")
 
     blocks = with_texts(hits).mapInArrow(_sorted_runs(size, gram, parts), BLOCK)
-    spans = blocks.groupBy("part").applyInArrow(_merge(size), "doc_id long, digest long, start long, end long")
+    spans = stored(
+        blocks.groupBy("part").applyInArrow(_merge(size), "doc_id long, digest long, start long, end long")
+    )
     lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "start", "end")).alias("spans"))
     return with_texts(lists, "left").mapInArrow(
         _remove,

@@ -190,14 +190,14 @@ def remove_repeats(
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     grams = stored(texts.mapInArrow(_grams(size, gram), "h long, doc_id long"))
     repeated = grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    hits = grams.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("grams"))
+    hits = stored(grams.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("grams")))
 
     def with_texts(lists: DataFrame, how: str = "inner") -> DataFrame:
         lists = lists.withColumnRenamed("doc_id", "_id")
         # No broadcast: the lists grow with the corpus.
         return texts.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id")
 
-    runs = with_texts(hits).mapInArrow(_runs(size, gram), RUNS)
+    runs = stored(with_texts(hits).mapInArrow(_runs(size, gram), RUNS))
     first, later = first_and_rest(runs, ["h", "s1", "s2"])
     span = lambda n: F.struct("digest", "start", (F.col("start") + n + (size - 1)).alias("end"))
     whole = later.select("doc_id", span(F.col("n")).alias("span"))
