@@ -212,7 +212,7 @@ def remove_repeats(
     windows = with_texts(apart).mapInArrow(_windows(size), "s1 long, s2 int, doc_id long, digest long, start int")
     single = first_and_rest(windows, ["s1", "s2"])[1].select("doc_id", span(F.lit(1)).alias("span"))
 
-    spans = whole.unionByName(single).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    spans = stored(whole.unionByName(single).groupBy("doc_id").agg(F.collect_list("span").alias("spans")))
     return with_texts(spans, "left").mapInArrow(
         _remove,
         "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, text string",
