@@ -78,30 +78,57 @@ def _seeds(name: int, n: int) -> np.ndarray:
     return hashing.mix(np.arange(n, dtype=np.uint64) + np.uint64(name << 32)) | np.uint64(1)
 
 
+#: Shingles that are hashed in one go, so that they stay in a processor's cache.
+TOGETHER = 1 << 15
+
+
+def _minwise(sets: list[np.ndarray]) -> np.ndarray:
+    """TOKENS minwise values of every set; none is empty."""
+    own = np.concatenate(sets)
+    begin = np.concatenate(([0], np.cumsum([len(x) for x in sets])[:-1]))
+    tokens = np.empty((len(sets), TOKENS), np.uint64)
+    mixed, high = np.empty_like(own), np.empty_like(own)
+    for t, (factor, shift) in enumerate(zip(_seeds(1, TOKENS), _seeds(2, TOKENS), strict=True)):
+        np.multiply(own, factor, out=mixed)
+        np.right_shift(mixed, np.uint64(32), out=high)
+        np.bitwise_xor(mixed, high, out=mixed)
+        np.multiply(mixed, shift, out=mixed)
+        tokens[:, t] = np.minimum.reduceat(mixed, begin)
+    return hashing.mix(tokens)
+
+
+def _together(sets: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    some, held = [], 0
+    for own in sets:
+        some.append(own)
+        held += len(own)
+        if held >= TOGETHER:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factor, shift = _seeds(1, TOKENS), _seeds(2, TOKENS)
         chosen = (np.arange(TREES * BRANCHES) * 7) % TOKENS
         names = _seeds(3, TREES * BRANCHES)
         for batch in batches:
             n, k1, k2, sig, roots = [], [], [], [], []
-            for own in shingle_sets(batch.column(1), size):
-                n.append(len(own))
-                k1.append(int(hashing.mix(own).sum(dtype=np.uint64).view(np.int64)))
-                k2.append(int(np.bitwise_xor.reduce(hashing.mix(own * np.uint64(3)), initial=np.uint64(0)).view(np.int64)))
-                if not len(own):
-                    sig.append(None)
-                    roots.append(None)
-                    continue
-                tokens = np.empty(TOKENS, np.uint64)
-                for t in range(TOKENS):
-                    mixed = own * factor[t]
-                    mixed ^= mixed >> np.uint64(32)
-                    mixed *= shift[t]
-                    tokens[t] = mixed.min()
-                tokens = hashing.mix(tokens)
-                sig.append((tokens & np.uint64(255)).astype(np.uint8).tobytes())
-                roots.append(hashing.mix(tokens[chosen] ^ names).view(np.int64).tolist())
+            for sets in _together(shingle_sets(batch.column(1), size)):
+                full = [own for own in sets if len(own)]
+                tokens = iter(_minwise(full)) if full else iter(())
+                for own in sets:
+                    n.append(len(own))
+                    k1.append(int(hashing.mix(own).sum(dtype=np.uint64).view(np.int64)))
+                    k2.append(int(np.bitwise_xor.reduce(hashing.mix(own * np.uint64(3)), initial=np.uint64(0)).view(np.int64)))
+                    if not len(own):
+                        sig.append(None)
+                        roots.append(None)
+                        continue
+                    values = next(tokens)
+                    sig.append((values & np.uint64(255)).astype(np.uint8).tobytes())
+                    roots.append(hashing.mix(values[chosen] ^ names).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
