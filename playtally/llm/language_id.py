@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,19 +95,17 @@ def learn(texts: DataFrame) -> dict:
     counts = stored(words.select(F.lit(0).alias("size"), "lang", "gram", "n").unionByName(grams))
     totals = {(r.size, r.lang): r.n for r in counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for _, lang in totals})
+    # A gram that is known in one language is known with its counts in all.
+    enough = [(F.col("size") == size) & (F.col("lang") == lang) & (F.col("n") >= MIN_SHARE * n) for (size, lang), n in totals.items()]
+    some = counts.where(_any(enough)).select("size", "gram").distinct()
+    rows = counts.join(some, ["size", "gram"]).select("size", "gram", "lang", "n").toArrow()
+    place = {lang: i for i, lang in enumerate(langs)}
     known: dict[int, tuple[list[str], np.ndarray]] = {}
     for size in range(LONGEST + 1):
-        # A gram that is known in one language is known with its counts in all.
-        enough = [
-            (F.col("lang") == lang) & (F.col("n") >= MIN_SHARE * totals[size, lang]) for lang in langs if (size, lang) in totals
-        ]
-        own = counts.where(F.col("size") == size)
-        some = own.where(_any(enough)).select("gram").distinct()
-        rows = own.join(some, "gram").select("gram", "lang", "n").toArrow()
-        names = {g: i for i, g in enumerate(dict.fromkeys(rows.column("gram").to_pylist()))}
+        own = rows.filter(pc.equal(rows.column("size"), size))
+        names = {g: i for i, g in enumerate(dict.fromkeys(own.column("gram").to_pylist()))}
         table = np.full((len(names), len(langs)), SMOOTHING)
-        place = {lang: i for i, lang in enumerate(langs)}
-        for gram, lang, n in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
+        for gram, lang, n in zip(*(own.column(c).to_pylist() for c in ("gram", "lang", "n")), strict=True):
             table[names[gram], place[lang]] += n
         whole = np.array([totals.get((size, lang), 0) for lang in langs]) + SMOOTHING * (len(names) + 1)
         known[size] = (list(names), np.log(table / whole))
