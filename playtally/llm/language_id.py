@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,12 +64,16 @@ def grams_of(word: str, size: int) -> list[str]:
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: dict[tuple[str, int], Counter] = {}
+        # Words of one count together: most are rare, and their n-grams are counted in one go.
+        alike: dict[tuple[str, int], list[str]] = {}
         for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            alike.setdefault((lang, n), []).append(word)
+        counts: dict[tuple[str, int], Counter] = {}
+        for (lang, n), words in alike.items():
             for size in range(1, LONGEST + 1):
+                found = Counter(chain.from_iterable(grams_of(word, size) for word in words))
                 own = counts.setdefault((lang, size), Counter())
-                for gram in grams_of(word, size):
-                    own[gram] += n
+                own.update(found if n == 1 else {gram: n * times for gram, times in found.items()})
         for (lang, size), grams in counts.items():
             yield pa.RecordBatch.from_arrays(
                 [
@@ -123,20 +128,23 @@ def _any(conditions: list[Column]) -> Column:
 class Scorer:
     def __init__(self, model: dict):
         self._langs, self._common = model["langs"], model["common"]
-        self._names = {size: {g: i for i, g in enumerate(names)} for size, (names, _) in model["known"].items()}
-        self._tables = {size: table for size, (_, table) in model["known"].items()}
-        self._memo: dict[str, np.ndarray | None] = {}
-
-    def _unseen(self, word: str) -> np.ndarray | None:
-        """Mean of the longest known n-grams."""
-        if word in self._memo:
-            return self._memo[word]
-        found = None
+        known = [model["known"][size] for size in range(LONGEST + 1)]
+        # Rows of one table: words, then the n-grams of all lengths, which differ in length and so as keys.
+        self._table = np.concatenate([table for _, table in known])
+        self._words = {word: i for i, word in enumerate(known[0][0])}
+        grams = chain.from_iterable(names for names, _ in known[1:])
+        self._grams = {gram: i for i, gram in enumerate(grams, len(self._words))}
+        self._memo: dict[str, list[int]] = {}
+
+    def _unseen(self, word: str) -> list[int]:
+        """Rows of the longest known n-grams."""
+        found = self._memo.get(word)
+        if found is not None:
+            return found
+        found, get = [], self._grams.get
         for size in range(min(LONGEST, len(word) + 2), 0, -1):
-            names = self._names[size]
-            own = [names[g] for g in grams_of(word, size) if g in names]
-            if own:
-                found = self._tables[size][own].mean(axis=0)
+            found = [i for i in map(get, grams_of(word, size)) if i is not None]
+            if found:
                 break
         if len(self._memo) >= MEMO_ENTRIES:
             self._memo.clear()
@@ -147,20 +155,19 @@ class Scorer:
         counts = Counter(LETTERS.findall(text.lower())) if text else {}
         if not counts or not self._langs:
             return "und", 0.0
-        names, known, times = self._names[0], [], []
-        total, evidence = np.zeros(len(self._langs)), False
-        for word, n in counts.items():
-            i = names.get(word)
-            if i is not None:
-                known.append(i)
-                times.append(n)
-            elif (own := self._unseen(word)) is not None:
-                total += n * own
-                evidence = True
-        if known:
-            total += np.asarray(times) @ self._tables[0][known]
-        elif not evidence:
+        words, get = list(counts), self._words.get
+        row = np.array([get(word, -1) for word in words])
+        times = np.fromiter(counts.values(), float, len(words))
+        seen = row >= 0
+        rows, shares = row[seen].tolist(), times[seen].tolist()
+        for i in np.flatnonzero(~seen).tolist():
+            if own := self._unseen(words[i]):
+                # The mean of an unseen word's n-grams counts like one word.
+                rows += own
+                shares += [times[i] / len(own)] * len(own)
+        if not rows:
             return self._common, 0.0
+        total = np.asarray(shares) @ self._table[rows]
         best = int(total.argmax())
         return self._langs[best], float(1 / np.exp(total - total[best]).sum())
 
