@@ -174,7 +174,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def first_and_rest(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """The earliest place of each key with the number of its rows, and the rows that come later than it."""
     place = F.struct("doc_id", "start")
-    first = rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "start", "digest", *(["n"] if "n" in rows.columns else []))).alias("first"), F.count(F.lit(1)).alias("rows"))
+    own = F.struct("doc_id", "start", "digest", *(["n"] if "n" in rows.columns else []))
+    first = stored(rows.groupBy(*keys).agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("rows")))
     again = first.where("rows > 1").select(*keys, F.struct("first.doc_id", "first.start").alias("place"))
     return first, rows.join(again, keys).where(place > F.col("place"))
 
@@ -200,7 +201,7 @@ def remove_repeats(
     runs = stored(with_texts(hits).mapInArrow(_runs(size, gram), RUNS))
     first, later = first_and_rest(runs, ["h", "s1", "s2"])
     span = lambda n: F.struct("digest", "start", (F.col("start") + n + (size - 1)).alias("end"))
-    whole = later.select("doc_id", span(F.col("n")).alias("span"))
+    whole = stored(later.select("doc_id", span(F.col("n")).alias("span")))
 
     differing = first.groupBy("h").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1").select("h")
     apart = (
@@ -209,7 +210,8 @@ def remove_repeats(
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("digest", "start", "n")).alias("runs"))
     )
-    windows = with_texts(apart).mapInArrow(_windows(size), "s1 long, s2 int, doc_id long, digest long, start int")
+    # Read twice, so cut: neither the texts nor the windows are made again.
+    windows = stored(with_texts(apart).mapInArrow(_windows(size), "s1 long, s2 int, doc_id long, digest long, start int"))
     single = first_and_rest(windows, ["s1", "s2"])[1].select("doc_id", span(F.lit(1)).alias("span"))
 
     spans = stored(whole.unionByName(single).groupBy("doc_id").agg(F.collect_list("span").alias("spans")))
