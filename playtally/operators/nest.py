@@ -8,8 +8,10 @@ from pyspark.sql.types import ArrayType, StructType
 
 from playtally.operators.stacking import stack
 
-# Children per document row. A parent with more is continued on further rows.
+# Children per document row, on average. A parent with more is continued on further rows.
 CHILDREN_PER_ROW = 10_000
+# Sampled children per row; the more, the more even rows are.
+SAMPLES_PER_ROW = 16
 
 
 def child(id_column: str, name: Column | str, *fields: Column) -> Column:
@@ -36,13 +38,14 @@ def nest(
     are triples of an id column, the links (key, id) and the members (id, one
     column of :func:`child` per kind).
 
-    Each kind is aggregated on its own, so nothing is multiplied, and all of it
-    in one shuffle: heads and children are stacked and grouped together. A
-    parent with more than ``limit`` links gets ``parts`` rows, numbered by
-    ``part``, each with all head values and its share of the children: no row
-    and no task ever holds an unbounded group, and no child is left out. Links
-    of all kinds are freed of copies, counted and placed together while they
-    are two ids wide, before their members join.
+    A document is the concatenation of its rows by ``part``, 0 to ``parts`` - 1,
+    which all have the head values. Every kind of child is cut into contiguous
+    ranges of its sort order, about ``limit`` children each. The ends of the
+    ranges are children sampled by hash, so they are the same in every run, and
+    gathering them takes ``SAMPLES_PER_ROW / limit`` of a parent's children; no row
+    and no task holds an unbounded group, and no child is left out. Each kind is
+    aggregated on its own, so nothing is multiplied. Heads are one row per key
+    before they are repeated for the parts.
     """
     link_id = ["nest_source", "nest_id"]
     links = stack(
@@ -58,24 +61,33 @@ def nest(
         ]
     )
     kinds = [name for name in members.columns if name not in link_id]
-    parts = (
-        links.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n_links"))
-        .where(F.col("n_links") > limit)
-        .select(key, F.ceil(F.col("n_links") / limit).cast("int").alias("parts"))
+    order = _order(members, kinds)
+    rate = max(1, limit // SAMPLES_PER_ROW)
+    sampled = links.where(F.pmod(F.xxhash64(key, *link_id), F.lit(rate)) == 0)
+    ends = (
+        sampled.join(members, link_id)
+        .groupBy(key, "nest_source")
+        .agg(F.sort_array(F.collect_list(order)).alias("sampled"))
+        .select(key, "nest_source", _every("sampled", -(-limit // rate)).alias("ends"))
+        .where(F.size("ends") > 0)
     )
-    one = F.coalesce("parts", F.lit(1))
+    parts = ends.groupBy(key).agg((F.max(F.size("ends")) + 1).alias("parts"))
     heads_in_all_parts = (
         stack(list(heads.values()))
+        .groupBy(key)
+        .agg(*[F.min(name).alias(name) for name in heads])
+        .where(F.col(next(iter(heads))).isNotNull())
         .join(parts, key, "left")
-        .withColumn("parts", one)
+        .withColumn("parts", F.coalesce("parts", F.lit(1)))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )
+    part = F.size(F.filter("ends", lambda end: end <= F.col("nest_order")))
     placed = (
-        links.join(parts, key, "left")
-        .select(key, *link_id, F.pmod(F.xxhash64(*link_id), one).cast("int").alias("part"))
-        .join(members, link_id)
-        .drop(*link_id)
+        links.join(members, link_id)
+        .withColumn("nest_order", order)
+        .join(ends, [key, "nest_source"], "left")
+        .withColumn("part", F.when(F.col("ends").isNull(), 0).otherwise(part))
+        .drop(*link_id, "nest_order", "ends")
     )
     # Spread by part as well: the join above gathered a parent's rows by key, and
     # grouping alone would be content with that.
@@ -102,6 +114,28 @@ def nest(
     )
 
 
+def _order(members: DataFrame, kinds: list[str]) -> Column:
+    """Place of a child in the sort order of its kinds; the kinds of one member agree in it."""
+    return F.coalesce(
+        *[
+            F.when(
+                F.col(kind).isNotNull(),
+                F.struct(
+                    F.col(kind)["nameless"].alias("nameless"),
+                    F.col(kind)["by"].alias("by"),
+                    F.col(kind)["then_by"].alias("then_by"),
+                ),
+            )
+            for kind in kinds
+        ]
+    )
+
+
+def _every(values: str, step: int) -> Column:
+    """Every ``step``-th value but the first."""
+    return F.filter(values, lambda _, i: (i > 0) & (i % step == 0))
+
+
 def _source(number: int, id_column: str) -> list[Column]:
     """Identity of a member among the members of all sources."""
     return [

@@ -176,6 +176,31 @@ def test_large_documents_continue_on_further_rows(spark, t):
     assert max(len(doc.users) for doc in docs) < 100
     brand_ids = [b.id for doc in by_group[10] for b in doc.brands]
     assert sorted(brand_ids) == [7, 8]
+    for parts in by_group.values():
+        inorder = [(u.name, u.id) for doc in sorted(parts, key=lambda d: d.part) for u in doc.users]
+        assert inorder == sorted(inorder)
+
+
+def test_heads_of_large_documents_are_one_row_each(spark):
+    """Many rows of a head, and many parts, give one row a part; parts follow one another in order."""
+    n = 400
+    names = [f"N{i % 7}" if i % 5 else None for i in range(n)]
+    links = spark.createDataFrame([(1, i) for i in range(n)] + [(2, 3)], "owner long, id long")
+    members = spark.createDataFrame(list(enumerate(names)), "id long, name string").select(
+        "id", nest.child("id", "name", F.col("id").alias("id")).alias("children")
+    )
+    heads = {
+        "title": spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "owner long, title string"),
+        "flag": links.select("owner", F.lit(True).alias("flag")),
+    }
+    docs = nest.nest("owner", heads, [("id", links, members)], limit=10).collect()
+    own = sorted((d for d in docs if d.owner == 1), key=lambda d: d.part)
+    assert [d.part for d in own] == list(range(len(own))) and len(own) > 10
+    assert {(d.title, d.flag, d.parts) for d in own} == {("A", True, len(own))}
+    expected = sorted(range(n), key=lambda i: (names[i] is None, names[i] or "", i))
+    assert [c.id for d in own for c in d.children] == expected
+    rest = {d.owner: ([c.id for c in d.children], d.part, d.parts) for d in docs if d.owner != 1}
+    assert rest == {2: ([3], 0, 1), 3: ([], 0, 1)}
 
 
 def test_group_and_brand_documents(t):
