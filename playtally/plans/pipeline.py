@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from playtally.functions import period_start
 from playtally.functions.time import GRAINS
 from playtally.operators.conform import EVENT_DAYS, merge_events
 from playtally.operators.rollup import device_days, plays_from_events, roll_up_device_days
-from playtally.sources.tables import read_table, write_table
+from playtally.sources.tables import read_table, replace_partitions, run_day_path
 
 
 def materialise_events(spark: SparkSession, root: str, as_of: dt.date) -> str:
@@ -23,8 +24,8 @@ def materialise_events(spark: SparkSession, root: str, as_of: dt.date) -> str:
         read_table(spark, root, "live_filtered_devices"),
         as_of,
     )
-    path = f"{root}/merged_events/as_of={as_of}"
-    write_table(merged, path, "event_datekey", mode="overwrite")
+    path = run_day_path(root, "merged_events", as_of)
+    replace_partitions(merged, path, "event_datekey", lambda _: True)
     return path
 
 
@@ -35,28 +36,39 @@ def build_summaries(
 
     The plays are read once. Device days are a stored table, so a lost executor
     costs no second pass over the plays, and the devices of a week or month
-    are counted exactly without the plays of its other days.
+    are counted exactly without the plays of its other days. Days and periods
+    without plays any more disappear.
     """
     spark = plays.sparkSession
     path = f"{root}/device_days"
-    changed = plays.where(F.col("event_date").between(first_day, last_day))
-    write_table(device_days(changed), path, "event_date", mode="overwrite")
-    stored = spark.read.parquet(path)
+    changed = device_days(plays.where(F.col("event_date").between(first_day, last_day)))
+    replace_partitions(changed, path, "event_date", _between(first_day, last_day))
+    stored = spark.read.schema(changed.schema).parquet(path)
     for grain in GRAINS:
         periods = stored.where(_in_touched_periods(grain, first_day, last_day))
-        write_table(
+        replace_partitions(
             roll_up_device_days(periods, grain),
             f"{root}/summary_{grain}",
             "event_date",
-            mode="overwrite",
+            _between(_start(first_day, grain), last_day),
         )
 
 
+def _between(first_day: dt.date, last_day: dt.date) -> Callable[[str], bool]:
+    return lambda day: first_day.isoformat() <= day <= last_day.isoformat()
+
+
+def _start(day: dt.date, grain: str) -> dt.date:
+    """First day of the period that a day lies in."""
+    back = {"daily": 0, "weekly": day.weekday(), "monthly": day.day - 1}[grain]
+    return day - dt.timedelta(days=back)
+
+
 def daily_run(spark: SparkSession, root: str, as_of: dt.date) -> None:
     """Conform a run day's window and bring the summaries up to date with it."""
-    path = materialise_events(spark, root, as_of)
+    materialise_events(spark, root, as_of)
     build_summaries(
-        plays_from_events(spark.read.parquet(path)),
+        plays_from_events(read_table(spark, root, "merged_events", as_of)),
         root,
         as_of - dt.timedelta(days=EVENT_DAYS),
         as_of - dt.timedelta(days=1),

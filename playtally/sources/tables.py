@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from playtally.sources.schemas import schema
@@ -17,17 +20,41 @@ PARTITION_COLUMN = {
 }
 
 
-def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Parquet table below ``root``, with its declared schema."""
-    return spark.read.schema(schema(table)).parquet(f"{root}/{table}")
+# Tables with one folder for each run day. The windows of run days overlap, so the
+# parent folder holds an event once for each of them.
+RUN_DAY_TABLES = ["merged_events"]
+
+JDBC_PARTITION_OPTIONS = ["partitionColumn", "lowerBound", "upperBound", "numPartitions"]
+
+
+def run_day_path(root: str, table: str, as_of: dt.date) -> str:
+    return f"{root}/{table}/as_of={as_of}"
+
+
+def read_table(
+    spark: SparkSession, root: str, table: str, as_of: dt.date | None = None
+) -> DataFrame:
+    """Parquet table below ``root``, with its declared schema.
+
+    A table with run days is read as of one, so no event counts twice.
+    """
+    if (table in RUN_DAY_TABLES) != (as_of is not None):
+        raise ValueError(f"{table} {'needs' if as_of is None else 'has no'} run day")
+    path = f"{root}/{table}" if as_of is None else run_day_path(root, table, as_of)
+    return spark.read.schema(schema(table)).parquet(path)
 
 
-def read_jdbc(spark: SparkSession, table: str, url: str, **options: str) -> DataFrame:
+def read_jdbc(
+    spark: SparkSession, table: str, url: str, single_task: bool = False, **options: str
+) -> DataFrame:
     """Table that still lives in a warehouse.
 
-    Pass ``partitionColumn``, ``lowerBound``, ``upperBound`` and
-    ``numPartitions`` for a large table, or one task reads all of it.
+    Needs ``partitionColumn``, ``lowerBound``, ``upperBound`` and
+    ``numPartitions``; a small table may be read by a single task instead.
     """
+    missing = [name for name in JDBC_PARTITION_OPTIONS if name not in options]
+    if missing and not single_task:
+        raise ValueError(f"one task would read all of {table}; {', '.join(missing)} missing")
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
@@ -55,6 +82,39 @@ def write_table(
     )
 
 
+def replace_partitions(
+    df: DataFrame, path: str, partition_column: str, is_replaced: Callable[[str], bool]
+) -> None:
+    """Write ``df``; partitions to be replaced for which it has no rows go.
+
+    ``is_replaced`` gets the value of a partition as text. A partition that
+    was written anew has other files than before; what still has old ones got no rows.
+    Only names are read for that, and a repeated run ends in the same state.
+    """
+    spark = df.sparkSession
+    before = _partition_files(spark, path, partition_column)
+    write_table(df, path, partition_column, mode="overwrite")
+    after = _partition_files(spark, path, partition_column)
+    for folder, files in before.items():
+        if is_replaced(folder.rsplit("=", 1)[1]) and files & after.get(folder, set()):
+            gone = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
+def _partition_files(
+    spark: SparkSession, path: str, partition_column: str
+) -> dict[str, set[str]]:
+    """File names of each partition folder; none where the table does not exist."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition_column}=*/*.parquet")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    files: dict[str, set[str]] = {}
+    for status in found or []:
+        files.setdefault(status.getPath().getParent().toString(), set()).add(
+            status.getPath().getName()
+        )
+    return files
+
+
 def create_view(df: DataFrame, name: str) -> None:
     """Publish a frame under a name for SQL readers of the session."""
     df.createOrReplaceTempView(name)

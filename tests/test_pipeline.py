@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from playtally.operators import rollup
@@ -39,6 +40,43 @@ def test_summaries_of_part_of_the_days_replace_their_periods(spark, tmp_path):
         assert _same(stored, rollup.roll_up(more, grain))
 
 
+def test_withdrawn_days_disappear(spark, tmp_path):
+    root = str(tmp_path)
+    days = dt.date(1998, 3, 2), dt.date(1998, 3, 15)
+    plays = rollup.plays_from_viewing(star_schema.viewing(spark, FOLDER)).where(
+        F.col("event_date").between(*days)
+    )
+    pipeline.build_summaries(plays, root, *days)
+    # One week and one day of the next have no plays any more.
+    left = plays.where(F.col("event_date") > dt.date(1998, 3, 9))
+    assert 0 < left.count() < plays.count()
+    pipeline.build_summaries(left, root, *days)
+    for grain in ("daily", "weekly", "monthly"):
+        assert _same(tables.read_table(spark, root, f"summary_{grain}"), rollup.roll_up(left, grain))
+    pipeline.build_summaries(left.limit(0), root, *days)
+    assert tables.read_table(spark, root, "summary_daily").isEmpty()
+
+
+def test_overlapping_run_days_are_read_one_at_a_time(spark, tmp_path):
+    root = str(tmp_path)
+    for name in ("raw_events", "live_assets", "ondemand_assets", "live_filtered_devices"):
+        frame = getattr(star_schema, name)(spark, FOLDER)
+        tables.write_table(frame, f"{root}/{name}", tables.PARTITION_COLUMN.get(name))
+    for as_of in (star_schema.AS_OF, star_schema.AS_OF + dt.timedelta(days=1)):
+        pipeline.materialise_events(spark, root, as_of)
+        pipeline.materialise_events(spark, root, as_of)
+        merged = tables.read_table(spark, root, "merged_events", as_of)
+        assert "as_of" not in merged.columns
+        assert 0 < merged.count() == spark.read.parquet(tables.run_day_path(root, "merged_events", as_of)).count()
+    with pytest.raises(ValueError, match="run day"):
+        tables.read_table(spark, root, "merged_events")
+
+
+def test_large_tables_are_not_read_over_jdbc_by_one_task(spark):
+    with pytest.raises(ValueError, match="lowerBound, upperBound, numPartitions"):
+        tables.read_jdbc(spark, "t", "jdbc:none", partitionColumn="id")
+
+
 def test_touched_periods_prune_directories(spark, tmp_path):
     plays = rollup.plays_from_viewing(star_schema.viewing(spark, FOLDER)).where(
         F.year("event_date") == 1998
