@@ -5,8 +5,8 @@ class goes on. In each of several independent trees a document takes `BRANCHES`
 root and goes down the branch of each token's value. A node of at most `LEAF` documents is compared
 exhaustively. A larger node compares every member with one of them, which is linear, and unless all turn out
 to be near copies of it, sends them on along further tokens. Nodes that are still large after
-`DEEP` levels hold documents that agree in many tokens: their members, in the order of signatures, are cut
-into leaves, and the first of each leaf form a smaller node. Two documents of similarity s share one value with probability s; at
+`DEEP` levels hold documents that agree in many tokens. What the confirmed links leave apart among their members is
+joined exactly, see `unlinked`. Two documents of similarity s share one value with probability s; at
 0.85, `TREES` = 4 trees of 2 branches miss a pair in a small node with a chance of 0.15 ** 8.
 
 Comparing signatures only proposes pairs. A pair is linked if the full sets confirm it; links then become
@@ -42,13 +42,17 @@ TOKENS = 96
 TREES = 4
 BRANCHES = 2
 LEAF = 48
-#: Levels with BRANCHES branches; below them a member follows one, and from DEEP on nodes are cut in order.
+#: Levels with BRANCHES branches; below them a member follows one, and nodes still large at DEEP are joined exactly.
 WIDE_LEVELS = 2
 DEEP = 4
 #: Shares of equal tokens: below MAYBE no pair is proposed (over five standard errors under the threshold),
 #: from SURELY on, documents count as near copies when pairs are chosen (three above); a node closes
 #: if all its members reach CLOSE.
 MAYBE, SURELY, CLOSE = 0.66, 0.95, 0.87
+#: Counters that put shingles in order, rare ones first; any order is exact.
+BUCKETS = 1 << 20
+#: Documents of a block of one shingle; two blocks meet in a task.
+BLOCK = 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -208,8 +212,9 @@ def _descend(level: int):
     return run
 
 
-def candidates(sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of documents that may be similar, from all trees; sketches: doc_id, sig, roots."""
+def candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of documents that may be similar, from all trees, and the documents (doc_id) of nodes that
+    were not compared exhaustively; sketches: doc_id, sig, roots."""
     signatures = sketches.select("doc_id", "sig")
     frontier = sketches.select(F.explode("roots").alias("node"), "doc_id")
     pairs, level = None, 0
@@ -240,17 +245,11 @@ def candidates(sketches: DataFrame) -> DataFrame:
         pairs = found if pairs is None else pairs.unionByName(found)
         open_nodes = compared.groupBy("node").agg(F.min("share").alias("share")).where(F.col("share") < CLOSE)
         left = large.join(open_nodes.select("node"), "node", "left_semi").select("node", "doc_id", "sig")
-        if level < DEEP:
-            frontier = left.mapInArrow(_descend(level), "node long, doc_id long").distinct()
-        else:
-            ordered = Window.partitionBy("node").orderBy("sig", "doc_id")
-            placed = left.withColumn("place", F.row_number().over(ordered) - 1)
-            leaf = F.floor(F.col("place") / LEAF)
-            frontier = placed.select(F.xxhash64("node", leaf).alias("node"), "doc_id").unionByName(
-                placed.where(F.col("place") % LEAF == 0).select(F.xxhash64("node", F.lit("first")).alias("node"), "doc_id")
-            )
+        if level == DEEP:
+            return pairs.distinct(), left.select("doc_id").distinct()
         if open_nodes.isEmpty():
-            return pairs.distinct()
+            return pairs.distinct(), left.select("doc_id").limit(0)
+        frontier = left.mapInArrow(_descend(level), "node long, doc_id long").distinct()
 
 
 def _sets(size: int):
@@ -282,6 +281,113 @@ def _confirm(percent: int):
     return run
 
 
+def _buckets(tokens: np.ndarray) -> np.ndarray:
+    return (hashing.mix(tokens) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for data in batch.column(0):
+            np.add.at(counts, _buckets(np.frombuffer(data.as_py(), np.uint64)), 1)
+    bucket = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(counts[bucket])], ["bucket", "n"])
+
+
+PREFIX = "token long, doc_id long, component long, n long, place long"
+
+
+def _prefixes(percent: int, counts: np.ndarray):
+    """The shingles of a set, in the common order, of which a set that is similar enough shares at least one."""
+    names = [x.split()[0] for x in PREFIX.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, held = [], 0
+        for batch in batches:
+            for doc, component, data in zip(*(batch.column(i) for i in range(3)), strict=True):
+                own = np.frombuffer(data.as_py(), np.uint64)
+                n = len(own)
+                first = own[np.lexsort((own, counts[_buckets(own)]))[: n + percent * -n // 100 + 1]]
+                fixed = [np.full(len(first), x, np.int64) for x in (doc.as_py(), component.as_py(), n)]
+                some.append([first.view(np.int64), *fixed, np.arange(len(first))])
+                held += len(first)
+                if held >= 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*some, strict=True)], names)
+                    some, held = [], 0
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*some, strict=True)], names)
+
+    return run
+
+
+def _apart(prefix: DataFrame) -> DataFrame:
+    """Rows of shingles that more than one component has, with the largest of them and the numbers of rows."""
+    shingles = (
+        prefix.groupBy("token", "component")
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("place").alias("least"))
+        .groupBy("token")
+        .agg(
+            F.max(F.struct("rows", "component")).alias("major"),
+            F.sum("rows").alias("all"),
+            F.min("least").alias("least"),
+            F.count(F.lit(1)).alias("parts"),
+        )
+        .where("parts > 1")
+        .drop("parts")
+    )
+    return prefix.join(shingles, "token")
+
+
+def _compare_blocks(percent: int):
+    """Pairs across two blocks of one shingle whose components differ and that may share enough behind it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column("members").to_pylist():
+                doc, component, n, place, block = (
+                    np.array([x[k] for x in members]) for k in ("doc_id", "component", "n", "place", "block")
+                )
+                shared = np.minimum.outer(n - place, n - place)
+                able = (100 + percent) * shared >= percent * np.add.outer(n, n)
+                able &= component[:, None] != component
+                if block.min() != block.max():
+                    able &= block[:, None] != block
+                i, j = np.nonzero(np.triu(able))
+                if len(i):
+                    yield _pairs(np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]))
+
+    return run
+
+
+def unlinked(sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that may be similar; sets: doc_id, component, set.
+
+    An exact prefix filter: with shingles in one order, similar sets share one among the first of either, and
+    the places of the first shared one bound how many more they can share. A shingle of many documents is cut
+    into blocks that meet pair by pair, those of the largest component only with the others.
+    """
+    counted = sets.select("set").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.uint32)
+    counts[counted.column("bucket").to_numpy()] = np.minimum(counted.column("n").to_numpy(), (1 << 32) - 1)
+    prefix = stored(sets.select("doc_id", "component", "set").mapInArrow(_prefixes(percent, counts), PREFIX))
+    # Most shared shingles fall here: no partner leaves room for enough behind them.
+    able = stored(
+        _apart(prefix).where((100 - percent) * F.col("n") >= 100 * F.col("place") + percent * F.col("least")).select(prefix.columns)
+    )
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    mixed, largest = F.xxhash64("doc_id"), F.col("component") == F.col("major.component")
+    cells = (
+        _apart(able)
+        .withColumn("k", blocks(F.col("major.rows")))
+        .withColumn("q", blocks(F.col("all") - F.col("major.rows")))
+        .withColumn("block", F.when(largest, F.pmod(mixed, "k")).otherwise(F.col("k") + F.pmod(mixed, "q")))
+        .withColumn("other", F.explode(F.sequence(F.when(largest, F.col("k")).otherwise(F.lit(0).cast("long")), F.col("k") + F.col("q") - 1)))
+        .groupBy("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .agg(F.collect_list(F.struct("doc_id", "component", "n", "place", "block")).alias("members"))
+    )
+    return cells.select("members").mapInArrow(_compare_blocks(percent), PAIRS).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = SHINGLE,
@@ -298,15 +404,27 @@ def near_duplicates(
     heads = named.join(classes, ["k1", "k2", "n_shingles"]).where("doc_id = head").select(
         "doc_id", "k1", "k2", "sig", "roots"
     ).dropDuplicates(["doc_id", "k1", "k2"])
-    pairs = stored(candidates(heads).where("a <> b"))
+    pairs, rest = candidates(heads)
+    pairs, rest = stored(pairs.where("a <> b")), stored(rest)
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(rest).distinct()
     sets = stored(texts.join(wanted.hint("merge"), "doc_id").mapInArrow(_sets(shingle), "doc_id long, set binary"))
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), PAIRS)
+    confirmed = lambda pairs: (
+        pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), PAIRS)
+    )
     # A class is a star around its head; a repeated id ties its classes together.
     alike = member.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    found = components(links.unionByName(alike))
+    found = components(confirmed(pairs).unionByName(alike))
+    if not rest.isEmpty():
+        placed = (
+            sets.join(rest, "doc_id")
+            .join(found, F.col("doc_id") == F.col("node"), "left")
+            .select("doc_id", F.coalesce("component", "doc_id").alias("component"), "set")
+        )
+        more = stored(confirmed(unlinked(stored(placed), percent)))
+        if not more.isEmpty():
+            found = components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return (
         sketches.join(found, F.col("doc_id") == F.col("node"), "left")
         .select(

@@ -1,6 +1,7 @@
 """Every operator on awkward rows, and against brute force on the smallest tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -254,6 +255,45 @@ def test_a_large_group_of_near_copies(spark):
     assert {r.component_id for r in found} == {0}
 
 
+def brute_components(docs, percent=85):
+    sets = {}
+    for doc, text in docs:
+        w = text.split()
+        sets[doc] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {d: root(d) for d in sets}
+
+
+def test_links_inside_a_template_family(spark):
+    # Every two fillings of one form lie just below the threshold; some have a copy just above it.
+    rng, docs = random.Random(8), []
+    for k in range(700):
+        words = [f"w{i}" for i in range(240)]
+        for slot in range(7):
+            words[15 + 32 * slot] = f"f{slot}.{k}"
+        docs.append((2 * k, " ".join(words)))
+        if k % 10 == 0:
+            for slot in rng.sample(range(7), 6):
+                words[15 + 32 * slot] = f"c{slot}.{k}"
+            docs.append((2 * k + 1, " ".join(words)))
+    expected = brute_components(docs)
+    assert len(set(expected.values())) == 700
+    found = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(8))
+    assert {r.doc_id: r.component_id for r in found.collect()} == expected
+
+
 def test_line_dedup_equals_its_twin(spark):
     name = "op6_line_dedup"
     frame = QUERIES[name](spark, FOLDER)
