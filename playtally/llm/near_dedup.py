@@ -45,10 +45,10 @@ LEAF = 48
 #: Levels with BRANCHES branches; below them a member follows one, and nodes still large at DEEP are joined exactly.
 WIDE_LEVELS = 2
 DEEP = 4
-#: Shares of equal tokens: below MAYBE no pair is proposed (over five standard errors under the threshold),
-#: from SURELY on, documents count as near copies when pairs are chosen (three above); a node closes
-#: if all its members reach CLOSE.
-MAYBE, SURELY, CLOSE = 0.66, 0.95, 0.87
+#: Shares of equal tokens, in standard errors from the link threshold: below MAYBE no pair is proposed, from
+#: SURELY on, documents count as near copies when pairs are chosen; a node whose members all reach CLOSE is not
+#: sent on but left to the exact join.
+MAYBE, SURELY, CLOSE = -5.2, 2.75, 0.55
 #: Counters that put shingles in order, rare ones first; any order is exact.
 BUCKETS = 1 << 20
 #: Documents of a block of one shingle; two blocks meet in a task.
@@ -57,6 +57,12 @@ BLOCK = 1024
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+
+def _share(errors: float, percent: int) -> float:
+    """The share of equal tokens so many standard errors from `percent`."""
+    return percent / 100 + errors * (percent * (100 - percent) / TOKENS) ** 0.5 / 100
+
+
 SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, roots array<long>"
 
 
@@ -159,24 +165,28 @@ def _pairs(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_leaves(maybe: float, surely: float):
     """All pairs of a small node that may be similar; near copies by a spanning star."""
-    for batch in batches:
-        left, right = [], []
-        for members in batch.column("members").to_pylist():
-            members.sort(key=lambda x: x["doc_id"])
-            ids = [x["doc_id"] for x in members]
-            sig = np.frombuffer(b"".join(x["sig"] for x in members), np.uint8).reshape(-1, TOKENS)
-            equal = (sig[:, None, :] == sig[None, :, :]).mean(axis=2)
-            head: list[int] = []
-            for i in range(len(ids)):
-                near = next((j for j in range(i) if head[j] == j and equal[i, j] >= SURELY), i)
-                head.append(near)
-                for j in range(i):
-                    if j == near or (head[j] != near and equal[i, j] >= MAYBE):
-                        left.append(ids[j])
-                        right.append(ids[i])
-        yield _pairs(left, right)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for members in batch.column("members").to_pylist():
+                members.sort(key=lambda x: x["doc_id"])
+                ids = [x["doc_id"] for x in members]
+                sig = np.frombuffer(b"".join(x["sig"] for x in members), np.uint8).reshape(-1, TOKENS)
+                equal = (sig[:, None, :] == sig[None, :, :]).mean(axis=2)
+                head: list[int] = []
+                for i in range(len(ids)):
+                    near = next((j for j in range(i) if head[j] == j and equal[i, j] >= surely), i)
+                    head.append(near)
+                    for j in range(i):
+                        if j == near or (head[j] != near and equal[i, j] >= maybe):
+                            left.append(ids[j])
+                            right.append(ids[i])
+            yield _pairs(left, right)
+
+    return run
 
 
 def _compare_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +222,13 @@ def _descend(level: int):
     return run
 
 
-def candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(sketches: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of documents that may be similar, from all trees, and the documents (doc_id) of nodes that
     were not compared exhaustively; sketches: doc_id, sig, roots."""
+    maybe, surely, close = (_share(x, percent) for x in (MAYBE, SURELY, CLOSE))
     signatures = sketches.select("doc_id", "sig")
     frontier = sketches.select(F.explode("roots").alias("node"), "doc_id")
-    pairs, level = None, 0
+    pairs, rest, level = None, None, 0
     while True:
         level += 1
         sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -227,7 +238,7 @@ def candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
             .groupBy("node")
             .agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
             .select("members")
-            .mapInArrow(_compare_leaves, PAIRS)
+            .mapInArrow(_compare_leaves(maybe, surely), PAIRS)
         )
         large = members.where(F.col("n") > LEAF)
         chosen = F.struct(F.xxhash64("node", "doc_id"), "doc_id")
@@ -238,17 +249,19 @@ def candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
             .select("node", "doc_id", "sig", "first", "first_sig")
             .mapInArrow(_compare_first, "node long, doc_id long, first long, share double")
         )
-        star = compared.where((F.col("share") >= MAYBE) & (F.col("first") != F.col("doc_id"))).select(
+        star = compared.where((F.col("share") >= maybe) & (F.col("first") != F.col("doc_id"))).select(
             F.col("first").alias("a"), F.col("doc_id").alias("b")
         )
         found = small.unionByName(star).distinct()
         pairs = found if pairs is None else pairs.unionByName(found)
-        open_nodes = compared.groupBy("node").agg(F.min("share").alias("share")).where(F.col("share") < CLOSE)
+        open_nodes = compared.groupBy("node").agg(F.min("share").alias("share")).where(F.col("share") < close)
         left = large.join(open_nodes.select("node"), "node", "left_semi").select("node", "doc_id", "sig")
-        if level == DEEP:
-            return pairs.distinct(), left.select("doc_id").distinct()
-        if open_nodes.isEmpty():
-            return pairs.distinct(), left.select("doc_id").limit(0)
+        # A share is an estimate, so the members of a closed node are not done either.
+        ended = large if level == DEEP else large.join(open_nodes.select("node"), "node", "left_anti")
+        ended = ended.select("doc_id").distinct()
+        rest = ended if rest is None else rest.unionByName(ended)
+        if level == DEEP or open_nodes.isEmpty():
+            return pairs.distinct(), rest.distinct()
         frontier = left.mapInArrow(_descend(level), "node long, doc_id long").distinct()
 
 
@@ -404,7 +417,7 @@ def near_duplicates(
     heads = named.join(classes, ["k1", "k2", "n_shingles"]).where("doc_id = head").select(
         "doc_id", "k1", "k2", "sig", "roots"
     ).dropDuplicates(["doc_id", "k1", "k2"])
-    pairs, rest = candidates(heads)
+    pairs, rest = candidates(heads, percent)
     pairs, rest = stored(pairs.where("a <> b")), stored(rest)
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(rest).distinct()

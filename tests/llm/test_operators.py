@@ -294,6 +294,15 @@ def test_links_inside_a_template_family(spark):
     assert {r.doc_id: r.component_id for r in found.collect()} == expected
 
 
+def test_members_of_a_closed_node_are_joined_exactly(spark):
+    # All agree in nine tokens of ten or more by estimate, which their sets need not; one root, so no other path.
+    like = bytes(range(near_dedup.TOKENS))
+    rows = [(k, like if k % 2 else like[:-9] + bytes([255 - k] * 9), [7]) for k in range(60)]
+    sketches = spark.createDataFrame(rows, "doc_id long, sig binary, roots array<long>")
+    pairs, rest = near_dedup.candidates(sketches)
+    assert pairs.count() == 59 and sorted(r.doc_id for r in rest.collect()) == list(range(60))
+
+
 def test_line_dedup_equals_its_twin(spark):
     name = "op6_line_dedup"
     frame = QUERIES[name](spark, FOLDER)
