@@ -33,17 +33,20 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 VALUE = re.compile(
     r"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}))
     |(?P<secret>(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])
-        |(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])
+        |(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{64}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32})(?![A-Za-z0-9])
         |(?:(?<=password=)|(?<=api_key=)|(?<=secret=)|(?<=token=))[A-Za-z0-9]{6,128})
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\ [A-Z0-9]{4}){2,7}(?:\ [A-Z0-9]{1,3})?)(?![A-Za-z0-9]))
     |(?P<card>(?<![\w.-])[0-9](?:[\ -]?[0-9]){12,18}(?![\w-]))
     |(?P<ssn>(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-    |(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![\w/-]))
+    |(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?!(?!T[0-9])[\w/-]))
     |(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))
     |(?P<phone>(?<![\w.])(?:\+[0-9]{1,3}[\ .-]?)?(?:\([0-9]{2,4}\)[\ .-]?|[0-9]{2,4}[\ .-])[0-9]{3,4}[\ .-]?[0-9]{3,4}(?![\w-]))
     """,
     re.VERBOSE,
 )
+_CARD = re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")
+#: Lengths of card numbers, usual ones first.
+CARD_LENGTHS = (16, 15, 14, 13, 19, 18, 17)
 _MAY_HOLD = re.compile(r"[0-9@]|password=|api_key=|secret=|token=")
 
 
@@ -80,11 +83,15 @@ class Feistel:
 
 def _characters(text: str, permute: Feistel, label: str, hexadecimal: bool = False) -> str:
     """Digits, small and capital letters permuted together, each staying of its class; the rest stays."""
+    small = re.search("[A-F]", text) is None
+
     def alphabet(c: str) -> str:
-        if hexadecimal and c in "0123456789abcdef":
+        if hexadecimal and small and c in "0123456789abcdef":
             return "0123456789abcdef"
         if c in "0123456789":
             return "0123456789"
+        if hexadecimal:
+            return "abcdef" if c >= "a" else "ABCDEF"
         if "a" <= c <= "z":
             return "abcdefghijklmnopqrstuvwxyz"
         return "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if "A" <= c <= "Z" else c
@@ -124,7 +131,8 @@ def _email(text: str, permute: Feistel) -> str | None:
 def _secret(text: str, permute: Feistel) -> str | None:
     if text.startswith("AKIA"):
         return "AKIA" + _characters(text[4:], permute, "key")
-    return _characters(text, permute, "secret", hexadecimal=re.fullmatch("[0-9a-f]+", text) is not None)
+    digest = re.fullmatch("[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|[0-9a-f]+", text)
+    return _characters(text, permute, "secret", hexadecimal=digest is not None)
 
 
 def _remainder(country: str, rest: str) -> int:
@@ -140,13 +148,34 @@ def _iban(text: str, permute: Feistel) -> str | None:
     return _written(f"{country}{98 - _remainder(country, rest):02d}{rest}", text)
 
 
-def _card(text: str, permute: Feistel) -> str | None:
-    digits = re.sub(r"\D", "", text)
-    if digits[0] == "0" or _luhn(digits[:-1]) != int(digits[-1]):
+def _card_place(text: str) -> tuple[int, int] | None:
+    """Where a valid card number of whole groups stands: of usual length first, then the first."""
+    groups = [x.span() for x in re.finditer("[0-9]+", text)]
+    numbers = {}
+    for i, (a, _) in enumerate(groups):
+        for _, b in groups[i:]:
+            numbers.setdefault(sum(c.isdigit() for c in text[a:b]), []).append((a, b))
+    for n in CARD_LENGTHS:
+        for a, b in numbers.get(n, ()):
+            digits = re.sub(r"\D", "", text[a:b])
+            if digits[0] != "0" and _luhn(digits[:-1]) == int(digits[-1]):
+                return a, b
+    return None
+
+
+def _card(text: str, permute: Feistel) -> tuple[str, int] | None:
+    """The text up to the end of a card number in it, changed, and where that end is."""
+    if (place := _card_place(text)) is None:
         return None
-    inner = digits[1:-1]
-    body = digits[0] + f"{permute('card' + digits[0], int(inner), 10 ** len(inner)):0{len(inner)}d}"
-    return _written(body + str(_luhn(body)), text)
+    a, b = place
+    digits = re.sub(r"\D", "", text[a:b])
+    while True:  # until the same place is found in the result
+        inner = digits[1:-1]
+        body = digits[0] + f"{permute('card' + digits[0], int(inner), 10 ** len(inner)):0{len(inner)}d}"
+        digits = body + str(_luhn(body))
+        new = text[:a] + _written(digits, text[a:b])
+        if _card_place(new + text[b:]) == place:
+            return new, b
 
 
 def _ssn(text: str, permute: Feistel) -> str | None:
@@ -212,7 +241,7 @@ def _phone(text: str, permute: Feistel) -> str | None:
     return head + _written(f"{value:0{len(digits)}d}", number)
 
 
-_CHANGE: dict[str, Callable[[str, Feistel], str | None]] = {
+_CHANGE: dict[str, Callable[[str, Feistel], str | tuple[str, int] | None]] = {
     "email": _email,
     "secret": _secret,
     "iban": _iban,
@@ -229,14 +258,25 @@ def change(text: str, permute: Feistel, counts: dict[str, int]) -> str:
     if not _MAY_HOLD.search(text):
         return text
 
-    def one(found: re.Match) -> str:
-        new = _CHANGE[found.lastgroup](found.group(), permute)
-        if new is None:
-            return found.group()
-        counts[found.lastgroup] += 1
-        return new
-
-    return VALUE.sub(one, text)
+    out, at, found = [], 0, VALUE.search(text)
+    while found:
+        kind, end = found.lastgroup or "card", found.end()
+        new = _CHANGE[kind](found.group(), permute)
+        if new is None and kind == "card":
+            # Another card number may begin behind the first group and reach further.
+            group = re.compile("[0-9]+").match(text, found.start()).end()
+            if group < end and (further := _CARD.match(text, group + 1)):
+                found = further
+                continue
+        if new is not None:
+            if kind == "card":
+                new, length = new
+                end = found.start() + length
+            out += text[at : found.start()], new
+            at = end
+            counts[kind] += 1
+        found = VALUE.search(text, end)
+    return "".join(out) + text[at:]
 
 
 def pseudonymise(

@@ -312,6 +312,28 @@ def test_line_dedup_equals_its_twin(spark):
     assert rows(frame.columns, [tuple(r) for r in frame.collect()]) == theirs
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "left"),
+    [
+        ("4111111111111111 123", "card", " 123"),
+        ("4111 1111 1111 1111 12/27", "card", " 12/27"),
+        ("no 123 4111111111111111.", "card", "no 123 "),
+        ("12 34 56 4111-1111-1111-1111", "card", "12 34 56 "),
+        ("3782 822463 10005 7 x", "card", " 7 x"),
+        ("2021-03-04T10:00", "date", "T10:00"),
+        ('TOKEN = "9233A8EC9233A8EC9233A8EC9233A8EC"', "secret", 'TOKEN = "'),
+        ("9233a8EC9233A8EC9233A8EC9233A8EC", "secret", ""),
+    ],
+)
+def test_values_beside_other_characters(text, kind, left):
+    for key in range(50):
+        counts, back = dict.fromkeys(pseudonyms.KINDS, 0), dict.fromkeys(pseudonyms.KINDS, 0)
+        new = pseudonyms.change(text, pseudonyms.Feistel(bytes([key])), counts)
+        assert new != text and left in new and len(new) == len(text)
+        assert counts == back | {kind: 1}
+        assert pseudonyms.change(new, pseudonyms.Feistel(bytes([key]), reverse=True), back) == text
+
+
 def test_models_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = QUERIES["op4_language_id"](spark, "/root/testdata/sf0.01").where("held_out")
