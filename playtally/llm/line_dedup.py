@@ -2,7 +2,8 @@
 
 Two lines of at least `min_words` words are near if their word sequences are at most one edit (a word
 changed, added or left out) apart. Every line that has an earlier near line goes, the earliest stays;
-lines are judged on the input, and shorter lines are left alone. Order is by document id, then by the
+lines are judged on the input. Shorter lines of at least `shortest` words go if they equal an earlier one, and
+lines without a word are left alone. Order is by document id, then by the
 digest of the text where an id occurs twice, then by line number.
 
 The deletion neighbourhood of a line is the line, the line without its i-th word, and the line with a hole
@@ -118,7 +119,7 @@ def _near(a: Column, b: Column) -> Column:
     return same(a, b) + same(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
-def removed_lines(docs: DataFrame, min_words: int, id_column: str, text_column: str) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int, id_column: str, text_column: str, shortest: int) -> DataFrame:
     """_doc, _digest and the numbers (from 0) of the lines to remove."""
     texts = docs.where(F.length(text_column) > 0).select(
         F.col(id_column).alias("_doc"), F.xxhash64(text_column).alias("_digest"), F.col(text_column).alias("_text")
@@ -126,14 +127,15 @@ def removed_lines(docs: DataFrame, min_words: int, id_column: str, text_column:
     worded = (
         texts.select("_doc", "_digest", F.posexplode(native.lines(F.col("_text"))).alias("_line", "_of"))
         .select("_doc", "_digest", "_line", native.words(F.col("_of")).alias("words"))
-        .where(F.size("words") >= min_words)
+        .where(F.size("words") >= shortest)
     )
     place = F.struct("_doc", "_digest", "_line")
     every = worded.select(
         place.alias("place"),
         F.xxhash64("words").alias("k1"),
         F.xxhash64(F.lit(1), F.size("words"), "words").alias("k2"),
-        _halves(F.col("words")).alias("halves"),
+        # Short lines have none, so they meet equal lines only.
+        F.when(F.size("words") >= min_words, _halves(F.col("words"))).alias("halves"),
     )
     alike = stored(
         every.groupBy("k1", "k2").agg(
@@ -205,10 +207,14 @@ def removed_lines(docs: DataFrame, min_words: int, id_column: str, text_column:
 
 
 def dedup_lines(
-    docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    min_words: int = MIN_WORDS,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    shortest: int = 1,
 ) -> DataFrame:
     """All columns of `docs`, the text without removed lines, and the counts _n_lines and _n_removed."""
-    gone = removed_lines(docs, min_words, id_column, text_column)
+    gone = removed_lines(docs, min_words, id_column, text_column, shortest)
     joined = docs.join(
         gone.hint("merge"),
         docs[id_column].eqNullSafe(gone["_doc"]) & (F.xxhash64(docs[text_column]) == gone["_digest"]),

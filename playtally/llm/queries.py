@@ -70,8 +70,9 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines and removed lines of every document, and the digest of the text that is left."""
-    return line_dedup.dedup_lines(_table(spark, folder, "documents").select("doc_id", "text")).select(
+    """Lines and removed lines of every document, and the digest of the text that is left; as its SQL, of long lines only."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, shortest=line_dedup.MIN_WORDS).select(
         "doc_id",
         F.col("_n_lines").alias("n_lines"),
         F.col("_n_removed").alias("n_removed"),

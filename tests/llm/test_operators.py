@@ -303,6 +303,15 @@ def test_members_of_a_closed_node_are_joined_exactly(spark):
     assert pairs.count() == 59 and sorted(r.doc_id for r in rest.collect()) == list(range(60))
 
 
+def test_short_lines_go_if_they_are_equal(spark):
+    docs = [(1, "read  more\n \nshare this page now\nok"), (2, "read more\n \nshare that page now\nok\nok then")]
+    found = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.text, r._n_removed) for r in found} == {
+        1: (docs[0][1], 0),
+        2: (" \nshare that page now\nok then", 2),
+    }
+
+
 def test_line_dedup_equals_its_twin(spark):
     name = "op6_line_dedup"
     frame = QUERIES[name](spark, FOLDER)
