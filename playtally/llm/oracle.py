@@ -34,4 +34,34 @@ SELECT t.doc_id, CASE WHEN length(text) > 0 THEN len(ls) ELSE 0 END AS n_lines,
 FROM texts t LEFT JOIN lists USING (doc_id)
 """
 
-ORACLE_SQL = {"op6_line_dedup": LINE_DEDUP}
+RANKED_SEARCH = r"""
+WITH kinds AS (
+    SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS term,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS capital, 'abcdefghijklmnopqrstuvwxyz' AS small
+), found AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, capital, small), term)) AS term FROM documents, kinds
+), counted AS (
+    SELECT doc_id, term, count(*) AS tf FROM found GROUP BY ALL
+), sizes AS (
+    SELECT doc_id, sum(tf)::BIGINT AS n FROM counted GROUP BY doc_id
+), totals AS (
+    SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counted, totals GROUP BY term
+), asked AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, capital, small), kinds.term)) AS term
+    FROM benchmark, kinds
+), times AS (
+    SELECT item_id, term, count(*) AS q FROM asked GROUP BY ALL
+), scores AS (
+    SELECT item_id, doc_id,
+        sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+    FROM times JOIN counted USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), totals
+    GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+ORACLE_SQL = {"op6_line_dedup": LINE_DEDUP, "op11_ranked_search": RANKED_SEARCH}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,21 +11,26 @@ from playtally.llm import (
     decontaminate,
     language_id,
     line_dedup,
+    native,
     near_dedup,
     packing,
+    period_runs,
     pseudonyms,
     quality_classifier,
     quality_rules,
+    ranked_search,
     suffix_dedup,
+    token_files,
     window_dedup,
 )
 from playtally.llm.oracle import ORACLE_SQL
+from playtally.llm.store import shared_folder
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -125,6 +132,58 @@ def op10_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def _with_periods(doc_id: Column, text: Column) -> Column:
+    """The text, in a tenth of the documents with its words from some word on repeated by a period."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeat(words: Column) -> Column:
+        start = (g % F.size(words)).cast("int")
+        period = (1 + F.floor((F.size(words) - start) / (3 + g % 8))).cast("int")
+
+        def by(at: Column) -> Column:
+            return F.array_join(
+                F.transform(
+                    words, lambda x, i: F.when(i < at["a"], x).otherwise(F.get(words, at["a"] + (i - at["a"]) % at["p"]))
+                ),
+                " ",
+            )
+
+        return F.when(F.size(words) > 0, native.let(F.struct(start.alias("a"), period.alias("p")), by)).otherwise("")
+
+    return F.when(h % 10 == 0, native.let(native.words(text), repeat)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    found = period_runs.find_runs(docs.select("doc_id", _with_periods(F.col("doc_id"), F.col("text")).alias("text")))
+    line = F.transform("_runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("_runs").cast("long").alias("n_runs"),
+        period_runs.strongest(F.col("_runs")).alias("best"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("_collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id",
+        "n_runs",
+        "best.*",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(_table(spark, folder, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return token_files.read(spark, path)
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
@@ -138,4 +197,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_pseudonyms": op10_pseudonyms,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_files": op13_token_files,
 }

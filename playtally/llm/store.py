@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(frame: DataFrame) -> DataFrame:
+def stored(frame: DataFrame, compression: str = "snappy") -> DataFrame:
     """The same rows, written once as Parquet to the shared folder and read from there.
 
     Spark removes the shuffle files of a finished job when the driver collects its plan as garbage. They
@@ -27,6 +27,6 @@ def stored(frame: DataFrame) -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=compression)
     spark._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)
