@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtally import functions as fn
-from playtally.operators import conform, corrections, membership, nest, paging, rollup
+from playtally.operators import conform, corrections, membership, nest, paging, rollup, upserts
 from playtally.params import ReportParams
 from playtally.plans import documents, entitlements, reports
 from playtally.session import configure
@@ -628,36 +628,83 @@ def role_upsert(t: Tables) -> DataFrame:
 
 
 def _group_changes(t: Tables) -> DataFrame:
-    """Every supplier asks for a group: updates, new ones, copies and blanks."""
-    number = F.col("s_suppkey")
-    return t.base("supplier").select(
-        F.when(number % 3 == 0, F.call_function("div", number, F.lit(3))).alias("group_id"),
-        F.when(number % 3 == 0, F.concat(F.lit("Renamed "), number.cast("string")))
+    """A log with an entry per customer: conflicting updates, names given up and asked for, blanks."""
+    number, nation = F.col("c_custkey"), F.col("c_nationkey").cast("long")
+    old_name = F.concat(F.lit(" "), F.col("n_name"), F.lit("  "))
+    nations = t.base("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return t.base("customer").join(nations, "c_nationkey").select(
+        # Not in the order of the numbers, and unique.
+        (number * 7919 % 1000003).alias("seq"),
+        F.when(number % 3 == 0, number % 31).when(number % 3 == 1, -number).alias("group_id"),
+        F.when(number % 3 == 0, F.when(number % 4 != 0, F.concat(F.lit("Renamed "), (number % 40).cast("string"))))
         .when(number % 7 == 0, "  ")
+        .when(number % 7 == 1, F.concat(F.lit("Renamed "), (number % 40).cast("string")))
+        .when(number % 2 == 0, old_name)
         .otherwise(F.concat(F.lit(" New "), (number % 11).cast("string"), F.lit(" ")))
         .alias("name"),
-        F.when(number % 3 != 0, F.when(number % 2 == 0, "Live").otherwise("OnDemand"))
+        F.when((number % 3 != 0) | (number % 5 == 0), F.when(nation % 2 == 0, "Live").otherwise("OnDemand"))
         .alias("content_type"),
     )
 
 
+def _group_upsert(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return upserts.upsert_rows(
+        t.groups, _group_changes(t), "group_id", ["name", "content_type"], "name", "seq"
+    )
+
+
 @query
 def group_upsert(t: Tables) -> DataFrame:
-    """New group table; ids of created groups are left out of the comparison."""
-    table, _ = corrections.upsert_rows(
-        t.groups, _group_changes(t), "group_id", ["name", "content_type"], "name"
-    )
-    old_ids = t.groups.agg(F.max("group_id").alias("last_id")).scalar()
-    return table.select(
-        F.when(F.col("group_id") <= old_ids, F.col("group_id")).alias("group_id"),
-        "name",
-        "content_type",
-    )
+    return _group_upsert(t)[0]
 
 
 @query
 def group_upsert_rejects(t: Tables) -> DataFrame:
-    _, rejects = corrections.upsert_rows(
-        t.groups, _group_changes(t), "group_id", ["name", "content_type"], "name"
+    return _group_upsert(t)[1]
+
+
+def _user_upsert(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A log with an entry per customer, on users with two kinds of stamps."""
+    stamped = t.users.select(
+        "user_id", "name", "email", "is_active",
+        F.lit(dt.date(2020, 1, 1)).alias("creation_date"), F.lit(1).cast("long").alias("created_by_id"),
+        F.lit(None).cast("date").alias("modification_date"), F.lit(None).cast("long").alias("modified_by_id"),
+    )
+    number = F.col("c_custkey")
+    text = number.cast("string")
+    of_other = F.concat(
+        F.lit("u"), F.call_function("div", number, F.lit(4)).cast("string"), F.lit("@"),
+        F.lower("c_mktsegment"), F.lit(".example"),
+    )
+    log = t.base("customer").select(
+        (number * 7919 % 1000003).alias("seq"),
+        F.when(number % 4 == 0, number % 97).when(number % 4 == 1, number + 900000000).alias("user_id"),
+        F.when(number % 5 != 0, F.concat(F.lit("Name "), text)).alias("name"),
+        F.when(number % 8 == 0, F.concat(F.lit("moved"), text, F.lit("@x.example")))
+        .when(number % 4 == 2, F.when(number % 6 != 0, F.concat(F.lit(" n"), (number % 50).cast("string"), F.lit("@x.example "))))
+        .when(number % 4 == 3, of_other)
+        .alias("email"),
+        (number % 3 == 0).alias("is_active"),
+    )
+    today = F.lit(star_schema.AS_OF)
+    return upserts.upsert_rows(
+        stamped, log, "user_id", ["email"], "email", "seq",
+        created={"creation_date": today, "created_by_id": F.lit(42).cast("long")},
+        modified={"modification_date": today, "modified_by_id": F.lit(42).cast("long")},
     )
-    return rejects
+
+
+@query
+def user_upsert(t: Tables) -> DataFrame:
+    return _user_upsert(t)[0]
+
+
+@query
+def user_upsert_rejects(t: Tables) -> DataFrame:
+    return _user_upsert(t)[1]
+
+
+@query
+def created_group_ids(t: Tables) -> DataFrame:
+    """Groups of the log that are new, with ids from the highest one on."""
+    return _group_upsert(t)[0].join(t.groups.select("group_id"), "group_id", "left_anti")

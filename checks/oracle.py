@@ -208,14 +208,59 @@ _CTES = {
         FROM removed r JOIN brands b1 ON b1.brand_id = r.brand_id
         JOIN brands b2 ON b2.name = b1.name AND b2.content_type = b1.content_type""",
     "group_changes": """
-        SELECT CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey // 3 END AS group_id,
-               CASE WHEN s_suppkey % 3 = 0 THEN 'Renamed ' || s_suppkey
-                    WHEN s_suppkey % 7 = 0 THEN '  '
-                    ELSE ' New ' || (s_suppkey % 11) || ' ' END AS name,
-               CASE WHEN s_suppkey % 3 <> 0 THEN
-                    CASE WHEN s_suppkey % 2 = 0 THEN 'Live' ELSE 'OnDemand' END END
-                    AS content_type
-        FROM supplier""",
+        SELECT c_custkey * 7919 % 1000003 AS seq,
+               CASE c_custkey % 3 WHEN 0 THEN c_custkey % 31 WHEN 1 THEN -c_custkey END AS group_id,
+               CASE WHEN c_custkey % 3 = 0
+                    THEN CASE WHEN c_custkey % 4 <> 0 THEN 'Renamed ' || (c_custkey % 40) END
+                    WHEN c_custkey % 7 = 0 THEN '  '
+                    WHEN c_custkey % 7 = 1 THEN 'Renamed ' || (c_custkey % 40)
+                    WHEN c_custkey % 2 = 0 THEN ' ' || n_name || '  '
+                    ELSE ' New ' || (c_custkey % 11) || ' ' END AS name,
+               CASE WHEN c_custkey % 3 <> 0 OR c_custkey % 5 = 0
+                    THEN CASE WHEN c_nationkey % 2 = 0 THEN 'Live' ELSE 'OnDemand' END END AS content_type
+        FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+    # An entry is replaced by a later one of its group.
+    "renamed_groups": """
+        SELECT g.group_id, coalesce(c.name, g.name) AS name,
+               coalesce(c.content_type, g.content_type) AS content_type
+        FROM groups_ g LEFT JOIN (
+            SELECT * FROM group_changes c WHERE NOT EXISTS (
+                SELECT 1 FROM group_changes later WHERE later.group_id = c.group_id AND later.seq > c.seq)
+        ) c ON c.group_id = g.group_id AND c.group_id > 0""",
+    "created_groups": """
+        SELECT (SELECT max(group_id) FROM groups_) + row_number() OVER (ORDER BY name, content_type) AS group_id,
+               name, content_type
+        FROM (SELECT DISTINCT trim(name) AS name, content_type FROM group_changes
+              WHERE coalesce(group_id, 0) <= 0 AND trim(name) <> '') c
+        WHERE NOT EXISTS (SELECT 1 FROM renamed_groups r
+                          WHERE r.name = c.name AND r.content_type = c.content_type)""",
+    "stamped_users": """
+        SELECT user_id, name, email, is_active, DATE '2020-01-01' AS creation_date,
+               CAST(1 AS BIGINT) AS created_by_id, CAST(NULL AS DATE) AS modification_date,
+               CAST(NULL AS BIGINT) AS modified_by_id
+        FROM users""",
+    "user_changes": """
+        SELECT c_custkey * 7919 % 1000003 AS seq,
+               CASE c_custkey % 4 WHEN 0 THEN c_custkey % 97 WHEN 1 THEN c_custkey + 900000000 END AS user_id,
+               CASE WHEN c_custkey % 5 <> 0 THEN 'Name ' || c_custkey END AS name,
+               CASE WHEN c_custkey % 8 = 0 THEN 'moved' || c_custkey || '@x.example'
+                    WHEN c_custkey % 4 = 2 AND c_custkey % 6 <> 0 THEN ' n' || (c_custkey % 50) || '@x.example '
+                    WHEN c_custkey % 4 = 3
+                    THEN 'u' || (c_custkey // 4) || '@' || lower(c_mktsegment) || '.example' END AS email,
+               c_custkey % 3 = 0 AS is_active
+        FROM customer""",
+    "moved_users": """
+        SELECT u.user_id, coalesce(c.name, u.name) AS name, coalesce(c.email, u.email) AS email,
+               coalesce(c.is_active, u.is_active) AS is_active, creation_date, created_by_id,
+               CASE WHEN c.user_id > 0 THEN DATE '2024-01-16' END AS modification_date,
+               CASE WHEN c.user_id > 0 THEN 42 END AS modified_by_id
+        FROM stamped_users u LEFT JOIN (
+            SELECT * FROM user_changes c WHERE NOT EXISTS (
+                SELECT 1 FROM user_changes later WHERE later.user_id = c.user_id AND later.seq > c.seq)
+        ) c ON c.user_id = u.user_id AND c.user_id > 0""",
+    "asked_users": """
+        SELECT trim(email) AS asked, arg_max(row(name, is_active), seq) AS v FROM user_changes
+        WHERE coalesce(user_id, 0) <= 0 AND trim(email) <> '' GROUP BY trim(email)""",
     "user_brand_items": """
         SELECT user_id, brand_id AS id, name, content_type
         FROM (SELECT DISTINCT * FROM users_brands) JOIN brands USING (brand_id)""",
@@ -711,18 +756,31 @@ _QUERIES = {
         UNION ALL
         SELECT user_id, user_id % 5 + 1 FROM users WHERE user_id % 6 = 0""",
     "group_upsert": """
-        SELECT g.group_id, coalesce(c.name, g.name) AS name, g.content_type
-        FROM groups_ g LEFT JOIN group_changes c ON c.group_id = g.group_id AND c.group_id > 0
-        UNION ALL
-        SELECT NULL, trim(name), content_type FROM group_changes
-        WHERE coalesce(group_id, 0) <= 0 AND trim(name) <> ''
-        GROUP BY trim(name), content_type""",
+        SELECT * FROM renamed_groups UNION ALL SELECT * FROM created_groups""",
     "group_upsert_rejects": """
-        SELECT group_id, name, content_type, 'not found' AS reason FROM group_changes
+        SELECT seq, group_id, name, content_type, 'not found' AS reason FROM group_changes
         WHERE group_id > 0 AND group_id NOT IN (SELECT group_id FROM groups_)
         UNION ALL
-        SELECT group_id, trim(name), content_type, 'name is required' FROM group_changes
-        WHERE coalesce(group_id, 0) <= 0 AND trim(name) = ''""",
+        SELECT seq, group_id, trim(name), content_type, 'name is required' FROM group_changes
+        WHERE coalesce(group_id, 0) <= 0 AND coalesce(trim(name), '') = ''""",
+    "user_upsert": """
+        SELECT u.user_id, coalesce(v[1], u.name) AS name, u.email, coalesce(v[2], u.is_active) AS is_active,
+               creation_date, created_by_id,
+               CASE WHEN v IS NOT NULL THEN DATE '2024-01-16' ELSE modification_date END AS modification_date,
+               CASE WHEN v IS NOT NULL THEN 42 ELSE modified_by_id END AS modified_by_id
+        FROM moved_users u LEFT JOIN asked_users a ON a.asked = u.email
+             AND u.user_id = (SELECT min(user_id) FROM moved_users m WHERE m.email = u.email)
+        UNION ALL
+        SELECT (SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY asked), v[1], asked, v[2],
+               DATE '2024-01-16', 42, NULL, NULL
+        FROM asked_users WHERE asked NOT IN (SELECT email FROM moved_users)""",
+    "user_upsert_rejects": """
+        SELECT seq, user_id, name, email, is_active, 'not found' AS reason FROM user_changes
+        WHERE user_id > 0 AND user_id NOT IN (SELECT user_id FROM users)
+        UNION ALL
+        SELECT seq, user_id, name, trim(email), is_active, 'email is required' FROM user_changes
+        WHERE coalesce(user_id, 0) <= 0 AND coalesce(trim(email), '') = ''""",
+    "created_group_ids": "SELECT * FROM created_groups",
 }
 
 ORACLE_SQL = {name: _sql(body) for name, body in _QUERIES.items()}

@@ -1,22 +1,19 @@
-"""Conditional bulk updates and batch upserts of rows."""
+"""Conditional bulk updates of stored tables."""
 
 from __future__ import annotations
 
 import datetime as dt
-import operator
+import hashlib
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtally.functions import in_list
 from playtally.sources.tables import write_table
 
-# Buckets in which new ids are numbered independently.
-ID_BUCKETS = 1024
-
 
 @dataclass(frozen=True)
 class Correction:
@@ -53,118 +50,124 @@ def correct_table(
     corrections: Sequence[Correction],
     partition_column: str = "event_date",
 ) -> None:
-    """Correct a table on disk, rewriting only the days the corrections name.
-
-    The corrected days are complete below ``staging_path`` before the first old
-    file goes. A repeated run that finds them complete only replaces the days, so
-    no correction is applied twice; otherwise it stages them anew. Use one staging
-    path for one set of corrections.
+    """Apply a set of corrections once to every row of a table on disk.
+
+    Only files of the days that the corrections name are rewritten, and of those
+    only files that this set has not written itself: what it wrote is on record
+    below ``staging_path``, by a fingerprint of the set. So a repeated run changes
+    nothing, and rows that came since are corrected by the next one.
+
+    All corrected files are complete, and a plan of the swap is written, before the
+    first old file goes. A run that finds such a plan, of this set or of another,
+    carries it through first: its steps can be repeated. Readers of a day may see
+    old and new files together while that day is swapped. Keep one staging path
+    for a table, on its file system.
     """
+    files = _Files(spark, path, staging_path, partition_column)
+    files.finish_swaps()
+    mark = _fingerprint(corrections)
+    days = {day for one in corrections for day in _days(one.first_day, one.last_day)}
+    current = files.of_days(days)
+    written = files.written_by(mark)
+    waiting = [name for name in current if name not in written]
+    if not waiting:
+        return
     table = spark.read.parquet(path)
-    if not _is_complete(spark, staging_path):
-        named = [
-            F.col(partition_column).between(one.first_day, one.last_day) for one in corrections
-        ]
-        days = table.where(reduce(operator.or_, named, F.lit(False)))
-        write_table(correct(days, corrections), staging_path, partition_column, mode="overwrite")
-    staged = spark.read.schema(table.schema).parquet(staging_path)
-    write_table(staged, path, partition_column, mode="overwrite")
-
-
-def _is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a write to the folder has been committed."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
-
-
-def upsert_rows(
-    table: DataFrame,
-    changes: DataFrame,
-    key: str,
-    natural_key: Sequence[str],
-    required: str,
-    stamps: dict[str, Column] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Create or update dimension rows: (new table, rejected changes).
-
-    A change with a positive key updates that row; one without creates a row,
-    and needs the text column ``required``. Blanks round it are trimmed. A new
-    row equal to an existing one in ``natural_key`` updates that instead.
-    Columns of the change that are null keep their value. ``stamps`` are set
-    on every row that is written. Rejects carry a ``reason``.
-    """
-    stamps = stamps or {}
-    changed = [c for c in changes.columns if c != key]
-    is_update = F.coalesce(F.col(key) > 0, F.lit(False))
-
-    updates = changes.where(is_update)
-    unknown = updates.join(table.select(key), key, "left_anti")
-    creations = changes.where(~is_update).withColumn(required, F.trim(required))
-    is_named = F.coalesce(F.col(required) != "", F.lit(False))
-    unnamed = creations.where(~is_named)
-    rejects = unknown.withColumn("reason", F.lit("not found")).unionByName(
-        unnamed.withColumn("reason", F.lit(f"{required} is required"))
+    rows = (
+        spark.read.schema(table.schema)
+        .option("basePath", path)
+        .parquet(*[f"{path}/{name}" for name in waiting])
     )
+    write_table(correct(rows, corrections), files.staged(mark), partition_column, mode="overwrite")
+    files.plan_swap(mark, waiting, [name for name in current if name in written])
+    files.finish_swaps()
 
-    # Creations by natural key, onto the first row that has it.
-    wanted = _merge(creations.where(is_named), list(natural_key), changed)
-    existing = table.groupBy(*natural_key).agg(F.min(key).alias(key))
-    resolved = wanted.join(existing, list(natural_key), "left")
-    new_rows = _number(resolved.where(F.col(key).isNull()).drop(key), table, key, natural_key)
-    all_updates = _merge(
-        updates.unionByName(resolved.where(F.col(key).isNotNull()).select(*changes.columns)),
-        [key],
-        changed,
-    )
 
-    patched = table.join(
-        all_updates.select(
-            key, *[F.col(c).alias(f"new_{c}") for c in changed], F.lit(True).alias("touched")
-        ),
-        key,
-        "left",
-    )
-    columns = []
-    for name in table.columns:
-        old = F.col(name)
-        if name in changed:
-            old = F.coalesce(F.col(f"new_{name}"), old)
-        if name in stamps:
-            old = F.when(F.col("touched"), stamps[name]).otherwise(old)
-        columns.append(old.alias(name))
-    created = new_rows
-    for name, stamp in stamps.items():
-        created = created.withColumn(name, stamp)
-    merged = patched.select(*columns).unionByName(created, allowMissingColumns=True)
-    return merged.select(*table.columns), rejects
-
-
-def _merge(rows: DataFrame, keys: list[str], columns: Sequence[str]) -> DataFrame:
-    """One row per key; of several values of a column the greatest."""
-    rest = [c for c in columns if c not in keys]
-    if not rest:
-        return rows.select(*keys).distinct()
-    return rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in rest])
-
-
-def _number(
-    rows: DataFrame, table: DataFrame, key: str, natural_key: Sequence[str]
-) -> DataFrame:
-    """Give new rows ids above all existing ones.
-
-    Rows are numbered within hash buckets, each bucket taking every
-    ``ID_BUCKETS``-th id. Ids are unique and repeatable, but not gapless, and
-    no task numbers all rows.
-    """
-    bucket = F.pmod(F.xxhash64(*natural_key), F.lit(ID_BUCKETS))
-    within = Window.partitionBy("bucket").orderBy(*natural_key)
-    highest = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("highest")).scalar()
-    return (
-        rows.withColumn("bucket", bucket)
-        .withColumn("row", F.row_number().over(within) - 1)
-        .withColumn(
-            key,
-            (highest + F.col("row") * ID_BUCKETS + F.col("bucket") + 1).cast("long"),
-        )
-        .drop("bucket", "row")
-    )
+def _days(first: dt.date, last: dt.date) -> list[str]:
+    return [(first + dt.timedelta(days=i)).isoformat() for i in range((last - first).days + 1)]
+
+
+def _fingerprint(corrections: Sequence[Correction]) -> str:
+    """Name of a set of corrections: the same for equal sets in any session."""
+    parts = [
+        [
+            one.column, repr(one.value), str(one.first_day), str(one.last_day),
+            list(one.brands), str(one.condition),
+        ]
+        for one in corrections
+    ]
+    return hashlib.sha256(json.dumps(parts).encode()).hexdigest()[:32]
+
+
+class _Files:
+    """The files of a partitioned table and of its staging folder; only names and plans are read."""
+
+    def __init__(self, spark: SparkSession, path: str, staging_path: str, partition_column: str):
+        self._path, self._staging, self._column = path, staging_path, partition_column
+        self._jvm = spark._jvm
+        self._system = self._place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _place(self, path: str):
+        return self._jvm.org.apache.hadoop.fs.Path(path)
+
+    def staged(self, mark: str) -> str:
+        return f"{self._staging}/{mark}"
+
+    def of_days(self, days: set[str]) -> list[str]:
+        """Names of the table's files of some days, as partition folder / file."""
+        return [x for x in self._names(self._path) if x.split("/")[0].split("=", 1)[1] in days]
+
+    def written_by(self, mark: str) -> set[str]:
+        return set(self._read(f"{self._staging}/{mark}.done") or [])
+
+    def plan_swap(self, mark: str, old: list[str], kept: list[str]) -> None:
+        plan = {"old": old, "new": self._names(self.staged(mark)), "kept": kept}
+        self._write(f"{self._staging}/{mark}.plan", plan)
+
+    def finish_swaps(self) -> None:
+        """Carry through every swap that is planned; each step may have been made before."""
+        for status in self._system.globStatus(self._place(f"{self._staging}/*.plan")) or []:
+            mark = status.getPath().getName().removesuffix(".plan")
+            plan = self._read(f"{self._staging}/{mark}.plan")
+            for day in sorted({name.split("/")[0] for name in plan["new"] + plan["old"]}):
+                self._swap(mark, day, plan)
+            self._write(f"{self._staging}/{mark}.done", plan["kept"] + plan["new"])
+            self._system.delete(status.getPath(), False)
+            self._system.delete(self._place(self.staged(mark)), True)
+
+    def _swap(self, mark: str, day: str, plan: dict[str, list[str]]) -> None:
+        self._system.mkdirs(self._place(f"{self._path}/{day}"))
+        for name in plan["new"]:
+            source, target = self._place(f"{self.staged(mark)}/{name}"), self._place(f"{self._path}/{name}")
+            if name.startswith(f"{day}/") and not self._system.exists(target):
+                if not self._system.rename(source, target):
+                    raise OSError(f"cannot move {source} to {target}")
+        for name in plan["old"]:
+            if name.startswith(f"{day}/"):
+                self._system.delete(self._place(f"{self._path}/{name}"), False)
+
+    def _names(self, path: str) -> list[str]:
+        found = self._system.globStatus(self._place(f"{path}/{self._column}=*/*.parquet")) or []
+        return [f"{x.getPath().getParent().getName()}/{x.getPath().getName()}" for x in found]
+
+    def _read(self, path: str):
+        place = self._place(path)
+        if not self._system.exists(place):
+            return None
+        stream = self._system.open(place)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _write(self, path: str, value: object) -> None:
+        """Whole or not at all: a file gets its name when it is complete."""
+        part = self._place(f"{path}.part")
+        stream = self._system.create(part, True)
+        try:
+            stream.write(bytearray(json.dumps(value).encode()))
+        finally:
+            stream.close()
+        self._system.delete(self._place(path), False)
+        if not self._system.rename(part, self._place(path)):
+            raise OSError(f"cannot write {path}")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtally.operators.paging import total_order
@@ -34,7 +34,7 @@ def running_totals(rows: DataFrame, order: str, totals: dict[str, str]) -> DataF
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[tuple[str, str]], name: str = "number", first: int = 0
+    df: DataFrame, keys: Sequence[tuple[str, str]], name: str = "number", first: int | Column = 0
 ) -> DataFrame:
     """Number all rows by ``(column, 'asc' | 'desc')`` keys: ``first``, ``first + 1``, ... without gaps.
 

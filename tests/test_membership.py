@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playtally import functions as fn
-from playtally.operators import corrections, membership
+from playtally.operators import corrections, membership, numbering, upserts
 from playtally.sources import tables
 from playtally.sources.schemas import schema
 
@@ -171,42 +171,169 @@ def test_correcting_a_table_rewrites_only_its_days(spark, tmp_path):
     assert kept <= files
 
 
-def test_upsert_rows(spark):
-    groups = spark.createDataFrame([(1, "One", "Live"), (2, "Two", "Live")], schema("groups"))
-    changes = spark.createDataFrame(
-        [(1, "Uno", None), (9, "Nine", "Live"), (None, " New ", "Live"), (0, "New", "Live"),
-         (-3, "Two", "Live"), (None, "  ", "Live"), (None, None, "Live"), (None, "Two", "OnDemand")],
-        schema("groups"),
-    )
-    table, rejects = corrections.upsert_rows(
-        groups, changes, "group_id", ["name", "content_type"], "name",
-    )
-    rows = {(r.name, r.content_type): r.group_id for r in table.collect()}
-    assert set(rows) == {
-        ("Uno", "Live"), ("Two", "Live"), ("New", "Live"), ("Two", "OnDemand")
-    }
-    assert (rows["Uno", "Live"], rows["Two", "Live"]) == (1, 2)
-    assert min(rows["New", "Live"], rows["Two", "OnDemand"]) > 2
-    assert sorted((r.group_id or 0, r.reason) for r in rejects.collect()) == [
-        (0, "name is required"), (0, "name is required"), (9, "not found")
+def _rows_of_day(spark, path):
+    return sorted((r.event_date, r.brand, r.pct100_viewed, r.x1_user_type) for r in spark.read.parquet(path).collect())
+
+
+def _chain():
+    """Applied twice, it would move a row on from p1 to p2."""
+    brands = ["A", "B", "C"]
+    days = DAY, DAY + dt.timedelta(days=2)
+    return [
+        corrections.Correction("x1_user_type", "p2", *days, brands, F.col("x1_user_type") == "p1"),
+        corrections.Correction("x1_user_type", "p1", *days, brands, F.col("x1_user_type") == "p0"),
     ]
 
 
-def test_created_ids_are_unique_and_stamped(spark):
+@pytest.fixture
+def chain_table(spark, tmp_path):
+    path, staging = str(tmp_path / "summary"), str(tmp_path / "staging")
+    rows = [(DAY + dt.timedelta(days=i), b, i, f"p{j}") for i in range(3) for j, b in enumerate("ABC")]
+    tables.write_table(_summary(spark, rows), path, "event_date")
+    expected = sorted((*r[:3], {"p0": "p1", "p1": "p2", "p2": "p2"}[r[3]]) for r in rows)
+    return path, staging, expected
+
+
+def test_a_repeated_correction_changes_nothing(spark, chain_table):
+    path, staging, expected = chain_table
+    for _ in range(3):
+        corrections.correct_table(spark, path, staging, _chain())
+        assert _rows_of_day(spark, path) == expected
+    # Rows that came since are corrected, the others are not corrected again.
+    new = (DAY, "A", 9, "p0")
+    _summary(spark, [new]).write.mode("append").partitionBy("event_date").parquet(path)
+    for _ in range(2):
+        corrections.correct_table(spark, path, staging, _chain())
+        assert _rows_of_day(spark, path) == sorted([*expected, (*new[:3], "p1")])
+
+
+@pytest.mark.parametrize("stop", range(5))
+def test_a_stopped_correction_is_carried_through(spark, chain_table, monkeypatch, stop):
+    path, staging, expected = chain_table
+    steps = iter(range(100))
+
+    def breaking(method):
+        def run(self, *args):
+            if next(steps) == stop:
+                raise KeyboardInterrupt
+            return method(self, *args)
+
+        return run
+
+    with monkeypatch.context() as patch:
+        for name in ("_swap", "_write"):
+            patch.setattr(corrections._Files, name, breaking(getattr(corrections._Files, name)))
+        with pytest.raises(KeyboardInterrupt):
+            corrections.correct_table(spark, path, staging, _chain())
+    corrections.correct_table(spark, path, staging, _chain())
+    assert _rows_of_day(spark, path) == expected
+
+
+def test_a_second_set_of_corrections_keeps_rows_that_came_between(spark, chain_table):
+    path, staging, expected = chain_table
+    corrections.correct_table(spark, path, staging, _chain())
+    new = (DAY, "B", 7, "x")
+    _summary(spark, [new]).write.mode("append").partitionBy("event_date").parquet(path)
+    other_day = DAY + dt.timedelta(days=1)
+    second = corrections.Correction("x1_user_type", "q", other_day, other_day, ["A"])
+    corrections.correct_table(spark, path, staging, [second])
+    changed = [(*r[:3], "q") if r[:2] == (other_day, "A") else r for r in expected]
+    assert _rows_of_day(spark, path) == sorted([*changed, new])
+
+
+# --- upserts ---------------------------------------------------------------
+
+
+def _log(spark, rows):
+    return spark.createDataFrame(rows, "seq int, group_id bigint, name string, content_type string")
+
+
+def _upsert(spark, groups, log):
+    table, rejects = upserts.upsert_rows(
+        spark.createDataFrame(groups, schema("groups")), _log(spark, log),
+        "group_id", ["name", "content_type"], "name", "seq",
+    )
+    rejected = sorted((r.seq, r.reason) for r in rejects.collect())
+    return sorted(tuple(r) for r in table.collect()), rejected
+
+
+def test_upsert_rows(spark):
+    table, rejects = _upsert(
+        spark,
+        [(1, "One", "Live"), (2, "Two", "Live")],
+        [(1, 1, "Uno", None), (2, 9, "Nine", "Live"), (3, None, " New ", "Live"), (4, 0, "New", "Live"),
+         (5, -3, "Two", "Live"), (6, None, "  ", "Live"), (7, None, None, "Live"), (8, None, "Two", "OnDemand")],
+    )
+    assert table == [(1, "Uno", "Live"), (2, "Two", "Live"), (3, "New", "Live"), (4, "Two", "OnDemand")]
+    assert rejects == [(2, "not found"), (6, "name is required"), (7, "name is required")]
+
+
+def test_the_last_whole_change_counts(spark):
+    # Column by column, the greatest values would be "Z" and "OnDemand" of different changes.
+    table, _ = _upsert(
+        spark, [(1, "One", "Live")],
+        [(2, 1, "Z", "Live"), (3, 1, "B", "Live"), (1, 1, "A", "OnDemand"), (4, 1, None, "Mixed")],
+    )
+    assert table == [(1, "One", "Mixed")]
+
+
+def test_creations_meet_the_updated_table(spark):
+    # The name given up is free again, the new one is taken; null is a value of the natural key.
+    table, _ = _upsert(
+        spark,
+        [(4, "One", "Live"), (7, "Two", None)],
+        [(1, None, "One", "Live"), (2, None, "Uno", "Live"), (3, 4, "Uno", None), (4, None, "Two", None)],
+    )
+    assert table == [(4, "Uno", "Live"), (7, "Two", None), (8, "One", "Live")]
+
+
+def test_created_ids_have_no_gaps_and_two_kinds_of_stamps(spark):
     users = spark.createDataFrame(
-        [(5, "A", "a@x", None)], "user_id bigint, name string, email string, modified_by bigint"
+        [(5, "A", "a@x", None, 1), (6, "B", "b@x", 2, 1)],
+        "user_id bigint, name string, email string, modified_by bigint, created_by bigint",
     )
-    changes = spark.range(5000).select(
+    changes = spark.range(5000).repartition(7).select(
+        F.col("id").alias("seq"),
         F.when(F.col("id") == 0, 5).otherwise(None).cast("long").alias("user_id"),
         F.concat(F.lit("N"), F.col("id")).alias("name"),
-        F.when(F.col("id") > 0, F.concat(F.lit("u"), F.col("id") % 4000)).alias("email"),
+        F.when(F.col("id") > 0, F.concat(F.lit("u"), F.lpad((F.col("id") % 4000).cast("string"), 4, "0"))).alias("email"),
     )
-    table, rejects = corrections.upsert_rows(
-        users, changes, "user_id", ["email"], "email", {"modified_by": F.lit(42).cast("long")}
+    made = [
+        upserts.upsert_rows(
+            users, changes, "user_id", ["email"], "email", "seq",
+            {"created_by": F.lit(42).cast("long")}, {"modified_by": F.lit(43).cast("long")},
+        )
+        for _ in range(2)
+    ]
+    rows = [sorted(tuple(r) for r in table.collect()) for table, _ in made]
+    assert rows[0] == rows[1] and made[0][1].count() == 0
+    assert rows[0][:2] == [(5, "N0", "a@x", 43, 1), (6, "B", "b@x", 2, 1)]
+    created = rows[0][2:]
+    assert [r[0] for r in created] == list(range(7, 7 + 4000))
+    assert [r[2] for r in created] == [f"u{i:04}" for i in range(4000)]
+    # Of equal creations the last one counts.
+    assert created[1] == (8, "N4001", "u0001", None, 42) and created[1000][1] == "N1000"
+
+
+# --- numbering -------------------------------------------------------------
+
+
+@pytest.mark.parametrize("partitions", [1, 13])
+def test_numbers_follow_the_order_without_gaps(spark, partitions):
+    # A third of the rows share one key, and some rows are equal.
+    df = spark.range(3000).repartition(partitions).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 900).alias("k"),
+        (F.col("id") % 1000).alias("v"),
     )
-    rows = table.collect()
-    assert rejects.count() == 0
-    assert len({r.user_id for r in rows}) == len(rows) == 1 + 4000
-    assert {r.modified_by for r in rows} == {42}
-    [known] = [r for r in rows if r.user_id == 5]
-    assert (known.name, known.email) == ("N0", "a@x")
+    rows = numbering.numbered(df, [("k", "desc"), ("v", "asc")], "n", 10).orderBy("n").collect()
+    assert [r.n for r in rows] == list(range(10, 3010))
+    order = [(r.k is not None, -(r.k or 0), r.v) for r in rows]
+    assert order == sorted(order)
+    within = numbering.numbered_within(df, ["k"], [("v", "desc")], first=1).collect()
+    by = {}
+    for r in within:
+        by.setdefault(r.k, []).append((r.position, r.v))
+    for own in by.values():
+        assert [p for p, _ in sorted(own)] == list(range(1, len(own) + 1))
+        assert [v for _, v in sorted(own)] == sorted((v for _, v in own), reverse=True)
+    assert numbering.numbered(df.where("false"), [("k", "asc")]).collect() == []
