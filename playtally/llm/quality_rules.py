@@ -155,19 +155,18 @@ def judge(
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
-    return counts.select(
-        "doc.*",
-        F.struct(
-            "n_words",
-            "word_chars",
-            "n_symbols",
-            "n_dup_lines",
-            "n_repeat_words",
-            "score",
-            failed.alias("base_failed"),
-            (~failed & (F.col("score") >= threshold)).alias("kept"),
-        ).alias("_quality"),
+    verdict = F.struct(
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "score",
+        failed.alias("base_failed"),
+        (~failed & (F.col("score") >= threshold)).alias("kept"),
     )
+    # A filter on the verdict stays above the explode; below, every use of the words would be split anew.
+    return counts.select("doc", F.explode(F.array(verdict)).alias("_quality")).select("doc.*", "_quality")
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:

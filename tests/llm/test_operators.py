@@ -361,3 +361,10 @@ def test_pipeline(spark):
     assert kept and kept <= judged
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, FOLDER).columns == docs.columns
+
+
+def test_a_filter_on_the_verdict_stays_above_it(spark, awkward, labels):
+    judged = quality_rules.judge(awkward, quality_rules.trusted_documents(labels))
+    for kept in (judged, judged.where("_quality.kept").select(awkward.columns)):
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") <= 4 and plan.count("xxhash64(") <= 8
