@@ -291,8 +291,43 @@ def rollup_daily_from_device_days(t: Tables) -> DataFrame:
 
 @query
 def rollup_conformed_events(t: Tables) -> DataFrame:
-    # The twin has no such hash: it groups by what is hashed.
-    return rollup.roll_up(rollup.plays_from_events(t.merged_events), "daily").drop("asset_id")
+    return rollup.roll_up(rollup.plays_from_events(t.merged_events), "daily")
+
+
+@query
+def event_report_daily(t: Tables) -> DataFrame:
+    """Raw events to the daily live export: conformed, summarised, joined to their assets."""
+    summary = rollup.roll_up(rollup.plays_from_events(t.merged_events), "daily")
+    return reports.export(
+        reports.LIVE_UNIQUE_DAILY, summary, rollup.assets_from_events(t.merged_events),
+        ReportParams(dt.date(2024, 1, 1), dt.date(2024, 1, 31)),
+    )
+
+
+@query
+def event_report_performance(t: Tables) -> DataFrame:
+    """Raw events to the on-demand performance table."""
+    summary = rollup.roll_up(rollup.plays_from_events(t.merged_events), "daily")
+    return reports.performance(
+        summary, rollup.assets_from_events(t.merged_events),
+        ReportParams(dt.date(2024, 1, 1), dt.date(2024, 1, 31)), group_by_starts=False,
+    )
+
+
+@query
+def merged_events_incremental(t: Tables) -> DataFrame:
+    """Two overlapping run days, the first of which finds half of what arrives on its day."""
+    first_day, last_day = star_schema.AS_OF - dt.timedelta(days=3), star_schema.AS_OF
+    key = int(f"{first_day:%Y%m%d}")
+    arrived = (F.col("event_datekey") < key) | ((F.col("event_datekey") == key) & (F.col("event_id") % 4 < 2))
+    branches = {conform.LIVE: t.live_assets, conform.ONDEMAND: t.ondemand_assets}
+    first = conform.conform_increment(
+        t.raw_events.where(arrived), None, branches, first_day, None, t.excluded
+    )
+    second = conform.conform_increment(
+        t.raw_events, first, branches, last_day, first_day, t.excluded
+    )
+    return first.unionByName(second)
 
 
 @query

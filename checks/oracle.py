@@ -107,6 +107,13 @@ _CTES = {
         SELECT * FROM dated_events
         WHERE date_diff('day', event_day, DATE '2024-01-15') BETWEEN 0 AND 7
           AND event_datekey BETWEEN 20240101 AND 20240116""",
+    "events_of_two_runs": """
+        SELECT * FROM dated_events
+        WHERE date_diff('day', event_day, DATE '2024-01-12') BETWEEN 0 AND 7
+          AND event_datekey BETWEEN 20231229 AND 20240113
+          AND (event_datekey < 20240113 OR event_id % 4 < 2)
+           OR date_diff('day', event_day, DATE '2024-01-15') BETWEEN 0 AND 7
+          AND event_datekey BETWEEN 20240101 AND 20240116""",
     **{
         f"merged_{name}": f"""
         SELECT DISTINCT '{content_type}' AS content_type, event_day AS eventdate,
@@ -313,6 +320,10 @@ def _performance(where: str = "", starts_key: str = ", e.content_starts") -> str
                  e.x1_user_type, a.asset_id {starts_key}"""
 
 
+_EVENT_ASSET_KEY = "md5(" + " || ".join(
+    f"length({name}) || ':' || {name}"
+    for name in ("brand", "series_title", "season_number", "episode_number", "episode_name")
+) + ")"
 _TIES = (
     "product, platform, brand, event_date, series_name, episode_name, asset_id,"
     " content_starts, pct25_viewed, pct50_viewed, pct75_viewed, pct95_viewed,"
@@ -537,8 +548,8 @@ _QUERIES = {
     "rollup_weekly": "SELECT * FROM summary_weekly",
     "rollup_monthly": "SELECT * FROM summary_monthly",
     "rollup_daily_from_device_days": "SELECT * FROM summary_daily",
-    "rollup_conformed_events": """
-        SELECT eventdate AS event_date, platform, brand, content_type, x1_user_type,
+    "rollup_conformed_events": f"""
+        SELECT eventdate AS event_date, {_EVENT_ASSET_KEY} AS asset_id, platform, brand, content_type, x1_user_type,
                nullif(gracenote_id, 'N/A') AS gracenote_id,
                max(duration_secs) AS total_duration, airdate AS air_date,
                count(*) AS content_starts,
@@ -552,6 +563,36 @@ _QUERIES = {
         FROM merged_events
         GROUP BY eventdate, platform, brand, content_type, x1_user_type, gracenote_id,
                  series_title, season_number, episode_number, episode_name, airdate""",
+    "event_report_daily": """
+        SELECT DISTINCT CASE WHEN lower(x1_user_type) = 'introtv' THEN 'NOW TV' ELSE 'TVE' END AS product,
+               platform, brand, eventdate AS event_date, series_title AS series_name, episode_name,
+               episode_number, season_number, CAST(NULL AS VARCHAR) AS program_type,
+               CAST(NULL AS VARCHAR) AS rating, max(duration_secs) AS total_duration,
+               CAST(NULL AS VARCHAR) AS available_date, airdate AS air_date,
+               CAST(NULL AS VARCHAR) AS expiration_date, gracenote_id,
+               count(DISTINCT device_id) AS unique_devices, count(*) AS content_starts,
+               CAST(sum(viewed_secs) AS BIGINT) AS total_seconds_viewed
+        FROM merged_events
+        WHERE content_type = 'Live' AND gracenote_id <> 'N/A'
+        GROUP BY platform, brand, eventdate, series_title, episode_name, episode_number, season_number,
+                 airdate, gracenote_id, x1_user_type""",
+    "event_report_performance": f"""
+        SELECT CASE WHEN lower(x1_user_type) = 'introtv' THEN 'NOWTV' ELSE 'TVE' END AS product,
+               platform, brand, eventdate AS event_date, series_title AS series_name, episode_name,
+               {_EVENT_ASSET_KEY} AS asset_id, count(*) AS content_starts,
+               CAST(sum(pct25_viewed) AS BIGINT) AS pct25_viewed,
+               CAST(sum(pct50_viewed) AS BIGINT) AS pct50_viewed,
+               CAST(sum(pct75_viewed) AS BIGINT) AS pct75_viewed,
+               CAST(sum(pct95_viewed) AS BIGINT) AS pct95_viewed,
+               CAST(sum(pct100_viewed) AS BIGINT) AS pct100_viewed,
+               CAST(sum(viewed_secs) AS BIGINT) AS total_seconds_viewed, x1_user_type
+        FROM merged_events
+        WHERE content_type = 'OnDemand' AND gracenote_id = 'N/A' AND platform IN ('Web', 'Mobile')
+        GROUP BY platform, brand, eventdate, series_title, episode_name, season_number, episode_number,
+                 x1_user_type""",
+    "merged_events_incremental": " UNION ALL ".join(
+        _CTES[f"merged_{name}"].replace("recent_events", "events_of_two_runs") for name in ("live", "ondemand")
+    ),
     "unique_devices_by_grain": " UNION ALL ".join(
         f"""SELECT '{grain}' AS grain, {day} AS event_date, brand, content_type,
                    count(DISTINCT device_id) AS unique_devices

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+import operator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,13 +41,17 @@ LIVE = Branch("Live", "Live", "program_id", "company")
 ONDEMAND = Branch("OnDemand", "On-Demand", "media_guid", "provider")
 
 
-def recent(as_of: dt.date) -> Column:
-    """Events of the eight days before ``as_of``.
+def recent(*as_of: dt.date) -> Column:
+    """Events of the eight days before one of the run days.
 
     The event day is local, so its bounds are turned into epoch milliseconds
     once. They fold to constants and prune row groups at the scan, and the
     arrival key - the partition column - prunes directories.
     """
+    return reduce(operator.or_, [_recent(day) for day in as_of])
+
+
+def _recent(as_of: dt.date) -> Column:
     first_day = as_of - dt.timedelta(days=EVENT_DAYS)
     first_key = as_of - dt.timedelta(days=KEY_DAYS)
     stamp = F.col("event_timestamp")
@@ -57,6 +62,22 @@ def recent(as_of: dt.date) -> Column:
     )
 
 
+def not_yet_conformed(raw_events: DataFrame, as_of: dt.date, previous: dt.date) -> DataFrame:
+    """Raw events of the window of ``as_of`` that the run of ``previous`` may have left out.
+
+    That run saw all events of the arrival days before its own; of those, only
+    event days from its own on were too young. What arrived on its day or later is read
+    whole. The first part is pruned by row groups, the second by directories.
+    """
+    first_key, last_key = as_of - dt.timedelta(days=KEY_DAYS), as_of
+    key, stamp = F.col("event_datekey"), F.col("event_timestamp")
+    earlier = key.between(_key(first_key), _key(previous - dt.timedelta(days=1)))
+    later = key.between(_key(max(first_key, previous)), _key(last_key))
+    too_young = stamp >= local_day_start(previous) * 1000
+    in_window = raw_events.where(recent(as_of))
+    return in_window.where(later).unionByName(in_window.where(earlier & too_young))
+
+
 def excluded_devices(filtered_devices: DataFrame) -> DataFrame:
     """Device and program pairs whose live viewing is not counted."""
     return filtered_devices.where(
@@ -75,42 +96,63 @@ def conform(
     """Conformed events of the branches in ``assets``, 21 columns.
 
     ``excluded_live`` holds (device_id, program_id) pairs to leave out of live
-    viewing. All branches share one scan of the raw events, one join and one
-    de-duplication, which is exact because branches differ in content type.
-    Filters and projection come first; the last step alone moves whole rows.
+    viewing.
     """
-    branches = list(assets)
-    entity = F.col("entity_type")
-    asset_key = _by_branch(branches, lambda b: F.col(b.asset_key).cast("string"))
-    events = raw_events.where(
-        entity.isin([b.entity_type for b in branches]) & recent(as_of)
-    ).withColumn("asset_key", asset_key)
-    if excluded_live is not None:
-        pairs = excluded_live.select(
-            F.lit(LIVE.entity_type).alias("entity_type"),
-            "device_id",
-            F.col("program_id").alias("asset_key"),
-        )
-        keys = ["entity_type", "device_id", "asset_key"]
-        events = events.withColumn("device_id", F.col("device_id").cast("string"))
-        events = events.join(pairs, keys, "left_anti")
-    known_assets = stack(
-        [
-            frame.where(
-                (entity == branch.entity_type) & F.col("last_update").isNotNull()
-            ).select(
-                "entity_type",
-                F.col(branch.asset_key).cast("string").alias("asset_key"),
-                "tms_episode_id",
-            )
-            for branch, frame in assets.items()
-        ]
-    )
-    return (
-        events.join(known_assets, ["entity_type", "asset_key"])
-        .select(*_conformed_columns(branches))
-        .distinct()
-    )
+    return conform_selected(raw_events.where(recent(as_of)), assets, excluded_live)
+
+
+def conform_selected(
+    raw_events: DataFrame,
+    assets: dict[Branch, DataFrame],
+    excluded_live: DataFrame | None = None,
+) -> DataFrame:
+    """Conformed events of given raw events, whatever their days.
+
+    Every branch reads its own rows and columns, so the filter on the entity type
+    and the pruning of columns reach the scan. Where the assets are too many to
+    broadcast, Spark builds a Bloom filter of the valid keys and tests it at the
+    scan, before the first shuffle (``session.SETTINGS``). Only live rows with an asset
+    are shuffled for the exclusion. One de-duplication serves all branches, which
+    is exact because they differ in content type.
+    """
+    rows = []
+    for branch, frame in assets.items():
+        key = F.col(branch.asset_key).cast("string").alias("asset_key")
+        is_own = F.col("entity_type") == branch.entity_type
+        valid = frame.where(is_own & F.col("last_update").isNotNull()).select(key, "tms_episode_id")
+        device = F.col("device_id").cast("string")
+        events = raw_events.where(is_own).withColumn("device_id", device).withColumn("asset_key", key)
+        events = events.join(valid, "asset_key")
+        if branch == LIVE and excluded_live is not None:
+            pairs = excluded_live.select("device_id", F.col("program_id").alias("asset_key"))
+            events = events.join(pairs, ["device_id", "asset_key"], "left_anti")
+        rows.append(events.select(*_conformed_columns(branch)))
+    return stack(rows).distinct()
+
+
+def conform_increment(
+    raw_events: DataFrame,
+    stored: DataFrame | None,
+    assets: dict[Branch, DataFrame],
+    as_of: dt.date,
+    previous: dt.date | None,
+    excluded_live: DataFrame | None = None,
+) -> DataFrame:
+    """Conformed events of a run day that other runs have not stored.
+
+    ``stored`` holds what they conformed, ``previous`` is the last run day before
+    this one. An event is conformed once: one that is stored under its arrival day is
+    left out by its id, which concerns events that arrived on or after the day of
+    the previous run; no other stored rows are read.
+    """
+    raw = raw_events.where(recent(as_of)) if previous is None else not_yet_conformed(raw_events, as_of, previous)
+    rows = conform_selected(raw, assets, excluded_live)
+    if stored is None:
+        return rows
+    first_key = as_of - dt.timedelta(days=KEY_DAYS) if previous is None else previous
+    seen = stored.where(F.col("event_datekey").between(_key(first_key), _key(as_of)))
+    keys = ["event_datekey", "event_id"]
+    return rows.join(seen.select(*keys), keys, "left_anti").select(*rows.columns)
 
 
 def merge_events(
@@ -129,27 +171,14 @@ def merge_events(
     )
 
 
-def _by_branch(branches: list[Branch], value: Callable[[Branch], Column]) -> Column:
-    """The value of the branch that an event belongs to."""
-    *others, last = branches
-    result = value(last)
-    for branch in others:
-        result = F.when(F.col("entity_type") == branch.entity_type, value(branch)).otherwise(
-            result
-        )
-    return result
-
-
-def _conformed_columns(branches: list[Branch]) -> list[Column]:
-    content_type = _by_branch(branches, lambda b: F.lit(b.content_type))
-    brand = _by_branch(branches, lambda b: F.col(b.brand_column))
+def _conformed_columns(branch: Branch) -> list[Column]:
     flags = completion_flags(F.col("duration_secs"), F.col("viewed_secs"))
     return [
-        content_type.alias("content_type"),
+        F.lit(branch.content_type).alias("content_type"),
         event_day(F.col("event_timestamp")).alias("eventdate"),
         F.col("event_datekey"),
         platform_bucket(F.col("platform")).alias("platform"),
-        blank_to_na(brand).alias("brand"),
+        blank_to_na(F.col(branch.brand_column)).alias("brand"),
         blank_to_na(F.col("series_name")).alias("series_title"),
         blank_to_na(F.col("season_number")).alias("season_number"),
         blank_to_na(F.col("episode_number")).alias("episode_number"),

@@ -41,6 +41,9 @@ ADDITIVE_METRICS = [
     "total_seconds_viewed",
 ]
 
+# What names an asset in conformed events.
+ASSET_NAMES = ["brand", "series_title", "season_number", "episode_number", "episode_name"]
+
 # Relative standard error of the approximate device count. A smaller one costs
 # more memory per summary row while it is aggregated.
 APPROXIMATE_ERROR = 0.05
@@ -62,21 +65,46 @@ def plays_from_viewing(viewing: DataFrame) -> DataFrame:
     )
 
 
-def asset_hash(series_column: str = "series_title") -> Column:
-    """Key of an asset: a 64-bit hash of what names it in conformed events.
+def asset_key() -> Column:
+    """Key of the asset of a conformed event: a 128-bit digest of what names it, as 32 hex digits.
 
-    With ``series_column='series_name'`` it keys the assets table to match. Two
-    of a million assets share a key with a chance below one in ten million.
+    Every name stands behind its length, so different lists of names have different texts.
     """
-    names = ["brand", series_column, "season_number", "episode_number", "episode_name"]
-    return F.xxhash64(*[blank_to_na(F.col(name)) for name in names])
+    names = [blank_to_na(F.col(name)) for name in ASSET_NAMES]
+    parts = [F.concat(F.length(name).cast("string"), F.lit(":"), name) for name in names]
+    return F.md5(F.concat(*parts))
+
+
+def assets_from_events(merged_events: DataFrame) -> DataFrame:
+    """One row per asset of conformed events: its key and names, and nulls for what events do not tell."""
+    names = merged_events.select(*[blank_to_na(F.col(name)).alias(name) for name in ASSET_NAMES]).distinct()
+    named = names.withColumn("asset_id", asset_key()).withColumnRenamed("series_title", "series_name")
+    return one_name_per_key(named).select(
+        "*",
+        *[
+            F.lit(None).cast("string").alias(column)
+            for column in ("program_type", "rating", "available_date", "expiration_date")
+        ],
+    )
+
+
+def one_name_per_key(named: DataFrame) -> DataFrame:
+    """The rows, one per ``asset_id``; a key with two names fails the job instead of mixing two assets."""
+    names = [c for c in named.columns if c != "asset_id"]
+    found = named.groupBy("asset_id").agg(
+        F.min(F.struct(*names)).alias("low"), F.max(F.struct(*names)).alias("high")
+    )
+    message = F.concat(F.lit("two assets have the key "), F.col("asset_id"))
+    is_one = F.assert_true(F.col("low") == F.col("high"), message).isNull()
+    # In a filter, the test cannot be pruned with the columns that it compares.
+    return found.where(is_one).select("asset_id", "low.*")
 
 
 def plays_from_events(merged_events: DataFrame) -> DataFrame:
     """Plays of conformed events; the placeholder episode id becomes null again."""
     return merged_events.select(
         F.col("eventdate").alias("event_date"),
-        asset_hash().alias("asset_id"),
+        asset_key().alias("asset_id"),
         "platform",
         "brand",
         "content_type",

@@ -14,6 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Events are tested against a Bloom filter of the valid asset keys where they are scanned.
+    # Spark sizes it by the keys; with more than this, it would keep too few events out.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
     # A union that zips equally partitioned inputs fails when adaptive execution
     # re-partitions one of them ("Can't zip RDDs with unequal numbers of
     # partitions"), and it would leave a hot key's rows in one task.

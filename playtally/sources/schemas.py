@@ -26,7 +26,19 @@ _DDL = {
         episode_number string, episode_name string, gracenote_id string,
         airdate string, event_id bigint, device_id string, duration_secs bigint,
         viewed_secs bigint, pct25_viewed int, pct50_viewed int, pct75_viewed int,
-        pct95_viewed int, pct100_viewed int, x1_user_type string""",
+        pct95_viewed int, pct100_viewed int, x1_user_type string,
+        run_day date""",
+    # What a conformed event says of its asset, by day; keys are those of `rollup.asset_key`.
+    "event_assets": """
+        event_date date, brand string, series_name string, season_number string,
+        episode_number string, episode_name string, asset_id string""",
+    "event_summary": """
+        event_date date, asset_id string, platform string, brand string,
+        content_type string, x1_user_type string, gracenote_id string,
+        total_duration bigint, air_date string, content_starts bigint,
+        pct25_viewed bigint, pct50_viewed bigint, pct75_viewed bigint,
+        pct95_viewed bigint, pct100_viewed bigint, total_seconds_viewed bigint,
+        unique_devices bigint""",
     "summary": """
         event_date date, asset_id bigint, platform string, brand string,
         content_type string, x1_user_type string, gracenote_id string,
@@ -62,6 +74,9 @@ _ALIASES = {
     "summary_daily": "summary",
     "summary_weekly": "summary",
     "summary_monthly": "summary",
+    "event_summary_daily": "event_summary",
+    "event_summary_weekly": "event_summary",
+    "event_summary_monthly": "event_summary",
     "legacy_live_groups": "legacy_groups",
     "legacy_vod_groups": "legacy_groups",
     "legacy_users_live_groups": "legacy_users_groups",
@@ -75,4 +90,4 @@ def schema(table: str) -> StructType:
 
 
 def tables() -> list[str]:
-    return sorted((set(_DDL) - {"summary", "legacy_groups", "legacy_users_groups"}) | set(_ALIASES))
+    return sorted((set(_DDL) - set(_ALIASES.values())) | set(_ALIASES))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,31 +16,19 @@ PARTITION_COLUMN = {
     "summary_daily": "event_date",
     "summary_weekly": "event_date",
     "summary_monthly": "event_date",
+    "event_summary_daily": "event_date",
+    "event_summary_weekly": "event_date",
+    "event_summary_monthly": "event_date",
+    "event_assets": "event_date",
 }
 
 
-# Tables with one folder for each run day. The windows of run days overlap, so the
-# parent folder holds an event once for each of them.
-RUN_DAY_TABLES = ["merged_events"]
-
 JDBC_PARTITION_OPTIONS = ["partitionColumn", "lowerBound", "upperBound", "numPartitions"]
 
 
-def run_day_path(root: str, table: str, as_of: dt.date) -> str:
-    return f"{root}/{table}/as_of={as_of}"
-
-
-def read_table(
-    spark: SparkSession, root: str, table: str, as_of: dt.date | None = None
-) -> DataFrame:
-    """Parquet table below ``root``, with its declared schema.
-
-    A table with run days is read as of one, so no event counts twice.
-    """
-    if (table in RUN_DAY_TABLES) != (as_of is not None):
-        raise ValueError(f"{table} {'needs' if as_of is None else 'has no'} run day")
-    path = f"{root}/{table}" if as_of is None else run_day_path(root, table, as_of)
-    return spark.read.schema(schema(table)).parquet(path)
+def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Parquet table below ``root``, with its declared schema."""
+    return spark.read.schema(schema(table)).parquet(f"{root}/{table}")
 
 
 def read_jdbc(
@@ -61,10 +48,10 @@ def read_jdbc(
 def write_table(
     df: DataFrame,
     path: str,
-    partition_column: str | None = None,
+    partition_column: str | Sequence[str] | None = None,
     mode: str = "errorifexists",
 ) -> None:
-    """Write parquet, partitioned on disk by ``partition_column``.
+    """Write parquet, partitioned on disk by one or more columns.
 
     The rebalance hint gathers a partition value into few files, and lets
     adaptive execution split a value that holds too many rows for one task.
@@ -73,21 +60,25 @@ def write_table(
     if partition_column is None:
         df.write.mode(mode).parquet(path)
         return
+    columns = _columns(partition_column)
     (
-        df.hint("rebalance", partition_column)
+        df.hint("rebalance", *columns)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition_column)
+        .partitionBy(*columns)
         .parquet(path)
     )
 
 
 def replace_partitions(
-    df: DataFrame, path: str, partition_column: str, is_replaced: Callable[[str], bool]
+    df: DataFrame,
+    path: str,
+    partition_column: str | Sequence[str],
+    is_replaced: Callable[[str], bool],
 ) -> None:
     """Write ``df``; partitions to be replaced for which it has no rows go.
 
-    ``is_replaced`` gets the value of a partition as text. A partition that
+    ``is_replaced`` gets the value of a partition, of its last column, as text. A partition that
     was written anew has other files than before; what still has old ones got no rows.
     Only names are read for that, and a repeated run ends in the same state.
     """
@@ -102,10 +93,11 @@ def replace_partitions(
 
 
 def _partition_files(
-    spark: SparkSession, path: str, partition_column: str
+    spark: SparkSession, path: str, partition_column: str | Sequence[str]
 ) -> dict[str, set[str]]:
     """File names of each partition folder; none where the table does not exist."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition_column}=*/*.parquet")
+    folders = "/".join(f"{column}=*" for column in _columns(partition_column))
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folders}/*.parquet")
     found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
     files: dict[str, set[str]] = {}
     for status in found or []:
@@ -115,6 +107,15 @@ def _partition_files(
     return files
 
 
+def partition_values(spark: SparkSession, path: str, columns: Sequence[str]) -> set[str]:
+    """Values of the last partition column that the table has files for; only names are read."""
+    return {folder.rsplit("=", 1)[1] for folder in _partition_files(spark, path, columns)}
+
+
+def _columns(partition_column: str | Sequence[str]) -> list[str]:
+    return [partition_column] if isinstance(partition_column, str) else list(partition_column)
+
+
 def create_view(df: DataFrame, name: str) -> None:
     """Publish a frame under a name for SQL readers of the session."""
     df.createOrReplaceTempView(name)

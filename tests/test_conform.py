@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playtally.operators import conform
-from playtally.sources import tables
+from playtally.sources import star_schema, tables
 from playtally.sources.schemas import schema
 from tests.conftest import plan_of
 
@@ -57,7 +57,7 @@ def _merged(spark, dims, events):
 def test_schema(spark, dims):
     merged = _merged(spark, dims, [_event(1)])
     assert [(f.name, f.dataType) for f in merged.schema] == [
-        (f.name, f.dataType) for f in schema("merged_events")
+        (f.name, f.dataType) for f in schema("merged_events") if f.name != "run_day"
     ]
 
 
@@ -142,5 +142,36 @@ def test_view_is_readable_from_sql(spark, dims):
     live = spark.sql("SELECT * FROM merged_events_view WHERE content_type = 'Live'")
     assert live.count() == 1
     # A filter on the content type is one on the entity type, next to the scan.
-    assert "= Live) <=> true" in plan_of(live)
+    assert "Live)" in plan_of(live) and "On-Demand" not in plan_of(live)
     assert live.agg(F.sum("pct25_viewed")).first()[0] == 1
+
+
+def test_only_live_rows_with_an_asset_are_shuffled_for_the_exclusion(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    names = ["raw_events", "live_assets", "ondemand_assets", "live_filtered_devices"]
+    for name in names:
+        getattr(star_schema, name)(spark, folder).write.parquet(f"{tmp_path}/{name}")
+    raw, live, ondemand, devices = (tables.read_table(spark, str(tmp_path), name) for name in names)
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        # The size of events from which Spark filters them at the scan.
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1B",
+    }
+    for name, value in changed.items():
+        spark.conf.set(name, value)
+    try:
+        merged = conform.merge_events(raw, live, ondemand, devices, star_schema.AS_OF)
+        plan = merged._jdf.queryExecution().optimizedPlan().toString()
+        rows = merged.count()
+    finally:
+        for name in changed:
+            spark.conf.unset(name)
+    assert rows == conform.merge_events(raw, live, ondemand, devices, star_schema.AS_OF).count() > 0
+    live, ondemand = plan.split("Project [OnDemand AS content_type")
+    # One exclusion, of live rows; the keys of both branches are tested right above their scans.
+    assert live.count("LeftAnti") == 1 and "LeftAnti" not in ondemand
+    for branch in (live, ondemand):
+        [test] = [line for line in branch.split("\n") if "might_contain" in line]
+        assert "Filter" in test and "event_timestamp" in test
+        assert branch.count("bloom_filter_agg") == 1

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from playtally.operators import rollup
+from playtally.operators import conform, rollup
 from playtally.params import ReportParams
 from playtally.plans import pipeline, reports
 from playtally.sources import star_schema, tables
@@ -57,19 +57,59 @@ def test_withdrawn_days_disappear(spark, tmp_path):
     assert tables.read_table(spark, root, "summary_daily").isEmpty()
 
 
-def test_overlapping_run_days_are_read_one_at_a_time(spark, tmp_path):
-    root = str(tmp_path)
+def _write_raw(spark, root, arrived=None):
     for name in ("raw_events", "live_assets", "ondemand_assets", "live_filtered_devices"):
         frame = getattr(star_schema, name)(spark, FOLDER)
-        tables.write_table(frame, f"{root}/{name}", tables.PARTITION_COLUMN.get(name))
-    for as_of in (star_schema.AS_OF, star_schema.AS_OF + dt.timedelta(days=1)):
-        pipeline.materialise_events(spark, root, as_of)
-        pipeline.materialise_events(spark, root, as_of)
-        merged = tables.read_table(spark, root, "merged_events", as_of)
-        assert "as_of" not in merged.columns
-        assert 0 < merged.count() == spark.read.parquet(tables.run_day_path(root, "merged_events", as_of)).count()
-    with pytest.raises(ValueError, match="run day"):
-        tables.read_table(spark, root, "merged_events")
+        if name == "raw_events" and arrived is not None:
+            frame = frame.where(arrived)
+        tables.write_table(frame, f"{root}/{name}", tables.PARTITION_COLUMN.get(name), mode="overwrite")
+
+
+def _conformed(spark, root, *run_days):
+    names = ["raw_events", "live_assets", "ondemand_assets", "live_filtered_devices"]
+    raw, live, ondemand, devices = (tables.read_table(spark, root, name) for name in names)
+    return conform.conform_selected(
+        raw.where(conform.recent(*run_days)),
+        {conform.LIVE: live, conform.ONDEMAND: ondemand},
+        conform.excluded_devices(devices),
+    )
+
+
+def test_run_days_add_what_others_have_not_stored(spark, tmp_path):
+    root, second = str(tmp_path), star_schema.AS_OF
+    first = second - dt.timedelta(days=2)
+    key = int(f"{first:%Y%m%d}")
+    # The first run finds half of what arrives on its day.
+    arrived = (F.col("event_datekey") < key) | ((F.col("event_datekey") == key) & (F.col("event_id") % 4 < 2))
+    _write_raw(spark, root, arrived)
+    pipeline.materialise_events(spark, root, first)
+    _write_raw(spark, root)
+    for _ in range(2):
+        pipeline.materialise_events(spark, root, second)
+        stored = tables.read_table(spark, root, "merged_events")
+        own = stored.where(F.col("run_day") == second)
+        assert 0 < own.count() < stored.count() == stored.select("event_id").distinct().count()
+        # One run over all days, of which the first one could not see what came late and is too old by now.
+        late = (F.col("event_datekey") == key) & (F.col("event_id") % 4 >= 2)
+        too_old = late & (F.col("eventdate") < second - dt.timedelta(days=conform.EVENT_DAYS))
+        assert _same(stored.drop("run_day"), _conformed(spark, root, first, second).where(~too_old))
+    # A repeated first run takes nothing that the second has.
+    pipeline.materialise_events(spark, root, first)
+    stored = tables.read_table(spark, root, "merged_events")
+    assert _same(stored.drop("run_day"), _conformed(spark, root, first, second))
+    events = pipeline.stored_events(spark, root, second)
+    assert _same(events.drop("run_day"), _conformed(spark, root, second))
+    assert pipeline.stored_events(spark, root, first).where(F.col("run_day") > first).isEmpty()
+
+
+def test_a_run_reads_only_arrival_days_that_are_open(spark, tmp_path):
+    root, as_of = str(tmp_path), star_schema.AS_OF
+    _write_raw(spark, root)
+    raw = tables.read_table(spark, root, "raw_events")
+    plan = plan_of(conform.not_yet_conformed(raw, as_of, as_of - dt.timedelta(days=1)))
+    later, earlier = (b for b in plan.split("\n\n") if "PartitionFilters" in b)
+    assert "20240115" in later.split("PartitionFilters")[1].split("\n")[0]
+    assert "event_timestamp" in earlier.split("PushedFilters")[1].split("\n")[0]
 
 
 def test_large_tables_are_not_read_over_jdbc_by_one_task(spark):
@@ -92,25 +132,17 @@ def test_touched_periods_prune_directories(spark, tmp_path):
 
 def test_daily_run_from_raw_events_to_a_report(spark, tmp_path):
     root = str(tmp_path)
-    names = ["raw_events", "live_assets", "ondemand_assets", "live_filtered_devices"]
-    for name in names:
-        frame = getattr(star_schema, name)(spark, FOLDER)
-        tables.write_table(frame, f"{root}/{name}", tables.PARTITION_COLUMN.get(name))
-    pipeline.daily_run(spark, root, star_schema.AS_OF)
-    merged = spark.read.parquet(f"{root}/merged_events")
-    assert merged.select("as_of").distinct().count() == 1
-    summary = tables.read_table(spark, root, "summary_daily")
-    assert _same(summary, rollup.roll_up(rollup.plays_from_events(merged), "daily"))
-    assert summary.agg(F.sum("content_starts")).first()[0] == merged.count()
-    weekly = tables.read_table(spark, root, "summary_weekly")
-    names = merged.select(
-        "brand", F.col("series_title").alias("series_name"), "episode_name",
-        # An assets table holds blanks where conformed events have a placeholder.
-        "episode_number", F.nullif("season_number", F.lit("N/A")).alias("season_number"),
-        *[F.lit(None).cast("string").alias(c) for c in
-          ("program_type", "rating", "available_date", "expiration_date")],
-    ).distinct()
-    assets = names.withColumn("asset_id", rollup.asset_hash("series_name"))
+    _write_raw(spark, root)
+    for days in (1, 0):
+        pipeline.daily_run(spark, root, star_schema.AS_OF - dt.timedelta(days=days))
+    merged = tables.read_table(spark, root, "merged_events")
+    assert merged.select("run_day").distinct().count() == 2
+    for grain in ("daily", "weekly", "monthly"):
+        summary = tables.read_table(spark, root, f"event_summary_{grain}")
+        assert _same(summary, rollup.roll_up(rollup.plays_from_events(merged), grain))
+    assets = pipeline.event_assets(spark, root)
+    assert assets.count() == merged.select(*rollup.ASSET_NAMES).distinct().count()
+    weekly = tables.read_table(spark, root, "event_summary_weekly")
     report = reports.export(
         reports.LIVE_UNIQUE_WEEKLY, weekly, assets,
         ReportParams(dt.date(2024, 1, 1), dt.date(2024, 1, 31)),
@@ -119,3 +151,4 @@ def test_daily_run_from_raw_events_to_a_report(spark, tmp_path):
     assert report.agg(F.sum("unique_devices")).first()[0] == (
         live.agg(F.sum("unique_devices")).first()[0]
     )
+    assert {r.series_name for r in report.collect()} <= {"Ser", "N/A"}

@@ -140,3 +140,23 @@ def test_a_hot_asset_is_counted_by_many_tasks(spark):
     assert "device_id" not in exchanges[1]
     assert summary.first().unique_devices == 500
     assert "SortAggregate" not in final_plan_of(summary)
+
+
+def test_names_have_keys_of_their_own(spark):
+    rows = [("a", "1:b", "", "", ""), ("a1", ":b", None, "", ""), ("a", "1:b", None, "N/A", "x"), ("a", None, "1:b", "", "")]
+    names = spark.createDataFrame(rows, ", ".join(f"{name} string" for name in rollup.ASSET_NAMES))
+    keys = [r[0] for r in names.select(rollup.asset_key()).collect()]
+    assert len(set(keys)) == len(keys) and {len(key) for key in keys} == {32}
+    assets = rollup.assets_from_events(names.unionByName(names)).collect()
+    assert sorted(r.asset_id for r in assets) == sorted(keys)
+
+
+def test_a_key_of_two_assets_fails_the_job(spark):
+    named = spark.createDataFrame(
+        [("k", "A", "x"), ("k", "A", "x"), ("l", "B", "y")], "asset_id string, brand string, series_name string"
+    )
+    assert rollup.one_name_per_key(named).count() == 2
+    clash = named.unionByName(named.withColumn("series_name", F.lit("z")))
+    for job in (lambda df: df.collect(), lambda df: df.count()):
+        with pytest.raises(Exception, match="two assets have the key"):
+            job(rollup.one_name_per_key(clash))
