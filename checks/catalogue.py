@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtally import functions as fn
-from playtally.operators import conform, corrections, membership, nest, paging, rollup, upserts
-from playtally.params import ReportParams
+from playtally.operators import (
+    conform,
+    corrections,
+    membership,
+    nest,
+    numbering,
+    paging,
+    rollup,
+    stacking,
+    upserts,
+)
+from playtally.params import ReportParams, sort_key
 from playtally.plans import documents, entitlements, reports
 from playtally.session import configure
-from playtally.sources import star_schema
+from playtally.sources import csv_sink, cuts, star_schema
 
 YEAR_1998 = (dt.date(1998, 1, 1), dt.date(1998, 12, 31))
 SINCE = dt.date(1999, 1, 1)
@@ -184,6 +195,41 @@ def live_unique_monthly_entitled(t: Tables) -> DataFrame:
     )
 
 
+@query
+def vod_performance_sorted_page(t: Tables) -> DataFrame:
+    """First page in the order of a request field."""
+    params = ReportParams(*YEAR_1998, order_by=sort_key("title desc"))
+    return reports.performance_page(t.summary("daily"), t.assets, params)
+
+
+@query
+def csv_export_read_back(t: Tables) -> DataFrame:
+    """The daily live export as its file has it: headings, a note, and texts."""
+    spec, params = reports.LIVE_UNIQUE_DAILY, ReportParams(*YEAR_1998, platforms=["Web", "Connected"])
+    report = reports.export(spec, t.summary("daily"), t.assets, params)
+    path = f"{cuts.shared_folder(report.sparkSession)}/{uuid.uuid4().hex}/{csv_sink.export_name(*YEAR_1998)}"
+    csv_sink.write_csv(report, path, spec.headings)
+    found = report.sparkSession.read.csv(path, header=True, quote='"', escape='"', inferSchema=False)
+    return found.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -2))
+
+
+@query
+def request_days(t: Tables) -> DataFrame:
+    """First and last day of requests in several forms, and days of epoch milliseconds."""
+    number = F.col("o_orderkey")
+    day = F.col("o_orderdate").cast("date").cast("string")
+    forms = ["T00:00:00+09:00", "T02:30:00+03:00", "T22:15:00-05:00", "", "T23:59:59Z", "T23:59:59+0200"]
+    form = F.get(F.array(*map(F.lit, forms)), (number % len(forms)).cast("int"))
+    text = F.concat(day, form)
+    epoch = F.when(number % 11 == 0, "soon").otherwise(((number * 7919000777) % 4000000000000 - 1000000000000).cast("string"))
+    return t.base("orders").select(
+        "o_orderkey",
+        fn.first_request_day(text).alias("first_day"),
+        fn.last_request_day(text).alias("last_day"),
+        fn.day_of_epoch_ms(epoch).alias("epoch_day"),
+    )
+
+
 # --- conformance -----------------------------------------------------------
 
 
@@ -372,13 +418,19 @@ def brand_activity(t: Tables) -> DataFrame:
     return entitlements.brand_activity(t.summary("daily"), SINCE)
 
 
+def _viewing_of_brands(t: Tables) -> DataFrame:
+    """Viewing whose brands are named after brands of the entitlements."""
+    return t.viewing.withColumn("brand", F.replace(F.col("brand"), F.lit("#"), F.lit(" ")))
+
+
+def _summary_of_brands(t: Tables) -> DataFrame:
+    """Daily summary whose brands are named after brands of the entitlements."""
+    return t.summary("daily").withColumn("brand", F.replace(F.col("brand"), F.lit("#"), F.lit(" ")))
+
+
 @query
 def brands_by_group(t: Tables) -> DataFrame:
-    # Brands of the viewing are named after brands of the entitlements, so
-    # that the events of a brand can be counted.
-    summary = t.summary("daily").withColumn(
-        "brand", F.replace(F.col("brand"), F.lit("#"), F.lit(" "))
-    )
+    summary = _summary_of_brands(t)
     return entitlements.brands_by_group(
         t.brands, t.groups, t.groups_brands, t.users_groups, t.users_brands, summary, SINCE
     )
@@ -456,9 +508,14 @@ def users_page(t: Tables) -> DataFrame:
 
 @query
 def user_by_email(t: Tables) -> DataFrame:
-    return entitlements.user_by_email(t.users, "U7@Household.example", is_active=True).unionByName(
-        entitlements.user_by_email(t.users, "u10@HOUSEHOLD.example", is_active=True)
-    )
+    """Look-ups in any case, one for each segment that a user may be in, so that some find the user."""
+    segments = ["Automobile", "BUILDING", "furniture", "Household", "maCHINERY"]
+    found = [
+        entitlements.user_by_email(t.users, f"U{number}@{segment}.example", is_active=is_active)
+        for segment in segments
+        for number, is_active in ((7, True), (12, True), (12, False))
+    ]
+    return stacking.stack(found)
 
 
 @query
@@ -483,6 +540,13 @@ def entitled_brands(t: Tables) -> DataFrame:
     )
 
 
+@query
+def entitled_brands_of_user(t: Tables) -> DataFrame:
+    return entitlements.entitled_brands(
+        t.users_brands, t.users_groups, t.groups_brands, t.brands, user_id=30
+    )
+
+
 @query
 def roles_by_name(t: Tables) -> DataFrame:
     requests = t.base("orders").groupBy("o_custkey").agg(
@@ -537,7 +601,7 @@ def short_user_records(t: Tables) -> DataFrame:
 
 
 def _user_records(t: Tables) -> DataFrame:
-    second = t.brands.where(F.col("brand_id") % 9 == 0)
+    second = documents.second_product_brands(_viewing_of_brands(t), t.brands)
     return documents.user_records(
         t.users, t.users_groups, t.groups, t.users_brands, t.brands, t.users_roles,
         t.roles, t.providers, t.providers_brands, second,
@@ -556,6 +620,38 @@ def option_list(t: Tables) -> DataFrame:
     )
 
 
+@query
+def document_children(t: Tables) -> DataFrame:
+    return documents.user_children(t.users, t.users_groups, t.groups, t.users_brands, t.brands)
+
+
+@query
+def second_product_brands(t: Tables) -> DataFrame:
+    return documents.second_product_brands(_viewing_of_brands(t), t.brands)
+
+
+def _numbered_names(t: Tables) -> DataFrame:
+    """Names of mixed case, with blanks, leading zeros and runs of up to 60 digits."""
+    number = F.col("c_custkey")
+    text = number.cast("string")
+    tail = (number % 40).cast("string")
+    return t.base("customer").select(
+        number.alias("user_id"),
+        F.when(number % 6 == 0, F.concat(F.lit("Brand "), tail))
+        .when(number % 6 == 1, F.concat(F.lit(" bRAND\t00"), tail, F.lit("b"), (number % 7).cast("string")))
+        .when(number % 6 == 2, F.concat(F.lit("x"), F.repeat(F.lit("9"), (number % 60 + 1).cast("int"))))
+        .when(number % 6 == 3, F.concat(F.lit("X"), text, F.repeat(F.lit("0"), (number % 30).cast("int"))))
+        .when(number % 6 == 4, F.concat(F.lit("Brand#"), tail))
+        .otherwise(text)
+        .alias("name"),
+    )
+
+
+@query
+def natural_sort_rank(t: Tables) -> DataFrame:
+    return numbering.ranked(_numbered_names(t), fn.natural_order(F.col("name")))
+
+
 @query
 def natural_sort_key(t: Tables) -> DataFrame:
     return t.users.select("name", fn.natural_key(F.col("name")).alias("sort_key")).unionByName(
@@ -581,7 +677,14 @@ def id_list_parse(t: Tables) -> DataFrame:
 
 @query
 def word_list_parse(t: Tables) -> DataFrame:
-    words = fn.word_list(F.col("p_name"), ["Web", "Mobile"])
+    number = F.col("p_partkey")
+    text = (
+        F.when(number % 5 == 0, F.replace(F.col("p_name"), F.lit(" "), F.lit(", ")))
+        .when(number % 5 == 1, F.concat(F.lit(" ,"), F.col("p_name"), F.lit(",, ")))
+        .when(number % 5 == 2, F.when(number % 2 == 0, " , ").when(number % 3 == 0, ""))
+        .otherwise(F.col("p_name"))
+    )
+    words = fn.word_list(text, ["Web", "Mobile"])
     return t.base("part").select("p_partkey", F.array_join(words, "/").alias("words"))
 
 
@@ -611,14 +714,59 @@ def membership_delete_expansion(t: Tables) -> DataFrame:
     return membership.expand_deletes(t.users_brands, diff, t.brands, "user_id", "brand_id")
 
 
+def _brands_of_three_types(t: Tables) -> DataFrame:
+    kind = F.when(F.col("brand_id") % 10 == 5, "Radio").otherwise(F.col("content_type"))
+    return t.brands.withColumn("content_type", kind)
+
+
 @query
 def membership_sync(t: Tables) -> DataFrame:
+    """Two content types are edited for all users; links of the third stay."""
+    scope = t.users.select("user_id", F.explode(F.array(F.lit("Live"), F.lit("OnDemand"))).alias("content_type"))
     changes = membership.membership_changes(
-        t.users_brands, t.desired_users_brands, "user_id", "brand_id", t.brands
+        t.users_brands, t.desired_users_brands, "user_id", "brand_id", _brands_of_three_types(t), scope
     )
     return membership.apply_changes(t.users_brands, changes, "user_id", "brand_id")
 
 
+@query
+def membership_sync_from_lists(t: Tables) -> DataFrame:
+    """Users send lists of ids: of some brands they have, of others, of nothing, or none at all."""
+    number, brand = F.col("c_custkey"), F.col("brand_id")
+    item = F.concat(brand.cast("string"), F.lit("|"), brand.cast("string"))
+    kept = t.users_brands.where((F.col("user_id") + brand) % 5 != 0).groupBy("user_id").agg(
+        F.array_join(F.sort_array(F.collect_list(item)), ",").alias("own")
+    )
+    extra = F.concat((number % 90 + 1).cast("string"), F.lit("|7, "), (number % 17).cast("string"), F.lit(",x"))
+    requests = (
+        t.base("customer").where(number % 3 != 0)
+        .join(kept, number == F.col("user_id"), "left")
+        .select(
+            number.alias("user_id"),
+            F.when(number % 4 == 0, "").when(number % 4 != 1, F.concat_ws(",", extra, "own")).alias("vodBrandsConcat"),
+            F.when(number % 5 != 0, F.coalesce("own", F.lit(""))).alias("liveStreamBrandsConcat"),
+        )
+    )
+    lists = {"vodBrandsConcat": "OnDemand", "liveStreamBrandsConcat": "Live"}
+    return membership.sync_from_lists(
+        t.users_brands, requests, lists, "user_id", "brand_id", _brands_of_three_types(t)
+    )
+
+
+@query
+def requested_id_list(t: Tables) -> DataFrame:
+    """Two lists of a request as one array of ids."""
+    number = F.col("c_custkey")
+    text = number.cast("string")
+    ids = membership.requested_ids(
+        fn.id_list(F.when(number % 3 != 0, F.concat(text, F.lit("|1,5")))),
+        F.when(number % 4 != 0, fn.id_list(F.concat(F.lit("7,"), text))),
+    )
+    return t.base("customer").select(
+        number.alias("user_id"), F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids")
+    )
+
+
 @query
 def membership_sync_groups_brands(t: Tables) -> DataFrame:
     """Brands of groups: copies are not touched."""

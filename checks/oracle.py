@@ -268,6 +268,52 @@ _CTES = {
     "asked_users": """
         SELECT trim(email) AS asked, arg_max(row(name, is_active), seq) AS v FROM user_changes
         WHERE coalesce(user_id, 0) <= 0 AND trim(email) <> '' GROUP BY trim(email)""",
+    "typed_brands": """
+        SELECT brand_id, name, CASE WHEN brand_id % 10 = 5 THEN 'Radio' ELSE content_type END AS content_type
+        FROM brands""",
+    # Copies that go with a link to a brand of an edited type.
+    "typed_expanded": """
+        SELECT DISTINCT r.user_id, b2.brand_id
+        FROM removed r JOIN typed_brands b1 ON b1.brand_id = r.brand_id AND b1.content_type <> 'Radio'
+        JOIN typed_brands b2 ON b2.name = b1.name AND b2.content_type = b1.content_type""",
+    "edited": """
+        SELECT c_custkey AS user_id, 'OnDemand' AS content_type FROM customer
+        WHERE c_custkey % 3 <> 0 AND c_custkey % 4 <> 1
+        UNION ALL
+        SELECT c_custkey, 'Live' FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0""",
+    "listed": """
+        SELECT e.user_id, b.brand_id
+        FROM edited e JOIN users_brands ub USING (user_id)
+        JOIN typed_brands b ON b.brand_id = ub.brand_id AND b.content_type = e.content_type
+        WHERE (ub.user_id + ub.brand_id) % 5 <> 0 AND NOT (e.content_type = 'OnDemand' AND e.user_id % 4 = 0)
+        UNION
+        SELECT e.user_id, b.brand_id
+        FROM edited e JOIN typed_brands b ON b.content_type = e.content_type
+             AND b.brand_id IN (e.user_id % 90 + 1, e.user_id % 17)
+        WHERE e.content_type = 'OnDemand' AND e.user_id % 4 <> 0""",
+    "unlisted": """
+        SELECT DISTINCT ub.user_id, b2.brand_id
+        FROM users_brands ub JOIN typed_brands b1 USING (brand_id)
+        JOIN edited e ON e.user_id = ub.user_id AND e.content_type = b1.content_type
+        JOIN typed_brands b2 ON b2.name = b1.name AND b2.content_type = b1.content_type
+        WHERE (ub.user_id, ub.brand_id) NOT IN (SELECT (user_id, brand_id) FROM listed)""",
+    "numbered_names": r"""
+        SELECT *, regexp_replace(digits, '^0+', '') AS plain FROM (
+            SELECT c_custkey AS user_id,
+                   CASE c_custkey % 6
+                        WHEN 0 THEN 'Brand ' || (c_custkey % 40)
+                        WHEN 1 THEN ' bRAND' || chr(9) || '00' || (c_custkey % 40) || 'b' || (c_custkey % 7)
+                        WHEN 2 THEN 'x' || repeat('9', c_custkey % 60 + 1)
+                        WHEN 3 THEN 'X' || c_custkey || repeat('0', c_custkey % 30)
+                        WHEN 4 THEN 'Brand#' || (c_custkey % 40)
+                        ELSE c_custkey::VARCHAR END AS name,
+                   ['BRAND', 'BRAND', 'X', 'X', 'BRAND#', ''][c_custkey % 6 + 1] AS prefix,
+                   CASE WHEN c_custkey % 6 IN (0, 1, 4) THEN (c_custkey % 40)::VARCHAR
+                        WHEN c_custkey % 6 = 2 THEN repeat('9', c_custkey % 60 + 1)
+                        WHEN c_custkey % 6 = 3 THEN c_custkey || repeat('0', c_custkey % 30)
+                        ELSE c_custkey::VARCHAR END AS digits,
+                   CASE WHEN c_custkey % 6 = 1 THEN c_custkey % 7 ELSE -1 END AS suffix
+            FROM customer)""",
     "user_brand_items": """
         SELECT user_id, brand_id AS id, name, content_type
         FROM (SELECT DISTINCT * FROM users_brands) JOIN brands USING (brand_id)""",
@@ -278,8 +324,11 @@ _CTES = {
         SELECT DISTINCT user_id, provider_id AS id, p.name, b.content_type
         FROM users_brands JOIN brands b USING (brand_id)
         JOIN providers_brands USING (brand_id) JOIN providers p USING (provider_id)""",
+    "second_brands": """
+        SELECT brand_id FROM brands WHERE (name, content_type) IN (
+            SELECT (replace(brand, '#', ' '), content_type) FROM viewing WHERE lower(x1_user_type) = 'introtv')""",
     "second_product_users": """
-        SELECT DISTINCT user_id FROM users_brands WHERE brand_id % 9 = 0""",
+        SELECT DISTINCT user_id FROM users_brands JOIN second_brands USING (brand_id)""",
 }
 
 
@@ -377,7 +426,7 @@ def _ids(table: str, content_type: str, text: str = "CAST(id AS VARCHAR)") -> st
 _PROVIDER = "struct_pack(id := id, name := name)"
 _RECORD = f"""
     SELECT CAST(u.user_id AS INTEGER) AS id, u.name, u.email,
-           coalesce(u.is_active, false) AS "isActive",
+           coalesce(u.is_active, false) AS "isActive", false AS "isDuplicate",
            (SELECT CAST(to_json([struct_pack(id := r.role_id, name := r.name, label := r.label)])
                    AS VARCHAR)
             FROM users_roles ur JOIN roles r USING (role_id) WHERE ur.user_id = u.user_id)
@@ -687,7 +736,62 @@ _QUERIES = {
     "users_page": "SELECT * FROM users ORDER BY user_id LIMIT 3 OFFSET 6",
     "user_by_email": """
         SELECT * FROM users
-        WHERE lower(email) IN ('u7@household.example', 'u10@household.example') AND is_active""",
+        WHERE email LIKE 'u7@%' AND is_active OR email LIKE 'u12@%' AND is_active IS NOT NULL""",
+    "entitled_brands_of_user": """
+        SELECT 30 AS user_id, brand_id, name, content_type FROM brands
+        WHERE brand_id IN (SELECT brand_id FROM users_brands WHERE user_id = 30)
+           OR brand_id IN (SELECT gb.brand_id FROM users_groups JOIN groups_brands gb USING (group_id)
+                           WHERE user_id = 30)""",
+    "vod_performance_sorted_page": f"""
+        SELECT * FROM ({_performance()})
+        ORDER BY episode_name DESC NULLS FIRST,
+                 {', '.join(f'{c} ASC NULLS LAST' for c in _TIES.split(', '))}
+        LIMIT 100""",
+    "csv_export_read_back": """
+        SELECT product AS "Product", platform AS "Platform", nullif(brand, '') AS "Brand",
+               CAST(event_date AS VARCHAR) AS "Date", series_name AS "Series Title",
+               episode_name AS "Video Title", episode_number AS "Episode #", season_number AS "Season #",
+               program_type AS "XTV Video Category", rating AS "Rating",
+               CAST(total_duration AS VARCHAR) AS "Length", available_date AS "Available Date",
+               air_date AS "Air Date", expiration_date AS "Expiration Date",
+               gracenote_id AS "Provider External ID", CAST(unique_devices AS VARCHAR) AS "Unique Visitors",
+               CAST(content_starts AS VARCHAR) AS "Live Video Starts",
+               CAST(total_seconds_viewed AS VARCHAR) AS "Viewing Time", CAST(NULL AS VARCHAR) AS "NOTE",
+               'metrics_19980101-19981231' AS file
+        FROM (""".replace("NOTE", (
+            "Please note that the daily unique visitor metrics are not additive towards"
+            " either a weekly or monthly unique visitor metric. For weekly or monthly"
+            " unique visitor data, please run a weekly or monthly report, which will"
+            " include de-duplicated weekly and monthly unique metrics."
+        )) + _export("daily", "Live", _LIVE, where="AND e.platform IN ('Web', 'Connected')") + ")",
+    "request_days": """
+        SELECT o_orderkey, d + [0, -1, 1, 0, 0, 0][o_orderkey % 6 + 1] AS first_day,
+               d + [-2, -2, 0, -1, 0, 0][o_orderkey % 6 + 1] AS last_day,
+               CASE WHEN o_orderkey % 11 <> 0
+                    THEN CAST(epoch_ms((o_orderkey * 7919000777) % 4000000000000 - 1000000000000) AS DATE) END AS epoch_day
+        FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""",
+    "document_children": """
+        SELECT user_id, kind, row_number() OVER (PARTITION BY user_id, kind ORDER BY name, id) - 1 AS position,
+               id, name, content_type
+        FROM (
+            SELECT CASE content_type WHEN 'Live' THEN 'live_stream_brands' ELSE 'vod_brands' END AS kind, *
+            FROM user_brand_items
+            UNION ALL
+            SELECT CASE content_type WHEN 'Live' THEN 'live_stream_groups' ELSE 'vod_groups' END, *
+            FROM user_group_items)""",
+    "second_product_brands": "SELECT brand_id FROM second_brands",
+    "natural_sort_rank": """
+        SELECT user_id, name,
+               dense_rank() OVER (ORDER BY prefix || '0', length(plain), plain, suffix) AS rank
+        FROM numbered_names""",
+    "requested_id_list": """
+        SELECT c_custkey AS user_id,
+               CASE WHEN c_custkey % 3 <> 0 THEN c_custkey || ' 5' ELSE '0' END
+               || CASE WHEN c_custkey % 4 <> 0 THEN ' 7 ' || c_custkey ELSE '' END AS ids
+        FROM customer""",
+    "membership_sync_from_lists": """
+        (SELECT user_id, brand_id FROM users_brands UNION SELECT * FROM listed)
+        EXCEPT SELECT user_id, brand_id FROM unlisted""",
     "groups_of_user": """
         SELECT * FROM groups_
         WHERE group_id IN (SELECT group_id FROM users_groups WHERE user_id = 30)""",
@@ -761,7 +865,9 @@ _QUERIES = {
                     ELSE brand_id || ' 46 34' END AS ids
         FROM brands""",
     "word_list_parse": """
-        SELECT p_partkey, replace(trim(p_name), ' ', '/') AS words FROM part""",
+        SELECT p_partkey, CASE WHEN p_partkey % 5 = 2 THEN 'Web/Mobile'
+                               ELSE replace(trim(p_name), ' ', '/') END AS words
+        FROM part""",
     "membership_diff": """
         SELECT 'delete' AS action, user_id, brand_id FROM removed
         UNION ALL SELECT 'insert', user_id, brand_id FROM added""",
@@ -776,8 +882,8 @@ _QUERIES = {
         JOIN expanded x ON x.user_id = ub.user_id AND x.brand_id = ub.brand_id""",
     "membership_sync": """
         (SELECT user_id, brand_id FROM users_brands
-         UNION SELECT user_id, brand_id FROM added)
-        EXCEPT SELECT user_id, brand_id FROM expanded""",
+         UNION SELECT user_id, brand_id FROM added JOIN typed_brands USING (brand_id) WHERE content_type <> 'Radio')
+        EXCEPT SELECT user_id, brand_id FROM typed_expanded""",
     "membership_sync_groups_brands": """
         SELECT group_id, brand_id FROM groups_brands WHERE brand_id % 5 <> 0
         UNION

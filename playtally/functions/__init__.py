@@ -11,7 +11,7 @@ from playtally.functions.labels import (
     yes_no,
     zero_if_blank,
 )
-from playtally.functions.lists import id_list, natural_key, word_list
+from playtally.functions.lists import id_list, natural_key, natural_order, word_list
 from playtally.functions.metrics import completion_flags
 from playtally.functions.predicates import (
     all_of,
@@ -25,8 +25,11 @@ from playtally.functions.predicates import (
 from playtally.functions.time import (
     EVENT_ZONE,
     date_key,
+    day_of_epoch_ms,
     event_day,
+    first_request_day,
     key_of_day_text,
+    last_request_day,
     local_day,
     local_day_start,
     on_local_day,
@@ -42,11 +45,14 @@ __all__ = [
     "contains_any",
     "content_type_matches",
     "date_key",
+    "day_of_epoch_ms",
     "display_label",
     "event_day",
+    "first_request_day",
     "id_list",
     "in_list",
     "key_of_day_text",
+    "last_request_day",
     "like",
     "local_day",
     "local_day_start",
@@ -54,6 +60,7 @@ __all__ = [
     "na_to_null",
     "named_label",
     "natural_key",
+    "natural_order",
     "on_local_day",
     "period_start",
     "platform_bucket",

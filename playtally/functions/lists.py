@@ -42,3 +42,28 @@ def natural_key(text: Column) -> Column:
         return F.when(run.rlike(r"^\d"), F.concat(width, number)).otherwise(run)
 
     return F.array_join(F.transform(runs, rank_digits), "")
+
+
+def natural_order(text: Column) -> Column:
+    """Sort key that puts "Brand 2" before "brand 10": an array of comparable structs.
+
+    Case and white space are ignored. The text is cut behind every run of digits. An
+    element has the text before the run, and the number by its count of digits
+    without leading zeros and by these digits, so numbers of any length compare
+    exactly. A ``0`` behind the text stands for the run: against any other character, a number
+    sorts as a digit.
+    """
+    folded = F.upper(F.regexp_replace(text, r"\s+", ""))
+    pieces = F.regexp_extract_all(folded, F.lit(r"\D*\d+|\D+"), F.lit(0))
+
+    def element(piece: Column) -> Column:
+        run = F.regexp_extract(piece, r"\d+$", 0)
+        digits = F.regexp_replace(run, "^0+", "")
+        before = F.regexp_extract(piece, r"^\D*", 0)
+        return F.struct(
+            F.when(run != "", F.concat(before, F.lit("0"))).otherwise(before).alias("text"),
+            F.length(digits).alias("digits"),
+            digits.alias("number"),
+        )
+
+    return F.transform(pieces, element)

@@ -68,6 +68,39 @@ def on_local_day(
     )
 
 
+def day_of_epoch_ms(text: Column) -> Column:
+    """UTC day of a moment in epoch milliseconds, as text or number; null if it is none."""
+    milliseconds = text.try_cast("bigint")
+    seconds = F.floor(milliseconds / 1000)
+    return F.timestamp_add("SECOND", seconds, _epoch()).cast("date")
+
+
+def first_request_day(text: Column) -> Column:
+    """First day of a request in ISO text, as `params.days_from_text` reads it.
+
+    A start at the first second of a day names that day, whatever its offset; other
+    moments are taken in UTC.
+    """
+    named = F.substring(text, 1, 10).cast("date")
+    return F.when(text.contains("T00:00:00"), named).otherwise(_utc_day(text))
+
+
+def last_request_day(text: Column) -> Column:
+    """Last day of a request: an end is exclusive, unless it is the last second of a day."""
+    named = F.substring(text, 1, 10).cast("date")
+    return F.when(text.contains("T23:59:59"), named).otherwise(F.date_sub(_utc_day(text), 1))
+
+
+def _utc_day(text: Column) -> Column:
+    """Day, in UTC, of a moment in ISO text; without an offset it is in UTC."""
+    offset = F.regexp_extract(text, r"T.*([+-])(\d\d):?(\d\d)$", 1)
+    hours = F.regexp_extract(text, r"T.*([+-])(\d\d):?(\d\d)$", 2).try_cast("int")
+    minutes = F.regexp_extract(text, r"T.*([+-])(\d\d):?(\d\d)$", 3).try_cast("int")
+    ahead = F.coalesce(hours * 60 + minutes, F.lit(0)) * F.when(offset == "-", -1).otherwise(1)
+    clock = _ntz(F.regexp_extract(text, r"^[^TZ]*(T\d\d:\d\d(:\d\d)?)?", 0))
+    return F.timestamp_add("MINUTE", -ahead, clock).cast("date")
+
+
 def date_key(day: Column) -> Column:
     """Date as the integer yyyymmdd."""
     return (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).cast("int")

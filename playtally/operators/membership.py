@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from playtally.functions import id_list
+from playtally.operators.stacking import stack
+
 INSERT = "insert"
 DELETE = "delete"
 
@@ -84,29 +87,73 @@ def membership_changes(
 ) -> DataFrame:
     """Net changes of a sync: (action, left, right).
 
+    ``scope`` names the owners that are edited. With a column ``content_type`` it
+    names the owners and the content types that are edited for them: links to
+    members of other types, and to members that the ``dimension`` does not have,
+    are neither added nor removed.
+
     With a ``dimension``, whose ids are unique, deletes reach its duplicates.
     Deletes run after inserts, so a new link to a duplicate of a removed member
-    is not kept. Links and deletes meet on the owner and the name of the
-    member; that takes the states of all links once, and two more shuffles.
+    is not kept. The copies of a member that one owner is linked to meet on the owner
+    and the name of the member, which takes one shuffle of the states.
     """
     if dimension is None:
         return membership_diff(current, desired, left, right, scope)
     side = duplicates_of or right
-    keys = [left if side == right else right, "name", "content_type"]
+    owner = left if side == right else right
     names = dimension.select(side, "name", "content_type")
-    states = _states(current, desired, left, right, scope).join(names, side, "left")
-    is_removed = F.col("is_current") & ~F.col("is_wanted")
-    removed = states.where(is_removed).select(*keys).distinct()
-    marked = states.join(removed.withColumn("copy_removed", F.lit(True)), keys, "left")
+    by_type = scope is not None and "content_type" in scope.columns
+    owners = scope.select(left).distinct() if by_type else scope
+    states = _states(current, desired, left, right, owners).join(names, side, "left")
+    if by_type:
+        edited = scope.select(left, "content_type").distinct()
+        states = states.join(edited, [left, "content_type"], "left_semi")
     # A removed link whose member is missing from the dimension has no copies.
-    is_gone = is_removed | F.coalesce("copy_removed", F.lit(False))
-    delete = F.col("is_current") & is_gone
-    insert = ~F.col("is_current") & ~is_gone
+    alone = F.when(F.col("name").isNull() | F.col("content_type").isNull(), F.col(side))
+    copies = Window.partitionBy(owner, "name", "content_type", alone)
+    is_removed = F.col("is_current") & ~F.col("is_wanted")
+    is_gone = F.bool_or(is_removed).over(copies)
+    marked = states.withColumn("is_gone", is_gone)
+    delete = F.col("is_current") & F.col("is_gone")
+    insert = ~F.col("is_current") & ~F.col("is_gone")
     return marked.where(delete | insert).select(
         F.when(insert, INSERT).otherwise(DELETE).alias("action"), left, right
     )
 
 
+def sync_from_lists(
+    current: DataFrame,
+    requests: DataFrame,
+    lists: dict[str, str],
+    left: str,
+    right: str,
+    dimension: DataFrame,
+) -> DataFrame:
+    """New bridge table after owners have sent lists of member ids as text.
+
+    ``lists`` maps a column of ``requests`` to the content type it edits. A list replaces
+    the owner's links to members of that type; a null leaves them alone, and a list
+    without any known id takes them all. Ids of another type or of no member are
+    passed over. The lists of several requests of one owner count together.
+    """
+    asked = []
+    for column, content_type in lists.items():
+        ids = F.explode(id_list(F.col(column))).alias(right)
+        own = requests.where(F.col(column).isNotNull())
+        asked.append(own.select(left, ids, F.lit(content_type).alias("content_type")))
+    wanted = stack(asked).join(dimension.select(right, "content_type"), [right, "content_type"], "left_semi")
+    edited = [F.when(F.col(column).isNotNull(), F.lit(kind)) for column, kind in lists.items()]
+    scope = (
+        requests.select(left, F.explode(F.array(*edited)).alias("content_type"))
+        .where(F.col("content_type").isNotNull())
+        .distinct()
+    )
+    changes = membership_changes(
+        current, wanted.select(left, right).distinct(), left, right, dimension, scope
+    )
+    return apply_changes(current, changes, left, right)
+
+
 def clear_content_type(
     links: DataFrame,
     owners: DataFrame,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from playtally.operators.numbering import numbered_within
 from playtally.operators.stacking import stack
 
 # Children per document row, on average. A parent with more is continued on further rows.
@@ -81,7 +82,7 @@ def nest(
         .withColumn("parts", F.coalesce("parts", F.lit(1)))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )
-    part = F.size(F.filter("ends", lambda end: end <= F.col("nest_order")))
+    part = _ends_up_to(F.col("ends"), F.col("nest_order"))
     placed = (
         links.join(members, link_id)
         .withColumn("nest_order", order)
@@ -114,6 +115,51 @@ def nest(
     )
 
 
+def flat_children(
+    key: str, children: list[tuple[str, DataFrame, DataFrame]]
+) -> DataFrame:
+    """One row per child: key, kind, position from 0, and the fields of its content.
+
+    ``children`` are those of :func:`nest`, with one content type for all kinds, and the
+    rows of one key and kind in their order are its array there. One range
+    partitioning by key, kind and order serves all parents, so a parent of any size
+    is spread over as many tasks as it needs.
+    """
+    rows = []
+    for id_column, links, members in children:
+        kinds = [name for name in members.columns if name != id_column]
+        each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("child")) for kind in kinds])
+        rows.append(
+            links.select(key, id_column).distinct()
+            .join(members, id_column)
+            .select(key, F.explode(each).alias("one"))
+            .where(F.col("one.child").isNotNull())
+            .select(key, "one.kind", "one.child.*")
+            # Different members may look alike; an array has such a child once.
+            .distinct()
+        )
+    order = [(name, "asc") for name in ("nameless", "by", "then_by")]
+    return numbered_within(stack(rows), [key, "kind"], order).select(key, "kind", "position", "content.*")
+
+
+def _ends_up_to(ends: Column, value: Column) -> Column:
+    """How many of the sorted ends do not exceed the value, by halving."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(ends) + 1)).cast("int"))
+
+    def halve(bounds: Column, _: Column) -> Column:
+        low, high = bounds["low"], bounds["high"]
+        middle = F.floor((low + high) / 2).cast("int")
+        is_left = F.get(ends, middle) <= value
+        is_open = low < high
+        return F.struct(
+            F.when(is_open & is_left, middle + 1).otherwise(low).alias("low"),
+            F.when(is_open & ~is_left, middle).otherwise(high).alias("high"),
+        )
+
+    bounds = F.struct(F.lit(0).alias("low"), F.size(ends).alias("high"))
+    return F.aggregate(steps, bounds, halve, lambda found: found["low"])
+
+
 def _order(members: DataFrame, kinds: list[str]) -> Column:
     """Place of a child in the sort order of its kinds; the kinds of one member agree in it."""
     return F.coalesce(

@@ -72,3 +72,15 @@ def numbered_within(
     return in_groups.join(starts, same).select(
         *df.columns, (F.col("row_number") - F.col("row_first") + first).alias(name)
     )
+
+
+def ranked(df: DataFrame, order: Column, name: str = "rank", first: int = 1) -> DataFrame:
+    """Give every row the place of its sort key among the different keys; equal keys share it.
+
+    Only the different keys are sorted and numbered, and rows meet them on the key.
+    """
+    keyed = df.withColumn("rank_key", order)
+    places = numbered(keyed.select("rank_key").distinct(), [("rank_key", "asc")], name, first)
+    places = places.withColumnRenamed("rank_key", "place_key")
+    same = F.col("rank_key").eqNullSafe(F.col("place_key"))
+    return keyed.join(places, same).select(*df.columns, name)

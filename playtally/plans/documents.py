@@ -9,10 +9,11 @@ from playtally.functions import (
     content_type_matches,
     display_label,
     named_label,
-    natural_key,
+    natural_order,
+    product_label,
 )
 from playtally.functions.labels import DEFAULT_PRODUCT, SECOND_PRODUCT_ON_SCREEN
-from playtally.operators.nest import CHILDREN_PER_ROW, child, nest
+from playtally.operators.nest import CHILDREN_PER_ROW, child, flat_children, nest
 from playtally.operators.stacking import stack
 from playtally.plans.entitlements import canonical_brands
 
@@ -40,16 +41,7 @@ def user_documents(
         .join(roles, "role_id")
         .select("user_id", _role().alias("role")),
     }
-    children = [
-        _children(
-            _only(users_brands, "user_id", user_id), brands, "brand_id",
-            {"vod_brands": "OnDemand", "live_stream_brands": "Live"},
-        ),
-        _children(
-            _only(users_groups, "user_id", user_id), groups, "group_id",
-            {"vod_groups": "OnDemand", "live_stream_groups": "Live"},
-        ),
-    ]
+    children = _user_children(users_groups, groups, users_brands, brands, user_id)
     nested = nest("user_id", heads, children, limit)
     no_role = F.struct(
         *[F.lit(None).cast(t).alias(n) for n, t in
@@ -66,6 +58,42 @@ def user_documents(
     )
 
 
+def user_children(
+    users: DataFrame,
+    users_groups: DataFrame,
+    groups: DataFrame,
+    users_brands: DataFrame,
+    brands: DataFrame,
+    user_id: int | None = None,
+) -> DataFrame:
+    """The brands and groups of user documents as rows: user_id, kind, position, id, name, content_type.
+
+    For readers that page through a user's children; a document has the same ones as arrays.
+    """
+    children = _user_children(users_groups, groups, users_brands, brands, user_id)
+    known = [(key, links.join(users.select("user_id"), "user_id", "left_semi"), members) for key, links, members in children]
+    return flat_children("user_id", known)
+
+
+def _user_children(
+    users_groups: DataFrame,
+    groups: DataFrame,
+    users_brands: DataFrame,
+    brands: DataFrame,
+    user_id: int | None,
+) -> list[tuple[str, DataFrame, DataFrame]]:
+    return [
+        _children(
+            _only(users_brands, "user_id", user_id), brands, "brand_id",
+            {"vod_brands": "OnDemand", "live_stream_brands": "Live"},
+        ),
+        _children(
+            _only(users_groups, "user_id", user_id), groups, "group_id",
+            {"vod_groups": "OnDemand", "live_stream_groups": "Live"},
+        ),
+    ]
+
+
 def group_documents(
     groups: DataFrame,
     groups_brands: DataFrame,
@@ -133,12 +161,16 @@ def user_records(
     """Detailed user record: lists, their id texts, providers and products.
 
     ``second_product_brands`` holds the ``brand_id`` of every brand with
-    viewing of the second product; a user linked to one has that product.
+    viewing of the second product, see :func:`second_product_brands`; a user linked
+    to one has that product. Users are marked as duplicates by a column ``is_duplicate``;
+    where the table has none, nobody is.
     """
     own_brands = _only(users_brands, "user_id", user_id).select("user_id", "brand_id")
+    mark = F.col("is_duplicate") if "is_duplicate" in users.columns else F.lit(False)
+    is_duplicate = F.coalesce(mark, F.lit(False)).alias("is_duplicate")
     heads = {
         "profile": _only(users, "user_id", user_id).select(
-            "user_id", F.struct("name", "email", "is_active").alias("profile")
+            "user_id", F.struct("name", "email", "is_active", is_duplicate).alias("profile")
         ),
         "nowtv": own_brands.join(
             second_product_brands.select("brand_id"), "brand_id", "left_semi"
@@ -189,6 +221,7 @@ def user_records(
         F.coalesce("profile.name", F.lit("")).alias("name"),
         F.coalesce("profile.email", F.lit("")).alias("email"),
         F.coalesce("profile.is_active", F.lit(False)).alias("isActive"),
+        F.coalesce("profile.is_duplicate", F.lit(False)).alias("isDuplicate"),
         "roles",
         _concat("roles", lambda item: item["name"]).alias("rolesConcat"),
         "brands",
@@ -214,6 +247,20 @@ def user_records(
     )
 
 
+def second_product_brands(summary: DataFrame, brands: DataFrame) -> DataFrame:
+    """``brand_id`` of every brand with viewing of the second product.
+
+    Viewing knows brands by name and content type, so all copies of a brand count.
+    """
+    product = product_label(F.col("x1_user_type"), SECOND_PRODUCT_ON_SCREEN)
+    viewed = (
+        summary.where(product == SECOND_PRODUCT_ON_SCREEN)
+        .select(F.col("brand").alias("name"), "content_type")
+        .distinct()
+    )
+    return brands.join(viewed, ["name", "content_type"], "left_semi").select("brand_id")
+
+
 def short_user_records(records: DataFrame) -> DataFrame:
     """The part of a detailed record that a signed-in user gets."""
     return records.select(
@@ -248,7 +295,7 @@ def user_options(users: DataFrame) -> DataFrame:
 
 def _options(df: DataFrame, key: str) -> DataFrame:
     return df.orderBy(
-        natural_key(F.col("name")).asc_nulls_first(), F.col("name"), F.col(key)
+        natural_order(F.col("name")).asc_nulls_first(), F.col("name"), F.col(key)
     ).select(F.col("name").alias("label"), F.col(key).alias("value"))
 
 

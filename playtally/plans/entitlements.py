@@ -13,7 +13,7 @@ from playtally.functions import (
     contains,
     contains_any,
     in_list,
-    natural_key,
+    natural_order,
     same_text,
     yes_no,
 )
@@ -225,11 +225,16 @@ def entitled_brands(
     groups_brands: DataFrame,
     brands: DataFrame,
     content_types: Iterable[str] | None = None,
+    user_id: int | None = None,
 ) -> DataFrame:
-    """Brands of every user: explicit ones and those of the user's groups.
+    """Brands of every user, or of one: explicit ones and those of the user's groups.
 
-    The content type is filtered before the links of users and groups fan out.
+    The content type is filtered before the links of users and groups fan out, and one user's
+    links are picked at their scans.
     """
+    if user_id is not None:
+        users_brands = users_brands.where(F.col("user_id") == user_id)
+        users_groups = users_groups.where(F.col("user_id") == user_id)
     wanted = brands.select("brand_id", "name", "content_type")
     if content_types is not None:
         wanted = wanted.where(in_list(F.col("content_type"), content_types))
@@ -297,7 +302,7 @@ def groups_of_user(users_groups: DataFrame, groups: DataFrame, user_id: int) ->
 
 def roles_in_order(roles: DataFrame, by: str = "name") -> DataFrame:
     """Roles in natural order of their name or label."""
-    return roles.orderBy(natural_key(F.col(by)), F.col(by), F.col("role_id"))
+    return roles.orderBy(natural_order(F.col(by)), F.col(by), F.col("role_id"))
 
 
 def roles_by_name(requests: DataFrame, roles: DataFrame) -> DataFrame:
