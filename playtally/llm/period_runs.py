@@ -46,7 +46,7 @@ GRAM = 8
 #: Words of tiles that a task holds before it passes them on.
 TILE_WORDS = 1 << 20
 
-_SCANNED = "row long, n_words long, tiled boolean, octave int, start long, anchor int, words binary"
+_SCANNED = "row long, n_words long, tiled boolean, octave int, start long, anchor int, wide boolean, words binary"
 _FRAGMENTS = "row long, period long, low long, high long"
 RUNS = "array<struct<start:long,length:long,period:long>>"
 
@@ -151,7 +151,9 @@ def _scan(least: int):
             for text in texts.to_pylist():
                 words, any_tile = text.encode().split() if text else [], False
                 for octave, start, anchor, own in tiles(numbered_words(words), least):
-                    found.append((row + len(counts), octave, start, anchor, own.astype("<i4").tobytes()))
+                    wide = len(own) > 0 and int(own.max()) > 0xFFFF
+                    data = own.astype("<i4" if wide else "<u2").tobytes()
+                    found.append((row + len(counts), octave, start, anchor, wide, data))
                     size, any_tile = size + len(own), True
                     if size > TILE_WORDS:
                         yield _rows(batch, _TILE, found)
@@ -166,7 +168,7 @@ def _scan(least: int):
     return run
 
 
-_TILE = ["row", "octave", "start", "anchor", "words"]
+_TILE = ["row", "octave", "start", "anchor", "wide", "words"]
 _DOCUMENT = ["row", "n_words", "tiled"]
 
 
@@ -174,7 +176,7 @@ def _rows(like: pa.RecordBatch, names: list[str], rows: list[tuple], own: list[p
     """Rows of some columns of the scan; the other columns are null."""
     given = dict(zip(names, zip(*rows, strict=True) if rows else [()] * len(names), strict=True))
     kinds = {"row": pa.int64(), "n_words": pa.int64(), "tiled": pa.bool_(), "octave": pa.int32()}
-    kinds |= {"start": pa.int64(), "anchor": pa.int32(), "words": pa.binary()}
+    kinds |= {"start": pa.int64(), "anchor": pa.int32(), "wide": pa.bool_(), "words": pa.binary()}
     columns = [pa.array(given[x], t) if x in given else pa.nulls(len(rows), t) for x, t in kinds.items()]
     columns += own or [pa.nulls(len(rows), x.type) for x in like.columns]
     return pa.RecordBatch.from_arrays(columns, [*kinds, "text", "kept"])
@@ -187,8 +189,8 @@ def _parse(ddl: str) -> StructType:
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple[int, int, int, int]] = []
-        for row, octave, start, anchor, words in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            own = fragments(octave, start, anchor, np.frombuffer(words, "<i4"))
+        for row, octave, start, anchor, wide, words in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            own = fragments(octave, start, anchor, np.frombuffer(words, "<i4" if wide else "<u2").astype(np.int32))
             out += [(row, *x) for x in own]
             if len(out) >= 1 << 16:
                 yield _fragment_batch(out)
