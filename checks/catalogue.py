@@ -19,6 +19,7 @@ from playtally.operators import (
     paging,
     rollup,
     stacking,
+    text_index,
     upserts,
 )
 from playtally.params import ReportParams, sort_key
@@ -475,6 +476,27 @@ def user_search_either(t: Tables) -> DataFrame:
     return entitlements.find_users(t.users, "99", "@MACHINERY", mode="either")
 
 
+@query
+def user_search_indexed(t: Tables) -> DataFrame:
+    """Searches by a stored trigram index: by name, by both parts, by either, and by parts too short for it."""
+    index = text_index.build_index(t.users, "user_id", ["name", "email"])
+    path = f"{cuts.shared_folder(index.sparkSession)}/{uuid.uuid4().hex}"
+    text_index.write_index(index, path)
+    stored = text_index.read_index(index.sparkSession, path)
+    searches = [
+        ("name", "000012", ""), ("name", "R#00_0001", ""), ("name", "1", ""), ("both", "00001", "@bu%ing"),
+        ("both", "7", "FURN"), ("either", "00099", "@MACHINERY"), ("either", "99", "@MACHINERY"),
+    ]
+    return stacking.stack(
+        [
+            entitlements.find_users_indexed(t.users, stored, name, email, mode).select(
+                F.lit(f"{mode} {name} {email}").alias("search"), "*"
+            )
+            for mode, name, email in searches
+        ]
+    )
+
+
 @query
 def users_where(t: Tables) -> DataFrame:
     return entitlements.rows_where(

@@ -725,6 +725,18 @@ _QUERIES = {
         SELECT * FROM users WHERE name ILIKE '%000012%' AND email IS NOT NULL""",
     "user_search_either": """
         SELECT * FROM users WHERE name ILIKE '%99%' OR email ILIKE '%@MACHINERY%'""",
+    "user_search_indexed": """
+        SELECT 'name 000012 ' AS search, * FROM users WHERE name ILIKE '%000012%' AND email IS NOT NULL
+        UNION ALL
+        SELECT 'name R#00_0001 ', * FROM users WHERE name ILIKE '%r#00_0001%' AND email IS NOT NULL
+        UNION ALL SELECT 'name 1 ', * FROM users WHERE name ILIKE '%1%' AND email IS NOT NULL
+        UNION ALL
+        SELECT 'both 00001 @bu%ing', * FROM users WHERE name ILIKE '%00001%' AND email ILIKE '%@bu%ing%'
+        UNION ALL SELECT 'both 7 FURN', * FROM users WHERE name ILIKE '%7%' AND email ILIKE '%furn%'
+        UNION ALL
+        SELECT 'either 00099 @MACHINERY', * FROM users WHERE name ILIKE '%00099%' OR email ILIKE '%@machinery%'
+        UNION ALL
+        SELECT 'either 99 @MACHINERY', * FROM users WHERE name ILIKE '%99%' OR email ILIKE '%@machinery%'""",
     "users_where": """
         SELECT * FROM users WHERE email ILIKE '%@b%' AND is_active AND user_id >= 100""",
     "brands_by_name": "SELECT * FROM brands WHERE name IN ('Brand 3', 'Brand 30', 'None')",

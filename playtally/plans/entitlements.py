@@ -17,6 +17,7 @@ from playtally.functions import (
     same_text,
     yes_no,
 )
+from playtally.operators import text_index
 from playtally.operators.paging import first_row, ordered, page
 from playtally.operators.stacking import stack
 
@@ -280,6 +281,17 @@ def find_users(
     return users.where(tests[mode])
 
 
+def find_users_indexed(
+    users: DataFrame, index: DataFrame, name: str = "", email: str = "", mode: str = "name"
+) -> DataFrame:
+    """:func:`find_users` by an index of the names and e-mails, see `operators.text_index`."""
+    if mode == "name":
+        users, patterns = users.where(F.col("email").isNotNull()), {"name": f"%{name}%"}
+    else:
+        patterns = {"name": f"%{name}%", "email": f"%{email}%"}
+    return text_index.search(users, index, "user_id", patterns, every=mode != "either")
+
+
 def rows_where(df: DataFrame, predicates: Iterable[tuple[str, str, object]]) -> DataFrame:
     """Rows of any table that pass every ``(column, operator, value)`` test."""
     return df.where(all_of(predicates))
