@@ -27,11 +27,13 @@ ignored; a text of any length is one document of one shard.
 from __future__ import annotations
 
 import array
+import re
 import sys
 import types
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,23 +50,44 @@ MEMO_BYTES = 64
 #: Ids that a task holds while it reads a shard back.
 READ_TOKENS = 1 << 22
 
+#: What a token that ends a word ends with.
+WORD_END = "</w>"
+# Visible ASCII and the letters of Latin-1: normal forms of themselves, each with one lower-case form.
+_COMMON = re.compile("[\\x21-\\x7eÀ-ÖØ-öø-ÿ]+")
+# How the vocabulary parts a word of these characters.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
 _WRITTEN = "shard int, stem string, width int, documents long, nulls long, tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Ids of texts as little-endian 32-bit values, for a vocabulary that drops white space between words.
+    """Ids of texts as little-endian 32-bit values, for a vocabulary with word ends that drops white space.
 
-    Such a tokenizer treats each word by itself, so a word is encoded once and then looked up.
+    Such a tokenizer treats each word by itself, and of a word each run of letters, each digit and each
+    run of other characters, in lower case. Words are looked up; the parts of new words made of common
+    characters are looked up as well, and parts that are new are encoded many at a time: behind each,
+    and nowhere else, stands a token that ends a word. All other words are encoded one by one.
     """
 
     def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
         self._tokenizer.encode_special_tokens = True
+        # Parts are in lower case and apart already: what is left to do is the vocabulary's own work.
+        self._for_parts = Tokenizer(self._tokenizer.model)
+        self._for_parts.pre_tokenizer = pre_tokenizers.Sequence(
+            [
+                pre_tokenizers.CharDelimiterSplit(" "),
+                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            ]
+        )
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for x, i in vocabulary.items() if x.endswith(WORD_END)]] = True
         held = sys.modules.setdefault("_word_memo", types.ModuleType("_word_memo"))
-        self._memo: dict[bytes, bytes] = held.__dict__.setdefault(tokenizer_path, {})
+        self._words, self._parts = held.__dict__.setdefault(tokenizer_path, ({}, {}))
 
     @property
     def vocabulary(self) -> int:
@@ -72,18 +95,56 @@ class WordEncoder:
 
     def ids(self, text: str) -> bytes:
         words = text.encode().split()
-        memo = self._memo
-        found = [memo.get(x) for x in words]
+        known = self._words
+        found = [known.get(x) for x in words]
         if None in found:
-            new = list({x for x, y in zip(words, found, strict=True) if y is None})
-            made = self._tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-            encoded = {x: array.array("I", y.ids).tobytes() for x, y in zip(new, made, strict=True)}
-            found = [encoded[x] if y is None else y for x, y in zip(words, found, strict=True)]
-            if len(memo) + len(new) > MEMO_ENTRIES:
-                memo.clear()
-            memo.update((x, y) for x, y in list(encoded.items())[:MEMO_ENTRIES] if len(x) <= MEMO_BYTES)
+            new = self._encode({x for x, y in zip(words, found, strict=True) if y is None})
+            found = [new[x] if y is None else y for x, y in zip(words, found, strict=True)]
+            _remember(known, new)
         return b"".join(found)
 
+    def _encode(self, words: set[bytes]) -> dict[bytes, bytes]:
+        plain: dict[bytes, list[str]] = {}
+        others: list[bytes] = []
+        for word in words:
+            text = word.decode()
+            if _COMMON.fullmatch(text):
+                plain[word] = _PARTS.findall(text.lower())
+            else:
+                others.append(word)
+        parts = self._parts
+        new = self._encode_parts(list({x for own in plain.values() for x in own if x not in parts}))
+        out = {}
+        for word, own in plain.items():
+            out[word] = b"".join([parts.get(x) or new[x] for x in own])
+        _remember(parts, new)
+        out.update(zip(others, self._one_by_one([x.decode() for x in others]), strict=True))
+        return out
+
+    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        if not parts:
+            return {}
+        [made] = self._for_parts.encode_batch_fast([" ".join(parts)], add_special_tokens=False)
+        ids = np.array(made.ids, "<u4")
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(parts) or ends[-1] != len(ids):
+            return dict(zip(parts, self._one_by_one(parts), strict=True))
+        data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return {x: data[at[i] : at[i + 1]] for i, x in enumerate(parts)}
+
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
+        made = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array.array("I", x.ids).tobytes() for x in made]
+
+
+def _remember(memo: dict, new: dict) -> None:
+    if len(memo) + len(new) > MEMO_ENTRIES:
+        # The older half goes; what is still in use comes back with its next text.
+        kept = dict(islice(memo.items(), len(memo) // 2, None))
+        memo.clear()
+        memo.update(kept)
+    memo.update((x, y) for x, y in islice(new.items(), MEMO_ENTRIES // 2) if len(x) <= MEMO_BYTES)
+
 
 def _place(folder: str):
     """File system of the folder, and the folder in it."""

@@ -103,8 +103,9 @@ def test_words_are_encoded_as_in_their_text():
     rng, encoder = random.Random(3), token_files.WordEncoder(tokenizer_path("word_bpe_49k.json"))
     pieces = ["a", "É", "é", "́", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", " "]
     pieces += ["'s", "'", "’ll", "12", "語", "σΣ", "İ", "<|endoftext|>", "<|", "ﬁ", "🙂", "-", "word", "​", "̣"]
-    for _ in range(3000):
-        text = "".join(rng.choices(pieces, k=rng.randrange(12)))
+    letters = [chr(c) for c in [*range(0x20, 0x7F), *range(0xA1, 0x180)]]
+    for k in range(6000):
+        text = "".join(rng.choices((pieces, letters, "'slmdtrveaAÉ1!? ")[k % 3], k=rng.randrange(12)))
         assert encoder.ids(text) == b"".join(x.to_bytes(4, "little") for x in ids_of_cached(text)), repr(text)
 
 
