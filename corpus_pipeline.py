@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, folder) and returns a DataFrame; a stage's rows are written and read
 again before the next one. All but the last keep the columns of `documents`.
+
+Defined cases, by stage: a null or empty text has no words, so the quality rules remove it; equal rows are
+judged alike there. Lines that repeat go from all rows of a repeated id and text, and a row that loses its last word
+goes. Near copies and repeated ids leave the rows of the smallest id, rows without id stay. Rows are
+contaminated by their own text, with or without id. Empty tables give no rows; further columns are kept,
+except those named `_quality`, `_n_lines` and `_n_removed`, which the operators add.
 """
 
 from __future__ import annotations
@@ -27,8 +33,10 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) ->
     left = line_dedup.dedup_lines(docs)
     words_left = F.btrim(F.coalesce("text", F.lit("")), F.lit(native.BLANKS)) != ""
     left = left.where((F.col("_n_removed") == 0) | words_left)
-    length = F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", length).select(docs.columns)
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        left = left.withColumn("n_chars", length)
+    return left.select(docs.columns)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtally.llm import hashing
+from playtally.llm import hashing, native
 from playtally.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -44,7 +44,7 @@ SPANS = f"doc_id long, text string, n_words long, spans {_FOUND}, items array<lo
 def _words(buffer: np.ndarray, at: np.ndarray):
     buffer = _LOWER[buffer]
     starts, ends, row = hashing.words(buffer, at, _WORD)
-    return hashing.stretch_hashes(buffer, starts, ends, hashing.BYTE_BASE), row
+    return hashing.word_hashes(buffer, starts, ends), row
 
 
 class Block:
@@ -212,13 +212,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns.
 
     Rows with the same id are judged by their own text: the text is part of the key of the join, as a
-    digest. A document without id or text is kept.
+    digest. So is a missing id; a document without text is kept.
     """
+    id_name, text_name = (native.free_name(docs.columns, x) for x in ("_judged_id", "_judged_text"))
     judged = contamination(docs, benchmark).where("contaminated").select(
-        F.col("doc_id").alias("_judged_id"), F.xxhash64("text").alias("_judged_text")
+        F.col("doc_id").alias(id_name), F.xxhash64("text").alias(text_name)
     ).distinct()
     return docs.join(
         judged.hint("merge"),
-        (F.col("doc_id") == F.col("_judged_id")) & (F.xxhash64("text") == F.col("_judged_text")),
+        F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.xxhash64("text") == F.col(text_name)),
         "left_anti",
     )

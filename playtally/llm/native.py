@@ -31,3 +31,11 @@ def numbers(first: int | Column, last: Column) -> Column:
     """first ... last, empty where last is smaller."""
     first = F.lit(first) if isinstance(first, int) else first
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """`wanted`, or that with underscores behind it, such that no column has the name in any case."""
+    taken = {x.lower() for x in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

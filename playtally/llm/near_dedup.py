@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from playtally.llm import hashing
+from playtally.llm import hashing, native
 from playtally.llm.components import components
 from playtally.llm.store import stored
 
@@ -71,7 +71,7 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     for _, buffer, at in hashing.pieces(texts):
         buffer = _LOWER[buffer]
         starts, ends, row = hashing.words(buffer, at)
-        word = hashing.stretch_hashes(buffer, starts, ends, hashing.BYTE_BASE)
+        word = hashing.word_hashes(buffer, starts, ends)
         windows = hashing.window_hashes(word, size)
         begin = np.searchsorted(row, np.arange(len(at)))
         for r in range(len(at) - 1):
@@ -451,10 +451,11 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, shingle: int, percent: int, id_column: str = "doc_id") -> DataFrame:
     """The documents that `near_duplicates` keeps, with all their columns."""
+    name = native.free_name(docs.columns, "_gone")
     gone = (
         near_duplicates(docs, shingle, percent, id_column)
         .where("NOT kept")
-        .select(F.col("doc_id").alias("_gone"))
+        .select(F.col("doc_id").alias(name))
         .distinct()
     )
-    return docs.join(gone.hint("merge"), F.col(id_column) == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(id_column) == F.col(name), "left_anti")

@@ -41,7 +41,7 @@ RUNS = "h long, s1 long, s2 int, doc_id long, digest long, start int, n int"
 
 def _word_hashes(buffer: np.ndarray, at: np.ndarray):
     starts, ends, row = hashing.words(buffer, at)
-    return hashing.stretch_hashes(buffer, starts, ends, hashing.BYTE_BASE), row
+    return hashing.word_hashes(buffer, starts, ends), row
 
 
 def _digests(buffer: np.ndarray, at: np.ndarray) -> np.ndarray:

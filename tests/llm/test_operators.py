@@ -368,3 +368,26 @@ def test_a_filter_on_the_verdict_stays_above_it(spark, awkward, labels):
     for kept in (judged, judged.where("_quality.kept").select(awkward.columns)):
         plan = kept._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("split(") <= 4 and plan.count("xxhash64(") <= 8
+
+
+def test_stages_on_awkward_rows(spark, awkward, tmp_path):
+    # Columns clash with names that the stages use inside.
+    docs = awkward.selectExpr("*", "1 AS _gone", "'x' AS _judged_id", "2 AS _judged_text", "3 AS n_chars")
+    spark.createDataFrame([(4, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet"
+    )
+    spark.createDataFrame([(1, SENTENCE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    ids = {}
+    for name in ("quality_rules", "line_dedup", "near_dedup", "decontamination"):
+        found = stages[name](spark, docs, str(tmp_path))
+        assert found.columns == docs.columns
+        ids[name] = Counter(r.doc_id for r in found.collect())
+        assert stages[name](spark, docs.where("false"), str(tmp_path)).collect() == []
+    assert ids["quality_rules"] == Counter({None: 1, 4: 2, 7: 1, 8: 1})
+    # The earliest row of the sentence has no id, so all others lose it, and with it their last words.
+    assert ids["line_dedup"] == Counter({None: 2, 1: 1, 2: 1, 3: 1, 6: 1, 7: 1})
+    # One word of 26 changed makes three shingles of 24; words before the sentence make as few as four.
+    assert ids["near_dedup"] == Counter({None: 2, 1: 1, 2: 1, 3: 1, 4: 2, 6: 1, 8: 1})
+    assert ids["decontamination"] == Counter({None: 1, 1: 1, 2: 1, 3: 1, 6: 1})
+    assert {r.doc_id for r in stages["packing"](spark, docs, str(tmp_path)).collect()} == {i for i, _ in ROWS}

@@ -7,7 +7,18 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from playtally.llm import fm_index, hashing, language_id, packing, pseudonyms, quality_classifier, suffix_dedup
+from playtally.llm import (
+    decontaminate,
+    fm_index,
+    hashing,
+    language_id,
+    near_dedup,
+    packing,
+    pseudonyms,
+    quality_classifier,
+    suffix_dedup,
+    window_dedup,
+)
 from playtally.llm.queries import tokenizer_path
 
 TEXTS = ["", None, "one", "a b  c\n\td", "ünï çödé 語 語", "x" * 5000, "a b a b a b a b a b"]
@@ -135,3 +146,36 @@ def test_descent_separates_and_the_curve_rises():
     assert ((margins > 0) == labels).all()
     slope, _ = quality_classifier.calibrate(margins, labels)
     assert slope > 0
+
+
+def thue_morse(n):
+    return ["".join("ab"[(i.bit_count() + k) % 2] for i in range(n)) for k in (0, 1)]
+
+
+def test_words_have_hashes_of_their_own():
+    rng = random.Random(2)
+    words = {*thue_morse(1024), *thue_morse(4096), "a", "b", "ab", "a" * 8, "a" * 9, "a" * 16}
+    words |= {"".join(rng.choices("abé", k=rng.randrange(1, 30))) for _ in range(3000)}
+    words = sorted(words)
+    [(_, buffer, at)] = hashing.pieces(pa.array([" ".join(words)]))
+    starts, ends, _ = hashing.words(buffer, at)
+    hashes = hashing.word_hashes(buffer, starts, ends)
+    assert len(set(hashes.tolist())) == len(words) == len(starts)
+    # The same wherever a word lies.
+    [(_, buffer, at)] = hashing.pieces(pa.array(["x " + " ".join(reversed(words))]))
+    starts, ends, _ = hashing.words(buffer, at)
+    assert (hashing.word_hashes(buffer, starts, ends)[1:][::-1] == hashes).all()
+
+
+def test_words_with_equal_polynomials_are_told_apart(spark):
+    one, two = thue_morse(1024)
+    rest = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}")], "doc_id long, text string")
+    found = {r.doc_id: r.n_removed for r in window_dedup.remove_repeats(docs).collect()}
+    # The windows of the thirty words behind are equal; those with the first word are not.
+    assert found == {1: 0, 2: 30}
+    short = spark.createDataFrame([(1, f"{one} x y"), (2, f"{two} x y")], "doc_id long, text string")
+    assert {r.component_id for r in near_dedup.near_duplicates(short).collect()} == {1, 2}
+    item = spark.createDataFrame([(7, f"{one} x y")], "item_id long, text string")
+    hits = {r.doc_id: r.n_hit for r in decontaminate.contamination(short, item).collect()}
+    assert hits == {1: 3, 2: 0}
