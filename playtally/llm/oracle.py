@@ -7,19 +7,19 @@ WITH texts AS (
     SELECT doc_id, i - 1 AS line, list_filter(regexp_split_to_array(ls[i], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
     FROM texts, unnest(range(1, len(ls) + 1)) AS t(i) WHERE length(text) > 0
 ), able AS (
-    SELECT doc_id, line, array_to_string(ws, ' ') AS words, ws FROM every WHERE len(ws) >= 5
+    SELECT doc_id, line, array_to_string(ws, ' ') AS words, ws FROM every WHERE len(ws) >= 1
 ), alike AS (
     SELECT words, any_value(ws) AS ws, min(row(doc_id, line)) AS first FROM able GROUP BY words
 ), cut AS (
     SELECT words, first, md5(array_to_string(list_concat(ws[:i - 1], ws[i + 1:]), ' ')) AS without,
         md5(array_to_string(list_concat(ws[:i - 1], [chr(7)], ws[i + 1:]), ' ')) AS hole
-    FROM alike, unnest(range(1, len(ws) + 1)) AS t(i)
+    FROM alike, unnest(range(1, len(ws) + 1)) AS t(i) WHERE len(ws) >= 5
 ), holes AS (
     SELECT hole, min(first) AS first FROM cut GROUP BY hole HAVING count(*) > 1
 ), near AS (
     SELECT c.words FROM cut c JOIN holes h ON c.hole = h.hole AND h.first < c.first
-    UNION SELECT c.words FROM cut c JOIN alike a ON c.without = md5(a.words) AND a.first < c.first
-    UNION SELECT a.words FROM cut c JOIN alike a ON c.without = md5(a.words) AND c.first < a.first
+    UNION SELECT c.words FROM cut c JOIN alike a ON c.without = md5(a.words) AND len(a.ws) >= 5 AND a.first < c.first
+    UNION SELECT a.words FROM cut c JOIN alike a ON c.without = md5(a.words) AND len(a.ws) >= 5 AND c.first < a.first
 ), gone AS (
     SELECT b.doc_id, b.line FROM able b JOIN alike a USING (words)
     WHERE row(b.doc_id, b.line) > a.first OR b.words IN (SELECT words FROM near)

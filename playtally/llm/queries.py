@@ -77,9 +77,12 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines and removed lines of every document, and the digest of the text that is left; as its SQL, of long lines only."""
+    """Lines and removed lines of every document, and the digest of the text that is left.
+
+    Lines of any length go if they equal an earlier one, those of five words or more also if they are near to one.
+    """
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs, shortest=line_dedup.MIN_WORDS).select(
+    return line_dedup.dedup_lines(docs).select(
         "doc_id",
         F.col("_n_lines").alias("n_lines"),
         F.col("_n_removed").alias("n_removed"),
