@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; one of the session's own where that is unset, as in tests."""
+    """The folder of `spark.checkpoint.dir`; a local session's own where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if not context.getCheckpointDir():
+            if context.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
