@@ -47,6 +47,8 @@ VALUE = re.compile(
 _CARD = re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")
 #: Lengths of card numbers, usual ones first.
 CARD_LENGTHS = (16, 15, 14, 13, 19, 18, 17)
+#: Groups that card numbers are usually written in.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)}
 _MAY_HOLD = re.compile(r"[0-9@]|password=|api_key=|secret=|token=")
 
 
@@ -149,17 +151,24 @@ def _iban(text: str, permute: Feistel) -> str | None:
 
 
 def _card_place(text: str) -> tuple[int, int] | None:
-    """Where a valid card number of whole groups stands: of usual length first, then the first."""
+    """Where a valid card number of whole groups stands.
+
+    Numbers written in one group or in the usual groups come before other readings, then usual lengths, then
+    the first: what stands beside a card does not make it part of a longer number.
+    """
     groups = [x.span() for x in re.finditer("[0-9]+", text)]
-    numbers = {}
+    readings = []
     for i, (a, _) in enumerate(groups):
-        for _, b in groups[i:]:
-            numbers.setdefault(sum(c.isdigit() for c in text[a:b]), []).append((a, b))
-    for n in CARD_LENGTHS:
-        for a, b in numbers.get(n, ()):
-            digits = re.sub(r"\D", "", text[a:b])
-            if digits[0] != "0" and _luhn(digits[:-1]) == int(digits[-1]):
-                return a, b
+        sizes: tuple[int, ...] = ()
+        for start, b in groups[i:]:
+            sizes += (b - start,)
+            if (n := sum(sizes)) in CARD_LENGTHS:
+                is_usual = len(sizes) == 1 or sizes in CARD_GROUPS
+                readings.append((not is_usual, CARD_LENGTHS.index(n), a, b))
+    for _, _, a, b in sorted(readings):
+        digits = re.sub(r"\D", "", text[a:b])
+        if digits[0] != "0" and _luhn(digits[:-1]) == int(digits[-1]):
+            return a, b
     return None
 
 
@@ -169,13 +178,9 @@ def _card(text: str, permute: Feistel) -> tuple[str, int] | None:
         return None
     a, b = place
     digits = re.sub(r"\D", "", text[a:b])
-    while True:  # until the same place is found in the result
-        inner = digits[1:-1]
-        body = digits[0] + f"{permute('card' + digits[0], int(inner), 10 ** len(inner)):0{len(inner)}d}"
-        digits = body + str(_luhn(body))
-        new = text[:a] + _written(digits, text[a:b])
-        if _card_place(new + text[b:]) == place:
-            return new, b
+    inner = digits[1:-1]
+    body = digits[0] + f"{permute('card' + digits[0], int(inner), 10 ** len(inner)):0{len(inner)}d}"
+    return text[:a] + _written(body + str(_luhn(body)), text[a:b]), b
 
 
 def _ssn(text: str, permute: Feistel) -> str | None:

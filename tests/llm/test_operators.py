@@ -391,3 +391,23 @@ def test_stages_on_awkward_rows(spark, awkward, tmp_path):
     assert ids["near_dedup"] == Counter({None: 2, 1: 1, 2: 1, 3: 1, 4: 2, 6: 1, 8: 1})
     assert ids["decontamination"] == Counter({None: 1, 1: 1, 2: 1, 3: 1, 6: 1})
     assert {r.doc_id for r in stages["packing"](spark, docs, str(tmp_path)).collect()} == {i for i, _ in ROWS}
+
+
+def test_a_card_has_one_pseudonym_in_every_context():
+    rng = random.Random(10)
+    before = ["", "card ", "no 12 ", "7 ", "12 34 ", "(", "2021 ", "x: 5 "]
+    behind = ["", ".", " 1", " 12", " 123", " 12/27", ", 4", " 7 8 9", ")", " end"]
+    for length in (13, 14, 15, 16, 19):
+        for _ in range(25):
+            body = str(rng.randrange(10 ** (length - 2), 10 ** (length - 1)))
+            card = body + str(pseudonyms._luhn(body))
+            found = set()
+            for a in before:
+                for b in behind:
+                    counts = dict.fromkeys(pseudonyms.KINDS, 0)
+                    new = pseudonyms.change(a + card + b, pseudonyms.Feistel(b"k"), counts)
+                    assert new.startswith(a) and new.endswith(b) and counts["card"] == 1
+                    found.add(new[len(a) : len(new) - len(b)])
+                    back = pseudonyms.change(new, pseudonyms.Feistel(b"k", reverse=True), dict(counts))
+                    assert back == a + card + b
+            assert len(found) == 1 and card not in found
