@@ -17,7 +17,8 @@ the other kind, and the edit distance to it is verified on the words. Hashes of
 or) of hashes of words with their places, so a line of n words gives its 2 n + 1 variants in one pass.
 
 Equal lines are brought together first. Of near lines, one half is the same; only lines that share the
-hash of a half with another line of fitting length emit variants, which loses no pair.
+hash of a half with another line of fitting length emit variants, and only for the words outside of that half,
+which loses no pair.
 
 Built-in functions only. Defined cases: null and empty texts have no lines and stay as they are; rows that
 repeat an id and its text tie and keep their lines alike; null ids come first; an empty table gives no rows;
@@ -30,23 +31,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playtally.llm import native
-from playtally.llm.store import stored
+from playtally.llm.store import release, stored
 
 MIN_WORDS = 5
 #: Words of a block of the running hash.
 BLOCK = 64
 
 
+def _words(line: Column) -> Column:
+    """Words of a line whose blanks are spaces; a split by one character needs no pattern."""
+    return F.array_remove(F.split(line, " "), "")
+
+
+def _lines(text: Column) -> Column:
+    """Lines of a text, all blanks of a line as spaces."""
+    for blank in native.BLANKS.replace("\n", "").replace(" ", ""):
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return native.lines(text)
+
+
 def _halves(words: Column) -> list[Column]:
     """Hashes of the first and last halves for the two lengths that the longer line of a pair may have."""
     n = F.size(words)
 
     def half(longer: Column, last: bool) -> Column:
-        m = F.floor(longer / 2).cast("int")
+        m = _half_size(longer)
         start = n - m + 1 if last else F.lit(1)
-        return F.xxhash64(F.slice(words, start, m), longer, F.lit(last))
+        return F.xxhash64(F.slice(words, start, m), F.lit(last))
+
+    # Of an even number of words, both lengths have the same halves.
+    other = lambda x: F.when(n % 2 == 1, x)
+    return [half(n, False), half(n, True), other(half(n + 1, False)), other(half(n + 1, True))]
+
+
+def _half_size(longer: Column) -> Column:
+    return F.floor(longer / 2).cast("int")
 
-    return [half(longer, last) for longer in (n, n + 1) for last in (False, True)]
+
+def _edges(n: Column) -> list[Column]:
+    """Of lines that share a half, the places where they may differ: from m on for a first half, and before
+    n - m, noted as m - n, for a last one."""
+    sizes = [_half_size(n), _half_size(n + 1)]
+    return [edge for m in sizes for edge in (m, m - n)]
 
 
 def _running(hashes: Column) -> Column:
@@ -77,9 +103,10 @@ def _running(hashes: Column) -> Column:
     )
 
 
-def _variants(words: Column) -> Column:
-    """(key, kind) of every variant: 0 the line, 1 a word left out, 2 a hole."""
+def _variants(words: Column, low: Column, high: Column) -> Column:
+    """(key, kind) of every variant: 0 the line, 1 a word left out, 2 a hole; edits from `low` on or before `high`."""
     n = F.size(words)
+    places = F.filter(native.numbers(0, n - 1), lambda i: (i >= low) | (i < high))
     here = F.transform(words, lambda w, i: F.xxhash64(w, i))
     left = F.transform(words, lambda w, i: F.xxhash64(w, i - 1))
     total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
@@ -90,10 +117,9 @@ def _variants(words: Column) -> Column:
             F.xxhash64(F.lit(kind == 2), length, value).alias("key"), F.lit(kind).alias("kind")
         )
         without = F.transform(
-            F.arrays_zip(left.alias("l"), before.alias("b")),
-            lambda v: key(1, n - 1, moved.bitwiseXOR(v["b"]).bitwiseXOR(v["l"])),
+            places, lambda i: key(1, n - 1, moved.bitwiseXOR(F.get(before, i)).bitwiseXOR(F.get(left, i)))
         )
-        holes = F.transform(here, lambda h, i: key(2, n, F.xxhash64(whole.bitwiseXOR(h), i)))
+        holes = F.transform(places, lambda i: key(2, n, F.xxhash64(whole.bitwiseXOR(F.get(here, i)), i)))
         return F.concat(F.array(key(0, n, whole)), F.array_distinct(without), holes)
 
     parts = native.let(
@@ -124,11 +150,10 @@ def removed_lines(docs: DataFrame, min_words: int, id_column: str, text_column:
     texts = docs.where(F.length(text_column) > 0).select(
         F.col(id_column).alias("_doc"), F.xxhash64(text_column).alias("_digest"), F.col(text_column).alias("_text")
     )
-    worded = (
-        texts.select("_doc", "_digest", F.posexplode(native.lines(F.col("_text"))).alias("_line", "_of"))
-        .select("_doc", "_digest", "_line", native.words(F.col("_of")).alias("words"))
-        .where(F.size("words") >= shortest)
-    )
+    # Words are split before lines become rows: a filter on them would split once more.
+    worded = texts.select(
+        "_doc", "_digest", F.posexplode(F.transform(_lines(F.col("_text")), _words)).alias("_line", "words")
+    ).where(F.size("words") >= shortest)
     place = F.struct("_doc", "_digest", "_line")
     # Plain columns: in a shuffled row, a struct or an array takes 16 or 24 bytes more than its values.
     every = worded.select(
@@ -137,33 +162,46 @@ def removed_lines(docs: DataFrame, min_words: int, id_column: str, text_column:
         "_line",
         F.xxhash64("words").alias("k1"),
         F.xxhash64(F.lit(1), F.size("words"), "words").alias("k2"),
+        F.size("words").alias("size"),
         # Short lines have none, so they meet equal lines only.
         *[F.when(F.size("words") >= min_words, x).alias(f"half{i}") for i, x in enumerate(_halves(F.col("words")))],
     )
     halves = [f"half{i}" for i in range(4)]
     alike = stored(
         every.groupBy("k1", "k2").agg(
-            F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(x).alias(x) for x in halves]
+            F.min(place).alias("first"),
+            F.count(F.lit(1)).alias("n"),
+            F.min("size").alias("size"),
+            *[F.min(x).alias(x) for x in halves],
         )
     )
 
     # A line goes by its first hash here; another line with the same hash is one candidate more.
-    half = alike.select("k1", F.explode(F.array_distinct(F.array(*halves))).alias("half")).where("half IS NOT NULL")
+    split = F.array(*(F.struct(F.col(x).alias("half"), e.alias("edge")) for x, e in zip(halves, _edges(F.col("size")), strict=True)))
+    half = alike.where("half0 IS NOT NULL").select("k1", F.inline(split)).where("half IS NOT NULL")
     shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    able = half.join(shared, "half", "left_semi").select("k1").distinct()
-    candidates = alike.join(able, "k1", "left_semi").select("first.*")
-    lists = candidates.groupBy("_doc", "_digest").agg(F.collect_list("_line").alias("numbers"))
+    able = half.join(shared, "half", "left_semi").groupBy("k1").agg(
+        F.min(F.when(F.col("edge") > 0, F.col("edge"))).alias("low"), F.max(F.when(F.col("edge") < 0, -F.col("edge"))).alias("high")
+    )
+    candidates = alike.join(able, "k1").select("first.*", F.coalesce("low", "size").alias("low"), F.coalesce("high", F.lit(0)).alias("high"))
+    lists = candidates.groupBy("_doc", "_digest").agg(F.collect_list(F.struct("_line", "low", "high")).alias("numbers"))
     same_document = lambda a, b: a["_doc"].eqNullSafe(b["_doc"]) & (a["_digest"] == b["_digest"])
     # Rows that repeat an id and its text are one document here.
+    chosen = native.let(
+        _lines(F.col("_text")),
+        lambda x: F.transform(
+            "numbers", lambda i: F.struct(i["_line"].alias("_line"), i["low"].alias("low"), i["high"].alias("high"), _words(F.get(x, i["_line"])).alias("words"))
+        ),
+    )
     lines = (
         texts.join(lists.hint("merge"), same_document(texts, lists))
-        .select(texts["_doc"], texts["_digest"], F.explode("numbers").alias("_line"), native.lines(F.col("_text")).alias("of"))
-        .select(place.alias("first"), native.words(F.get("of", F.col("_line"))).alias("words"))
+        .select(texts["_doc"], texts["_digest"], F.inline(chosen))
+        .select(place.alias("first"), "low", "high", "words")
     )
 
     # Few, as a shared half is rare; read once from the texts.
     lines = stored(lines)
-    variants = lines.select("first", F.explode(_variants(F.col("words"))).alias("v")).select("first", "v.*")
+    variants = lines.select("first", F.explode(_variants(F.col("words"), F.col("low"), F.col("high"))).alias("v")).select("first", "v.*")
     buckets = (
         variants.groupBy("key")
         .agg(
@@ -190,19 +228,21 @@ def removed_lines(docs: DataFrame, min_words: int, id_column: str, text_column:
         pairs.join(late.withColumn("a", key("first")), [F.xxhash64(pairs["first"]) == F.col("a"), pairs["first"].eqNullSafe(late["first"])])
         .select(pairs["first"], "earlier", "own")
     )
-    near = (
+    # Cut, so that the variants are gone before the texts are shuffled for their removed lines.
+    near = stored(
         near.join(early.withColumn("b", key("earlier")), [F.xxhash64(near["earlier"]) == F.col("b"), near["earlier"].eqNullSafe(early["earlier"])])
         .where(_near(F.col("own"), F.col("other")))
         .select(near["first"].alias("gone"))
         .distinct()
     )
+    release(docs.sparkSession)
     verdict = (
         alike.join(near, F.col("first").eqNullSafe(F.col("gone")), "left")
         .where("n > 1 OR gone IS NOT NULL")
         .select("k1", "k2", "first", F.col("gone").isNotNull().alias("near"))
     )
     return (
-        every.drop(*halves).join(verdict, ["k1", "k2"])
+        every.drop("size", *halves).join(verdict, ["k1", "k2"])
         .where(F.col("near") | (place > F.col("first")))
         .select("_doc", "_digest", "_line")
         .groupBy("_doc", "_digest")

@@ -21,14 +21,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs, for operators whose last job follows a cut."""
+    spark._jvm.System.gc()
+
+
 def stored(frame: DataFrame, compression: str = "snappy") -> DataFrame:
     """The same rows, written once as Parquet to the shared folder and read from there.
 
     Spark removes the shuffle files of a finished job when the driver collects its plan as garbage. They
     are not needed behind a cut, so the driver is asked to, and a chain of cuts holds the disk of one job.
+    Right behind a job, Spark may still hold its plan, so the driver is asked before the next one again.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    release(spark)
     frame.write.parquet(path, compression=compression)
-    spark._jvm.System.gc()
+    release(spark)
     return spark.read.schema(frame.schema).parquet(path)

@@ -23,6 +23,7 @@ from playtally.llm import (
     window_dedup,
 )
 from playtally.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
+from tests.conftest import plan_of
 
 FOLDER = "/root/testdata/sf0.001"
 SENTENCE = "every copy of this sentence has more than twenty words so that windows of words and of bytes are found in it more than once today"
@@ -321,6 +322,45 @@ def test_line_dedup_equals_its_twin(spark):
     assert rows(frame.columns, [tuple(r) for r in frame.collect()]) == theirs
 
 
+def near_lines(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_lines(docs):
+    every = [(i, k, line.split()) for i, text in docs for k, line in enumerate(text.split("\n")) if line.split()]
+    gone = Counter()
+    for at, (i, _, words) in enumerate(every):
+        gone[i] += any(
+            words == other or (min(len(words), len(other)) >= 5 and near_lines(words, other)) for _, _, other in every[:at]
+        )
+    return {i: gone[i] for i, _ in docs}
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(6)
+    docs = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randint(0, 12)):
+            line = [rng.choice("ab") if rng.random() < 0.8 else "a-long-word-of-hashes" for _ in range(rng.randint(0, 11))]
+            lines.append(rng.choice((" ", "\t", " \r ")).join(line) + rng.choice(("", " ", "\x00")))
+        docs.append((i, "\n".join(lines)))
+    found = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r._n_removed for r in found} == brute_lines(docs)
+
+
+def test_line_dedup_cuts_the_variants_off(spark):
+    """The last job, which shuffles whole texts, does not hold the shuffles of the variants as well."""
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    # Lines become rows again to be found, variants do not.
+    assert plan_of(line_dedup.dedup_lines(docs)).count(") Generate") == 1
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "left"),
     [
