@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playtally.llm import hashing
-from playtally.llm.store import stored
+from playtally.llm.store import release, stored
 from playtally.llm.window_dedup import listed_grams, merge
 
 SIZE = 100
@@ -147,9 +147,26 @@ class LoserTree:
                 node //= 2
 
 
-_MEMBER = "h long, doc_id long, digest long, start long, n long"
-BLOCK = f"part long, prefixes array<int>, tails binary, lengths array<int>, members array<struct<{_MEMBER.replace(' ', ':').replace(',:', ',')}>>"
-_MEMBER_TYPE = pa.struct([(x, pa.int64()) for x in ("h", "doc_id", "digest", "start", "n")])
+#: Numbers travel as packed columns: as arrays of structs they take 56 bytes a member.
+BLOCK = "part long, prefixes binary, tails binary, lengths binary, members binary"
+
+
+def _packed(pack, rows: list[tuple]) -> bytes:
+    """Rows of numbers, column by column; a null, as an id may be, is marked in a column of its own."""
+    columns = []
+    for x in zip(*rows, strict=True):
+        columns.append(np.array([v is None for v in x], np.int64))
+        columns.append(np.array([v or 0 for v in x], np.int64))
+    return pack.compress(b"".join(x.tobytes() for x in columns))
+
+
+def _unpacked(unpack, data: bytes, width: int) -> list[tuple]:
+    values = np.frombuffer(unpack.decompress(data), np.int64).reshape(width, 2, -1)
+    columns = [x.tolist() for x in values[:, 1]]
+    for column, none in zip(columns, values[:, 0], strict=True):
+        for i in np.flatnonzero(none).tolist():
+            column[i] = None
+    return list(zip(*columns, strict=True))
 
 
 def _order(doc_id: int | None, start: int) -> tuple:
@@ -198,17 +215,15 @@ def _sorted_runs(size: int, gram: int, parts: int):
                 strings = sorted(s for s, group in held.items() for _ in group)
                 prefixes, tails = front_code(strings)
                 own = [m for s in dict.fromkeys(strings) for m in held[s]]
-                rows.append((p, prefixes, pack.compress(b"".join(tails)), [len(t) for t in tails], own))
+                lengths = [(len(t),) for t in tails]
+                prefixes = [(x,) for x in prefixes]
+                rows.append((p, _packed(pack, prefixes), pack.compress(b"".join(tails)), _packed(pack, lengths), _packed(pack, own)))
             if again:
-                rows.append((-1 - abs(hash(again[0])) % parts, [], b"", [], again))
-            names = ("h", "doc_id", "digest", "start", "n")
+                rows.append((-1 - abs(hash(again[0])) % parts, None, None, None, _packed(pack, again)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([x[0] for x in rows], pa.int64()),
-                    pa.array([x[1] for x in rows], pa.list_(pa.int32())),
-                    pa.array([x[2] for x in rows], pa.binary()),
-                    pa.array([x[3] for x in rows], pa.list_(pa.int32())),
-                    pa.array([[dict(zip(names, m, strict=True)) for m in x[4]] for x in rows], pa.list_(_MEMBER_TYPE)),
+                    *(pa.array([x[i] for x in rows], pa.binary()) for i in range(1, 5)),
                 ],
                 ["part", "prefixes", "tails", "lengths", "members"],
             )
@@ -229,16 +244,16 @@ def merge_partition(blocks: list[dict], size: int) -> Iterator[tuple]:
     unpack = zstandard.ZstdDecompressor()
     runs, members = [], []
     for block in blocks:
-        own = [tuple(m.values()) for m in block["members"]]
-        if not block["prefixes"]:
+        own = _unpacked(unpack, block["members"], 5)
+        if block["prefixes"] is None:
             for m in own:
                 yield m[1], m[2], m[3], m[3] + m[4] + size - 1
             continue
         data, at, tails = unpack.decompress(block["tails"]), 0, []
-        for length in block["lengths"]:
+        for (length,) in _unpacked(unpack, block["lengths"], 1):
             tails.append(data[at : at + length])
             at += length
-        runs.append((block["prefixes"], tails))
+        runs.append(([x for (x,) in _unpacked(unpack, block["prefixes"], 1)], tails))
         members.append(own)
 
     forms: dict[int, list[tuple[bytes, tuple]]] = {}
@@ -349,6 +364,7 @@ def remove_repeats(
         blocks.groupBy("part").applyInArrow(_merge(size), "doc_id long, digest long, start long, end long")
     )
     lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "start", "end")).alias("spans"))
+    release(docs.sparkSession)
     return with_texts(lists, "left").mapInArrow(
         _remove,
         "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary",

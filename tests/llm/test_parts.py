@@ -179,3 +179,12 @@ def test_words_with_equal_polynomials_are_told_apart(spark):
     item = spark.createDataFrame([(7, f"{one} x y")], "item_id long, text string")
     hits = {r.doc_id: r.n_hit for r in decontaminate.contamination(short, item).collect()}
     assert hits == {1: 3, 2: 0}
+
+
+def test_members_of_blocks_are_packed():
+    import zstandard
+
+    rows = [(k % 7, None if k % 5 == 0 else k // 3, -k, 2 * k, k % 3) for k in range(1000)]
+    data = suffix_dedup._packed(zstandard.ZstdCompressor(level=1), rows)
+    assert suffix_dedup._unpacked(zstandard.ZstdDecompressor(), data, 5) == rows
+    assert len(data) < 20 * len(rows)
