@@ -262,7 +262,8 @@ def candidates(sketches: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         rest = ended if rest is None else rest.unionByName(ended)
         if level == DEEP or open_nodes.isEmpty():
             return pairs.distinct(), rest.distinct()
-        frontier = left.mapInArrow(_descend(level), "node long, doc_id long").distinct()
+        # Cut, as the next level reads it twice, for the sizes of nodes and for their members.
+        frontier = stored(left.mapInArrow(_descend(level), "node long, doc_id long").distinct())
 
 
 def _sets(size: int):

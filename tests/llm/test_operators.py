@@ -304,6 +304,28 @@ def test_members_of_a_closed_node_are_joined_exactly(spark):
     assert pairs.count() == 59 and sorted(r.doc_id for r in rest.collect()) == list(range(60))
 
 
+def test_a_large_node_goes_down_once_and_in_proportion(spark, monkeypatch):
+    plans, down, real = [], [], near_dedup.stored
+
+    def watched(frame, *args):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        frame = real(frame, *args)
+        if frame.columns == ["node", "doc_id"]:
+            down.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(near_dedup, "stored", watched)
+    rng = random.Random(4)
+    for n in (100, 200):
+        # Nobody is near to anybody, and most tokens agree, so the node stays large on every level.
+        rows = [(k, bytes(rng.choice((0, 0, 0, 1)) for _ in range(near_dedup.TOKENS)), [7]) for k in range(n)]
+        down.clear()
+        near_dedup.candidates(spark.createDataFrame(rows, "doc_id long, sig binary, roots array<long>"))
+        assert len(down) == near_dedup.DEEP - 1 and all(x <= y * n for x, y in zip(down, (2, 4, 4), strict=True))
+    # The members and the sizes of a level's nodes come from one pass over the level above.
+    assert max(x.count("MapInArrow") for x in plans) == 1 and max(x.count("LeftSemi") for x in plans) == 1
+
+
 def test_short_lines_go_if_they_are_equal(spark):
     docs = [(1, "read  more\n \nshare this page now\nok"), (2, "read more\n \nshare that page now\nok\nok then")]
     found = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
