@@ -31,10 +31,11 @@ def powers(base: int, n: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def stretch_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
@@ -69,8 +70,8 @@ def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return hashes
 
 
-def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of consecutive rows, about PIECE_BYTES a piece; null is empty.
+def pieces(texts: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of consecutive rows, about `size` bytes a piece; null is empty.
 
     Row r of the piece has the bytes offsets[r] : offsets[r + 1] - 1; one zero byte follows each row.
     """
@@ -81,7 +82,7 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(binary.buffers()[2], np.uint8) if binary.buffers()[2] else np.zeros(0, np.uint8)
     first = 0
     while first < len(binary):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         last = min(last, len(binary))
         own = offsets[first : last + 1] - offsets[first]
         # A separator byte follows every row.
@@ -124,8 +125,10 @@ def window_hashes(hashes: np.ndarray, size: int, base: int = WORD_BASE) -> np.nd
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    first = np.arange(n)
-    return stretch_hashes(hashes, first, first + size, base)
+    # As `stretch_hashes` of all windows, by slices.
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes.astype(np.uint64) * powers(base, len(hashes)), out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * powers(inverse(base), n) + np.uint64(size))
 
 
 def sliding_argmin(values: np.ndarray, size: int) -> np.ndarray:

@@ -23,7 +23,10 @@ ids come first; an empty table gives no rows; other columns are ignored; a text
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,13 @@ SIZE = 100
 GRAM = 24
 #: Grams of the corpus for one partition of the merge.
 PARTITION_GRAMS = 100_000
+#: Bytes whose hashes are made in one go, so that they stay in a processor's cache.
+PIECE_BYTES = 1 << 16
+
+
+def digest(text: bytes) -> int:
+    """64 bits that tell the texts of a repeated id apart."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
 def _byte_rows(buffer: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -57,7 +67,7 @@ def _runs_of(buffer: np.ndarray, at: np.ndarray, size: int, gram: int):
 def _grams(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, buffer, at in hashing.pieces(batch.column(1)):
+            for first, buffer, at in hashing.pieces(batch.column(1), PIECE_BYTES):
                 h, _, _, row = _runs_of(buffer, at, size, gram)
                 ids = batch.column(0).take(pa.array(first + row))
                 yield pa.RecordBatch.from_arrays([hashing.signed(h), ids], ["h", "doc_id"])
@@ -68,24 +78,22 @@ def _grams(size: int, gram: int):
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix, of which `known` bytes need no look."""
     end = min(len(a), len(b))
-    while known < end:
-        x = int.from_bytes(a[known : known + 16].ljust(16, b"\0"), "big") ^ int.from_bytes(
-            b[known : known + 16].ljust(16, b"\0"), "big"
-        )
-        if x:
-            return min(end, known + (128 - x.bit_length()) // 8)
-        known += 16
-    return end
+    # As numbers, strings differ from their highest different bit on.
+    x = int.from_bytes(a[known:end], "big") ^ int.from_bytes(b[known:end], "big")
+    return end - (x.bit_length() + 7) // 8
 
 
 def front_code(strings: list[bytes]) -> tuple[list[int], list[bytes]]:
     """Shared prefix with the one before, and the rest, of sorted strings."""
-    prefixes, tails, last = [], [], b""
+    width = max(map(len, strings), default=0)
+    prefixes, tails, before, length = [], [], 0, 0
     for s in strings:
-        p = common_prefix(last, s, 0)
+        # Of one width, each string is made a number once; the shorter one's length bounds what is shared.
+        number = int.from_bytes(s.ljust(width, b"\0"), "big")
+        p = min(width - ((before ^ number).bit_length() + 7) // 8, length, len(s))
         prefixes.append(p)
         tails.append(s[p:])
-        last = s
+        before, length = number, len(s)
     return prefixes, tails
 
 
@@ -114,7 +122,7 @@ class LoserTree:
         if p != q:
             return p > q
         shared = common_prefix(x, y, p)
-        wins = x[shared:] <= y[shared:]
+        wins = x <= y
         self._known[b if wins else a] = shared
         return wins
 
@@ -184,18 +192,18 @@ def _sorted_runs(size: int, gram: int, parts: int):
             ids = batch.column("doc_id").to_pylist()
             dealt: dict[int, dict[bytes, list[tuple]]] = {}
             again: list[tuple] = []
-            for first, buffer, at in hashing.pieces(batch.column("text")):
+            for first, buffer, at in hashing.pieces(batch.column("text"), PIECE_BYTES):
                 h, start, n, row = _runs_of(buffer, at, size, gram)
                 keep = listed_grams(batch.column("grams"), first, row, h)
                 h, start, n, row = h[keep], start[keep], n[keep], row[keep]
-                digests = hashing.stretch_hashes(buffer, at[:-1], at[1:] - 1, hashing.BYTE_BASE).view(np.int64)
                 data = buffer.tobytes()
+                digests = [digest(data[a:b]) for a, b in zip(at[:-1].tolist(), (at[1:] - 1).tolist(), strict=True)]
                 part = (hashing.mix(h) % np.uint64(parts)).astype(np.int64)
                 for x in zip(
                     part.tolist(), h.view(np.int64).tolist(), start.tolist(), n.tolist(), row.tolist(), strict=True
                 ):
                     p, own, s, k, r = x
-                    member = (own, ids[first + r], int(digests[r]), s - int(at[r]), k)
+                    member = (own, ids[first + r], digests[r], s - int(at[r]), k)
                     held = dealt.setdefault(p, {})
                     string = data[s : s + k + size - 1]
                     group = held.setdefault(string, [member])
@@ -259,6 +267,9 @@ def merge_partition(blocks: list[dict], size: int) -> Iterator[tuple]:
     forms: dict[int, list[tuple[bytes, tuple]]] = {}
 
     def close(string: bytes, group: list[tuple]) -> Iterator[tuple]:
+        if len(group) == 1:
+            forms.setdefault(group[0][0], []).append((string, group[0]))
+            return
         for m in _later(group):
             yield m[1], m[2], m[3], m[3] + m[4] + size - 1
         low = min(_order(m[1], m[3]) for m in group)
@@ -278,21 +289,15 @@ def merge_partition(blocks: list[dict], size: int) -> Iterator[tuple]:
 
     for own in forms.values():
         if len(own) > 1:
-            suffixes = sorted(
-                ((s[j : j + size], j, m) for s, m in own for j in range(m[4])), key=lambda x: x[0]
-            )
-            i = 0
-            while i < len(suffixes):
-                k = i + 1
-                while k < len(suffixes) and suffixes[k][0] == suffixes[i][0]:
-                    k += 1
-                if k > i + 1:
-                    at = [_order(m[1], m[3] + j) for _, j, m in suffixes[i:k]]
+            suffixes = sorted(((s[j : j + size], j, m) for s, m in own for j in range(m[4])), key=itemgetter(0))
+            for _, same in groupby(suffixes, key=itemgetter(0)):
+                _, *more = equal = list(same)
+                if more:
+                    at = [_order(m[1], m[3] + j) for _, j, m in equal]
                     low = min(at)
-                    for (_, j, m), place in zip(suffixes[i:k], at, strict=True):
+                    for (_, j, m), place in zip(equal, at, strict=True):
                         if place > low:
                             yield m[1], m[2], m[3] + j, m[3] + j + size
-                i = k
 
 
 def _merge(size: int):
@@ -313,13 +318,13 @@ def _merge(size: int):
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_bytes, n_removed, kept, spans = [], [], [], []
-        for first, buffer, at in hashing.pieces(batch.column("text")):
-            digests = hashing.stretch_hashes(buffer, at[:-1], at[1:] - 1, hashing.BYTE_BASE).view(np.int64).tolist()
-            for r, digest in enumerate(digests):
+        for first, buffer, at in hashing.pieces(batch.column("text"), PIECE_BYTES):
+            for r in range(len(at) - 1):
                 data = buffer[at[r] : at[r + 1] - 1].tobytes()
-                own = merge(
-                    [(x["start"], x["end"]) for x in batch.column("spans")[first + r].as_py() or () if x["digest"] == digest]
-                )
+                # Texts without a repeated stretch need no digest.
+                found = batch.column("spans")[first + r].as_py() or ()
+                here = digest(data) if found else None
+                own = merge([(x["start"], x["end"]) for x in found if x["digest"] == here])
                 left, last = [], 0
                 for s, e in own:
                     left.append(data[last:s])

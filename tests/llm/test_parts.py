@@ -68,6 +68,40 @@ def test_loser_tree_merges_and_knows_prefixes():
             assert p == suffix_dedup.common_prefix(a, b, 0)
 
 
+def test_prefixes_of_any_bytes_are_found():
+    rng = random.Random(6)
+    strings = sorted(bytes(rng.choice(b"\0\1\xff") for _ in range(rng.randrange(0, 60))) + b"\0" * rng.randrange(3) for _ in range(300))
+    prefixes, tails = suffix_dedup.front_code([*strings, strings[-1]])
+    last = b""
+    for p, tail, s in zip(prefixes, tails, [*strings, strings[-1]], strict=True):
+        shared = next((i for i, (x, y) in enumerate(zip(last, s)) if x != y), min(len(last), len(s)))
+        assert p == shared and s == last[:p] + tail
+        assert all(suffix_dedup.common_prefix(last, s, known) == shared for known in range(shared + 1))
+        last = s
+
+
+def test_hashes_of_windows_are_those_of_their_stretches():
+    values = np.random.default_rng(3).integers(0, 1 << 63, 50, dtype=np.uint64)
+    first = np.arange(50 - 7 + 1)
+    expected = hashing.stretch_hashes(values, first, first + 7, hashing.WORD_BASE)
+    assert (hashing.window_hashes(values, 7) == expected).all()
+    assert len(hashing.window_hashes(values, 51)) == 0
+    texts = pa.array(["ab", None, "c" * 9, "", "d"])
+    assert [len(at) - 1 for _, _, at in hashing.pieces(texts, 4)] == [2, 1, 2]
+
+
+def test_texts_without_repeats_need_no_digest(monkeypatch):
+    seen, real = [], suffix_dedup.digest
+    monkeypatch.setattr(suffix_dedup, "digest", lambda text: seen.append(text) or real(text))
+    spans = [None, [], [{"digest": real(b"abcd"), "start": 1, "end": 3}], [{"digest": 7, "start": 0, "end": 1}]]
+    kind = pa.list_(pa.struct([("digest", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2, 3, 3]), pa.array(["x", None, "abcd", "abce"]), pa.array(spans, kind)], ["doc_id", "text", "spans"]
+    )
+    (out,) = suffix_dedup._remove(iter([batch]))
+    assert out.column("kept").to_pylist() == [b"x", b"", b"ad", b"abce"] and seen == [b"abcd", b"abce"]
+
+
 def test_differencing_is_balanced_and_complete():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 513) for _ in range(500)]
