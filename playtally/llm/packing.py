@@ -79,26 +79,39 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
         self._tokenizer.encode_special_tokens = True
         self._memo = _worker_memo().setdefault(tokenizer_path, {})
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        # Tokens that begin with a blank, as byte-level vocabularies write it.
+        self._blank = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self._blank[[i for x, i in vocabulary.items() if x[:1] == "\u0120"]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array("I", x.ids).tobytes() for x in found]
 
+    def _encode_chunks(self, first: str, chunks: list[str]) -> list[bytes]:
+        """Ids of `first` and of each chunk behind a blank: of one text, cut where a token begins with a blank."""
+        ids = self._encode([" ".join([first, *chunks])])[0]
+        cuts = (4 * np.flatnonzero(self._blank[np.frombuffer(ids, "<u4")])).tolist()
+        if len(cuts) != len(chunks):
+            return self._encode([first, *(" " + x for x in chunks)])
+        return [ids[a:b] for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True)]
+
     def ids(self, text: str) -> bytes:
         if not _apart(text):
             return self._encode([text])[0]
         first, *chunks = text.split(" ")
         memo = self._memo
-        found = [memo.get(x) for x in chunks]
-        if None in found:
-            new = list({x for x, y in zip(chunks, found, strict=True) if y is None})
-            encoded = dict(zip(new, self._encode([" " + x for x in new]), strict=True))
+        found = list(map(memo.get, chunks))
+        new = list({x for x, y in zip(chunks, found, strict=True) if y is None})
+        head, *ids = self._encode_chunks(first, new)
+        if new:
+            encoded = dict(zip(new, ids, strict=True))
             found = [encoded[x] if y is None else y for x, y in zip(chunks, found, strict=True)]
             if len(memo) + len(new) > MEMO_ENTRIES:
                 memo.clear()
             if len(new) <= MEMO_ENTRIES:
                 memo.update((x, y) for x, y in encoded.items() if len(x) <= MEMO_CHARS)
-        return self._encode([first])[0] + b"".join(found)
+        return head + b"".join(found)
 
 
 def _pieces(tokenizer_path: str, capacity: int, max_piece: int, end_id: int):

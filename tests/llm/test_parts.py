@@ -122,6 +122,19 @@ def test_encoder_equals_the_whole_text(text):
     assert encoder.ids(text) == encoder._encode([text])[0]
 
 
+def test_new_chunks_of_a_text_are_encoded_in_one_go(monkeypatch):
+    encoder = packing.Encoder(tokenizer_path())
+    encoder._memo, asked, real = {}, [], encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda texts: asked.append(texts) or real(texts))
+    text = "don't stop\t12 ü-ö 漢字 " + "x" * 100 + " 😀 a\nb stop. 12 Ġa don't"
+    whole = real([text])[0]
+    assert encoder.ids(text) == whole and [len(x) for x in asked] == [1]
+    assert encoder.ids(text) == whole and asked[1][0].split(" ")[1:] == ["x" * 100]
+    # Without tokens that begin with a blank, chunks are encoded one by one.
+    encoder._memo, encoder._blank = {}, encoder._blank & False
+    assert encoder.ids(text) == whole
+
+
 @pytest.mark.parametrize("size", [2, 3, 10, 97, 1000])
 def test_feistel_is_a_permutation(size):
     forth, back = pseudonyms.Feistel(b"k"), pseudonyms.Feistel(b"k", reverse=True)
