@@ -27,6 +27,9 @@ other columns are kept, names that begin with an underscore are reserved.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,26 +41,56 @@ MIN_WORDS = 5
 BLOCK = 64
 
 
+#: Two blanks that no text has any more once its blanks are spaces.
+MARK = "\x0b\f"
+
+
 def _words(line: Column) -> Column:
     """Words of a line whose blanks are spaces; a split by one character needs no pattern."""
     return F.array_remove(F.split(line, " "), "")
 
 
 def _lines(text: Column) -> Column:
-    """Lines of a text, all blanks of a line as spaces."""
-    for blank in native.BLANKS.replace("\n", "").replace(" ", ""):
-        text = F.replace(text, F.lit(blank), F.lit(" "))
-    return native.lines(text)
-
-
-def _halves(words: Column) -> list[Column]:
+    """Lines of a text, one space for every run of blanks of a line; the ends of a line may keep one."""
+    blanks = native.BLANKS.replace("\n", "").replace(" ", "")
+    plain = text
+    for blank in blanks:
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    # A run of spaces becomes a run of marks, and all of it but its outer halves goes.
+    for old, new in ((" ", MARK), (MARK[::-1], ""), (MARK, " ")):
+        plain = F.replace(plain, F.lit(old), F.lit(new))
+    # Most texts have none of these and are only looked through.
+    odd = reduce(or_, (F.contains(text, F.lit(x)) for x in (*blanks, "  ")))
+    return native.lines(F.when(odd, plain).otherwise(text))
+
+
+def _hashes(line: Column, number: Column, min_words: int) -> Column:
+    """Number, hashes and words of a line; equal words are equal strings, one space between two, so that none is split."""
+    length = lambda x: F.octet_length(x)
+
+    def build(words: Column) -> Column:
+        n = F.when(words == "", 0).otherwise(length(words) - length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
+        return native.let(n, lambda n: F.struct(*fields(words, n)))
+
+    def fields(words: Column, n: Column) -> list[Column]:
+        return [
+            number.alias("_line"),
+            F.xxhash64(words).alias("k1"),
+            F.xxhash64(F.lit(1), n, words).alias("k2"),
+            n.alias("size"),
+            # Short lines have none, so they meet equal lines only.
+            *[F.when(n >= min_words, x).alias(f"half{i}") for i, x in enumerate(_halves(words, n))],
+        ]
+
+    return native.let(F.trim(line), build)
+
+
+def _halves(words: Column, n: Column) -> list[Column]:
     """Hashes of the first and last halves for the two lengths that the longer line of a pair may have."""
-    n = F.size(words)
 
     def half(longer: Column, last: bool) -> Column:
         m = _half_size(longer)
-        start = n - m + 1 if last else F.lit(1)
-        return F.xxhash64(F.slice(words, start, m), F.lit(last))
+        return F.xxhash64(F.call_function("substring_index", words, F.lit(" "), -m if last else m), F.lit(last))
 
     # Of an even number of words, both lengths have the same halves.
     other = lambda x: F.when(n % 2 == 1, x)
@@ -150,22 +183,12 @@ def removed_lines(docs: DataFrame, min_words: int, id_column: str, text_column:
     texts = docs.where(F.length(text_column) > 0).select(
         F.col(id_column).alias("_doc"), F.xxhash64(text_column).alias("_digest"), F.col(text_column).alias("_text")
     )
-    # Words are split before lines become rows: a filter on them would split once more.
-    worded = texts.select(
-        "_doc", "_digest", F.posexplode(F.transform(_lines(F.col("_text")), _words)).alias("_line", "words")
-    ).where(F.size("words") >= shortest)
+    # Hashed and written once, since lines are read to be grouped and again for their verdicts.
+    hashed = F.transform(_lines(F.col("_text")), lambda line, number: _hashes(line, number, min_words))
+    hashed = stored(texts.select("_doc", "_digest", F.filter(hashed, lambda x: x["size"] >= shortest).alias("lines")))
     place = F.struct("_doc", "_digest", "_line")
     # Plain columns: in a shuffled row, a struct or an array takes 16 or 24 bytes more than its values.
-    every = worded.select(
-        "_doc",
-        "_digest",
-        "_line",
-        F.xxhash64("words").alias("k1"),
-        F.xxhash64(F.lit(1), F.size("words"), "words").alias("k2"),
-        F.size("words").alias("size"),
-        # Short lines have none, so they meet equal lines only.
-        *[F.when(F.size("words") >= min_words, x).alias(f"half{i}") for i, x in enumerate(_halves(F.col("words")))],
-    )
+    every = hashed.select("_doc", "_digest", F.inline("lines"))
     halves = [f"half{i}" for i in range(4)]
     alike = stored(
         every.groupBy("k1", "k2").agg(
@@ -201,16 +224,19 @@ def removed_lines(docs: DataFrame, min_words: int, id_column: str, text_column:
 
     # Few, as a shared half is rare; read once from the texts.
     lines = stored(lines)
-    variants = lines.select("first", F.explode(_variants(F.col("words"), F.col("low"), F.col("high"))).alias("v")).select("first", "v.*")
+    variants = stored(
+        lines.select("first", F.explode(_variants(F.col("words"), F.col("low"), F.col("high"))).alias("v")).select("first", "v.*")
+    )
+    # Most are alone, and a count of numbers tells them at less cost than the earliest members do.
+    met = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    variants = stored(variants.join(met, "key", "left_semi"))
     buckets = (
         variants.groupBy("key")
         .agg(
             F.min(F.when(F.col("kind") == 0, F.col("first"))).alias("whole"),
             F.min(F.when(F.col("kind") == 1, F.col("first"))).alias("without"),
             F.min(F.when(F.col("kind") == 2, F.col("first"))).alias("hole"),
-            F.count(F.lit(1)).alias("n"),
         )
-        .where("n > 1")
     )
     partner = F.when(F.col("kind") == 0, F.col("without")).when(F.col("kind") == 1, F.col("whole")).otherwise(
         F.col("hole")

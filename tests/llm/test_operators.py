@@ -383,6 +383,19 @@ def test_line_dedup_cuts_the_variants_off(spark):
     assert plan_of(line_dedup.dedup_lines(docs)).count(") Generate") == 1
 
 
+def test_line_dedup_hashes_lines_once(spark):
+    """Lines are split for their hashes before the cut; their verdicts are found without the texts."""
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    plan = plan_of(line_dedup.removed_lines(docs, 5, "doc_id", "text", 1))
+    assert "split(" not in plan and "text" not in plan
+
+
+def test_runs_of_blanks_are_one_space(column):
+    texts = ["a b", " a  b ", "a\t\x0b\f\r b\n\n  c   d\x0b", "\x0b\f", "\f\x0b a\x0b\fb \n", "   \n \r\na", "\u00a0  \u3000"]
+    found = column(texts, "string", line_dedup._lines)
+    assert found == [re.sub("[ \t\x0b\f\r]+", " ", x).split("\n") for x in texts]
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "left"),
     [
