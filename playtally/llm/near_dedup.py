@@ -3,10 +3,10 @@
 The set of a document are its distinct shingles. Documents with equal sets form a class, and one of each
 class goes on. In each of several independent trees a document takes `BRANCHES` minwise tokens of the
 root and goes down the branch of each token's value. A node of at most `LEAF` documents is compared
-exhaustively. A larger node compares every member with one of them, which is linear, and unless all turn out
-to be near copies of it, sends them on along further tokens. Nodes that are still large after
-`DEEP` levels hold documents that agree in many tokens. What the confirmed links leave apart among their members is
-joined exactly, see `unlinked`. Two documents of similarity s share one value with probability s; at
+exhaustively. A larger node compares every member with at most `HEADS` of them, which is linear, and unless half
+turn out to be near copies of one, sends all on along further tokens. Nodes of near copies, and those that are
+still large after `DEEP` levels, hold documents that agree in many tokens. What the confirmed links leave apart
+among their members is joined exactly, see `unlinked`. Two documents of similarity s share one value with probability s; at
 0.85, `TREES` = 4 trees of 2 branches miss a pair in a small node with a chance of 0.15 ** 8.
 
 Comparing signatures only proposes pairs. A pair is linked if the full sets confirm it; links then become
@@ -42,12 +42,14 @@ TOKENS = 96
 TREES = 4
 BRANCHES = 2
 LEAF = 48
+#: Members of a larger node that all its members are compared with.
+HEADS = 24
 #: Levels with BRANCHES branches; below them a member follows one, and nodes still large at DEEP are joined exactly.
 WIDE_LEVELS = 2
 DEEP = 4
 #: Shares of equal tokens, in standard errors from the link threshold: below MAYBE no pair is proposed, from
-#: SURELY on, documents count as near copies when pairs are chosen; a node whose members all reach CLOSE is not
-#: sent on but left to the exact join.
+#: SURELY on, documents count as near copies when pairs are chosen; a node is not sent on but left to the exact
+#: join if at least half of its members reach CLOSE with a head.
 MAYBE, SURELY, CLOSE = -5.2, 2.75, 0.55
 #: Counters that put shingles in order, rare ones first; any order is exact.
 BUCKETS = 1 << 20
@@ -155,7 +157,8 @@ def _sketch(size: int):
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, TOKENS)
+    fixed = column.cast(pa.binary(TOKENS))
+    return np.frombuffer(fixed.buffers()[1], np.uint8).reshape(-1, TOKENS)[fixed.offset : fixed.offset + len(fixed)]
 
 
 PAIRS = "a long, b long"
@@ -189,16 +192,32 @@ def _compare_leaves(maybe: float, surely: float):
     return run
 
 
-def _compare_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the share of tokens that a member has in common with its node's first."""
+def _compare_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the head of its node that a member shares most tokens with, and that share; a head looks at those
+    before it, so that the likest heads make a tree, and the first has itself."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        share = (_matrix(batch.column("sig")) == _matrix(batch.column("first_sig"))).mean(axis=1)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), batch.column("doc_id"), batch.column("first"), pa.array(share)],
-            ["node", "doc_id", "first", "share"],
-        )
+        # Short slices, as every row brings all heads of its node.
+        for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+            doc, heads = part.column("doc_id").to_numpy(), part.column("heads")
+            n = heads.value_lengths().to_numpy()
+            begin = np.cumsum(n) - n
+            flat = heads.flatten()
+            head, row = flat.field("doc_id").to_numpy(), np.repeat(np.arange(len(n)), n)
+            share = (_matrix(part.column("sig"))[row] == _matrix(flat.field("sig"))).mean(axis=1)
+            own = np.where(head == doc[row], np.arange(len(row)), len(row))
+            share[np.arange(len(row)) >= np.minimum.reduceat(own, begin)[row]] = -1
+            best = np.maximum.reduceat(share, begin)
+            at = np.minimum.reduceat(np.where(share == best[row], np.arange(len(row)), len(row)), begin)
+            alone = best < 0
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("node"),
+                    part.column("doc_id"),
+                    pa.array(np.where(alone, doc, head[at])),
+                    pa.array(np.where(alone, 1.0, best)),
+                ],
+                ["node", "doc_id", "head", "share"],
+            )
 
 
 def _descend(level: int):
@@ -241,20 +260,26 @@ def candidates(sketches: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
             .mapInArrow(_compare_leaves(maybe, surely), PAIRS)
         )
         large = members.where(F.col("n") > LEAF)
-        chosen = F.struct(F.xxhash64("node", "doc_id"), "doc_id")
-        first = large.groupBy("node").agg(F.min(chosen)["doc_id"].alias("first"))
-        heads = first.join(signatures.withColumnRenamed("sig", "first_sig"), F.col("first") == F.col("doc_id")).drop("doc_id")
+        # One of every slot, so that no task sorts or gathers a node.
+        mixed = F.xxhash64("node", "doc_id")
+        chosen = large.groupBy("node", F.pmod(mixed, F.lit(HEADS)).alias("slot")).agg(
+            F.min(F.struct(mixed, "doc_id"))["doc_id"].alias("doc_id")
+        )
+        heads = chosen.join(signatures, "doc_id").groupBy("node").agg(
+            F.array_sort(F.collect_list(F.struct("slot", "doc_id", "sig"))).alias("heads")
+        )
         compared = stored(
             large.join(heads, "node")
-            .select("node", "doc_id", "sig", "first", "first_sig")
-            .mapInArrow(_compare_first, "node long, doc_id long, first long, share double")
+            .select("node", "doc_id", "sig", "heads")
+            .mapInArrow(_compare_heads, "node long, doc_id long, head long, share double")
         )
-        star = compared.where((F.col("share") >= maybe) & (F.col("first") != F.col("doc_id"))).select(
-            F.col("first").alias("a"), F.col("doc_id").alias("b")
+        star = compared.where((F.col("share") >= maybe) & (F.col("head") != F.col("doc_id"))).select(
+            F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")
         )
         found = small.unionByName(star).distinct()
         pairs = found if pairs is None else pairs.unionByName(found)
-        open_nodes = compared.groupBy("node").agg(F.min("share").alias("share")).where(F.col("share") < close)
+        near = F.count_if(F.col("share") >= close).alias("near")
+        open_nodes = compared.groupBy("node").agg(near, F.count(F.lit(1)).alias("n")).where("2 * near < n")
         left = large.join(open_nodes.select("node"), "node", "left_semi").select("node", "doc_id", "sig")
         # A share is an estimate, so the members of a closed node are not done either.
         ended = large if level == DEEP else large.join(open_nodes.select("node"), "node", "left_anti")

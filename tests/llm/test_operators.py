@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -326,6 +327,62 @@ def test_a_large_node_goes_down_once_and_in_proportion(spark, monkeypatch):
     assert max(x.count("MapInArrow") for x in plans) == 1 and max(x.count("LeftSemi") for x in plans) == 1
 
 
+def test_near_copies_among_strangers_are_not_sent_down(spark, monkeypatch):
+    sent, real = [], near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda frame, *args: sent.append(frame.columns) or real(frame, *args))
+    rng, rows = random.Random(5), []
+    base = rng.randbytes(near_dedup.TOKENS)
+    for k in range(200):
+        sig = bytearray(base if k < 120 else rng.randbytes(near_dedup.TOKENS))
+        for place in rng.sample(range(near_dedup.TOKENS), 4):
+            sig[place] = rng.randrange(256)
+        rows.append((k, bytes(sig), [7]))
+    pairs, rest = near_dedup.candidates(spark.createDataFrame(rows, "doc_id long, sig binary, roots array<long>"))
+    # Every copy but the first head has one pair, which ties them together; all meet in the exact join.
+    assert ["node", "doc_id"] not in sent and sorted(r.doc_id for r in rest.collect()) == list(range(200))
+    parent = {k: k for k in range(120)}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    links = [(r.a, r.b) for r in pairs.collect()]
+    for a, b in links:
+        parent[root(b)] = root(a)
+    assert len(links) == 119 and len({root(k) for k in parent}) == 1
+
+
+def test_a_member_takes_the_likest_head(spark):
+    rng = random.Random(6)
+    base = rng.randbytes(near_dedup.TOKENS)
+    rows = []
+    for k in range(1500):
+        sig = bytearray(base)
+        for place in rng.sample(range(near_dedup.TOKENS), rng.randrange(40)):
+            sig[place] = rng.randrange(256)
+        rows.append((k, bytes(sig), [7]))
+    seen = []
+    for k in range(0, 1500, 30):
+        seen.append({"slot": k // 30 % near_dedup.HEADS, "doc_id": k, "sig": rows[k][1]})
+    batch = pa.RecordBatch.from_arrays(
+        [
+            pa.array([7] * len(rows)),
+            pa.array([r[0] for r in rows]),
+            pa.array([r[1] for r in rows]),
+            pa.array([seen[: 1 + k % 24] for k in range(len(rows))]),
+        ],
+        ["node", "doc_id", "sig", "heads"],
+    )
+    found = pa.Table.from_batches(near_dedup._compare_heads(iter([batch]))).to_pylist()
+    for r, (k, sig, _) in zip(found, rows, strict=True):
+        heads = seen[: 1 + k % 24]
+        before = next((i for i, x in enumerate(heads) if x["doc_id"] == k), len(heads))
+        equal = [sum(x == y for x, y in zip(sig, h["sig"], strict=True)) / near_dedup.TOKENS for h in heads[:before]]
+        best = (heads[equal.index(max(equal))]["doc_id"], max(equal)) if equal else (k, 1)
+        assert (r["doc_id"], r["head"]) == (k, best[0]) and abs(r["share"] - best[1]) < 1e-9
+
+
 def test_short_lines_go_if_they_are_equal(spark):
     docs = [(1, "read  more\n \nshare this page now\nok"), (2, "read more\n \nshare that page now\nok\nok then")]
     found = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
