@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtally.functions import (
@@ -24,6 +24,9 @@ from playtally.operators.stacking import stack
 # Fixed value: rows of a page of users.
 USERS_PAGE_SIZE = 3
 
+# Most blocks that the members, and the contents, of one key are put into.
+MEMBER_BLOCKS, CONTENT_BLOCKS = 64, 16
+
 
 def brands_by_group(
     brands: DataFrame,
@@ -231,7 +234,9 @@ def entitled_brands(
     """Brands of every user, or of one: explicit ones and those of the user's groups.
 
     The content type is filtered before the links of users and groups fan out, and one user's
-    links are picked at their scans.
+    links are picked at their scans. Users of the same groups get the same brands, so these are
+    made distinct once for each set of groups, and explicit links are left out where the user's
+    set has the brand. No row then comes twice, and no row that fans out is shuffled or compared.
     """
     if user_id is not None:
         users_brands = users_brands.where(F.col("user_id") == user_id)
@@ -239,13 +244,33 @@ def entitled_brands(
     wanted = brands.select("brand_id", "name", "content_type")
     if content_types is not None:
         wanted = wanted.where(in_list(F.col("content_type"), content_types))
+    wanted = wanted.distinct()
     columns = ["user_id", "brand_id", "name", "content_type"]
-    explicit = users_brands.join(wanted, "brand_id").select(*columns)
     opened = groups_brands.select("group_id", "brand_id").join(wanted, "brand_id")
-    by_group = (
-        users_groups.select("user_id", "group_id").join(opened, "group_id").select(*columns)
+    sets = (
+        users_groups.select("user_id", "group_id")
+        .join(opened.select("group_id"), "group_id", "left_semi")
+        .groupBy("user_id")
+        .agg(F.sort_array(F.collect_set("group_id")).alias("groups"))
+    )
+    opened_by_set = (
+        sets.select("groups").distinct()
+        .select("groups", F.explode("groups").alias("group_id"))
+        .join(opened, "group_id")
+        .select("groups", *columns[1:])
+        .distinct()
+    )
+    by_group = _members_with_contents(sets, opened_by_set, "groups", "user_id", "brand_id")
+    explicit = (
+        users_brands.select("user_id", "brand_id").distinct()
+        .join(wanted, "brand_id")
+        .join(
+            sets.select(F.col("user_id").alias("member"), "groups"),
+            F.col("user_id").eqNullSafe(F.col("member")), "left",
+        )
+        .join(opened_by_set.select("groups", "brand_id"), ["groups", "brand_id"], "left_anti")
     )
-    return explicit.unionByName(by_group).distinct()
+    return explicit.select(*columns).unionByName(by_group.select(*columns))
 
 
 def canonical_brands(brands: DataFrame, content_type: Column | None = None) -> DataFrame:
@@ -347,6 +372,42 @@ def _id_if_known(prefix: str) -> Column:
     return F.when(F.col(f"{prefix}_known"), F.col(f"{prefix}_id")).alias(f"{prefix}_id")
 
 
+def _members_with_contents(
+    members: DataFrame, contents: DataFrame, key: str, member: str, content: str
+) -> DataFrame:
+    """Every member with every content of its key, by blocks of members and blocks of contents.
+
+    The rows fan out of few small blocks. Adaptive execution sizes tasks by the bytes that they
+    read and would leave the rows to few of them, so the pairs of blocks are dealt out by number.
+    """
+    own = [name for name in contents.columns if name != key]
+    member_blocks = _blocks(members, key, member, [member], MEMBER_BLOCKS).select(
+        key, F.transform("block", lambda one: one[member]).alias("members")
+    )
+    content_blocks = _blocks(contents, key, content, own, CONTENT_BLOCKS).withColumnRenamed("block", "contents")
+    pairs = member_blocks.join(content_blocks, key).select("members", "contents")
+    return (
+        pairs.repartition(_tasks(pairs.sparkSession))
+        .select("members", F.inline("contents"))
+        .select(F.explode("members").alias(member), *own)
+    )
+
+
+def _blocks(df: DataFrame, key: str, by: str, columns: list[str], count: int) -> DataFrame:
+    """Rows of a key in up to ``count`` arrays of structs."""
+    number = F.pmod(F.xxhash64(by), F.lit(count))
+    return (
+        df.groupBy(key, number.alias("number"))
+        .agg(F.collect_list(F.struct(*columns)).alias("block"))
+        .select(key, "block")
+    )
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for work that the size of its input does not tell."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def _link_counts(
     links: list[DataFrame], kinds: list[str], key: str, side: str
 ) -> DataFrame:
