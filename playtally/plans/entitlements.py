@@ -27,6 +27,9 @@ USERS_PAGE_SIZE = 3
 # Most blocks that the members, and the contents, of one key are put into.
 MEMBER_BLOCKS, CONTENT_BLOCKS = 64, 16
 
+# Most brand ids that go through a sort as one row.
+LIST_SIZE = 256
+
 
 def brands_by_group(
     brands: DataFrame,
@@ -113,33 +116,47 @@ def access_by_email(
     email_patterns: Iterable[str],
     sort: bool = True,
 ) -> DataFrame:
-    """Groups and, through them, brands of the users whose e-mail matches."""
+    """Groups and, through them, brands of the users whose e-mail matches.
+
+    What a group opens is the same for all its users, so it is put together once per group before
+    it meets the users, and rows are made distinct there. Only links to missing groups, which look
+    alike, can still give a user the same row twice. Brands of a group that tie in the order but
+    for their id come as one list, which is sorted as one row.
+    """
+    user = ["user_id", "user_email", "user_name", "user_active"]
+    group = ["group_id", "group_name", "group_content_type"]
+    brand = ["brand_name", "brand_content_type"]
     wanted = users.where(contains_any(F.col("email"), email_patterns)).select(
         "user_id",
         F.col("email").alias("user_email"),
         F.col("name").alias("user_name"),
         F.col("is_active").alias("user_active"),
-    )
-    # What a group opens is the same for all its users, so it is put together
-    # once per group before it meets the users.
-    named_brands = _renamed(brands, "brand_id", "brand")
+    ).distinct()
+    links = users_groups.select("user_id", "group_id").distinct()
+    named_groups = _renamed(groups, "group_id", "group").distinct()
     brand_links = groups_brands.select("group_id", "brand_id").join(
-        named_brands, "brand_id", "left"
+        _renamed(brands, "brand_id", "brand"), "brand_id", "left"
+    )
+    no_id = F.array(F.lit(None))
+    opened = named_groups.join(_brand_lists(brand_links), "group_id", "left").select(
+        F.col("group_id").alias("link_id"), *group, "brand_known", *brand,
+        F.coalesce("brand_ids", no_id).alias("brand_ids"),
     )
-    named_groups = _renamed(groups, "group_id", "group")
-    access = (
-        wanted.join(users_groups.select("user_id", "group_id"), "user_id", "left")
-        .join(named_groups, "group_id", "left")
+    members = wanted.join(links, "user_id").select(F.col("group_id").alias("link_id"), *user)
+    known = _members_with_contents(members, opened, "link_id")
+    unknown = (
+        wanted.join(links, "user_id", "left")
+        .join(named_groups.select("group_id"), "group_id", "left_anti")
         .join(brand_links, "group_id", "left")
-        .select(
-            "user_id", "user_email", "user_name", "user_active",
-            _id_if_known("group"), "group_name", "group_content_type",
-            _id_if_known("brand"), "brand_name", "brand_content_type",
-        )
+        .select(*user, "brand_known", *brand, _id_if_known("brand"))
         .distinct()
+        .withColumn("brand_ids", F.array("brand_id"))
     )
+    access = known.unionByName(unknown.drop("brand_id"), allowMissingColumns=True)
     order = [("user_name", "asc"), ("brand_name", "asc"), ("brand_content_type", "asc")]
-    return ordered(access, order) if sort else access
+    if sort:
+        access = ordered(access, order)
+    return access.select(*user, *group, F.explode("brand_ids").alias("brand_id"), *brand)
 
 
 def legacy_access(
@@ -260,7 +277,7 @@ def entitled_brands(
         .select("groups", *columns[1:])
         .distinct()
     )
-    by_group = _members_with_contents(sets, opened_by_set, "groups", "user_id", "brand_id")
+    by_group = _members_with_contents(sets, opened_by_set, "groups")
     explicit = (
         users_brands.select("user_id", "brand_id").distinct()
         .join(wanted, "brand_id")
@@ -372,34 +389,45 @@ def _id_if_known(prefix: str) -> Column:
     return F.when(F.col(f"{prefix}_known"), F.col(f"{prefix}_id")).alias(f"{prefix}_id")
 
 
-def _members_with_contents(
-    members: DataFrame, contents: DataFrame, key: str, member: str, content: str
-) -> DataFrame:
+def _brand_lists(brand_links: DataFrame) -> DataFrame:
+    """Ids of the brands of a group by name and content type, in sorted lists of bounded length.
+
+    The id of a missing brand is null, and such brands of a group are one.
+    """
+    ids = F.when(F.col("brand_known"), F.sort_array(F.collect_set("brand_id"))).otherwise(F.array(F.lit(None)))
+    starts = F.sequence(F.lit(1), F.size("ids"), F.lit(LIST_SIZE))
+    lists = F.transform(starts, lambda start: F.slice("ids", start, LIST_SIZE))
+    keys = ["group_id", "brand_known", "brand_name", "brand_content_type"]
+    return (
+        brand_links.groupBy(*keys)
+        .agg(ids.alias("ids"))
+        .select(*keys, F.explode(lists).alias("brand_ids"))
+    )
+
+
+def _members_with_contents(members: DataFrame, contents: DataFrame, key: str) -> DataFrame:
     """Every member with every content of its key, by blocks of members and blocks of contents.
 
     The rows fan out of few small blocks. Adaptive execution sizes tasks by the bytes that they
     read and would leave the rows to few of them, so the pairs of blocks are dealt out by number.
     """
-    own = [name for name in contents.columns if name != key]
-    member_blocks = _blocks(members, key, member, [member], MEMBER_BLOCKS).select(
-        key, F.transform("block", lambda one: one[member]).alias("members")
-    )
-    content_blocks = _blocks(contents, key, content, own, CONTENT_BLOCKS).withColumnRenamed("block", "contents")
-    pairs = member_blocks.join(content_blocks, key).select("members", "contents")
+    pairs = _blocks(members, key, "members", MEMBER_BLOCKS).join(
+        _blocks(contents, key, "contents", CONTENT_BLOCKS), key
+    ).select("members", "contents")
     return (
         pairs.repartition(_tasks(pairs.sparkSession))
         .select("members", F.inline("contents"))
-        .select(F.explode("members").alias(member), *own)
+        .select(F.inline("members"), *[name for name in contents.columns if name != key])
     )
 
 
-def _blocks(df: DataFrame, key: str, by: str, columns: list[str], count: int) -> DataFrame:
+def _blocks(df: DataFrame, key: str, block: str, count: int) -> DataFrame:
     """Rows of a key in up to ``count`` arrays of structs."""
-    number = F.pmod(F.xxhash64(by), F.lit(count))
+    own = [name for name in df.columns if name != key]
     return (
-        df.groupBy(key, number.alias("number"))
-        .agg(F.collect_list(F.struct(*columns)).alias("block"))
-        .select(key, "block")
+        df.groupBy(key, F.pmod(F.xxhash64(*own), F.lit(count)).alias("number"))
+        .agg(F.collect_list(F.struct(*own)).alias(block))
+        .select(key, block)
     )
 
 
